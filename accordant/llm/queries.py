@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.llm.ngram_join import ngram_components
 from accordant.llm.quality_rules import quality_rules
 from accordant.llm.shared import id_fold, table
 from accordant.llm.subword_classifier import subword_scores
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = subword_scores(documents, documents.where(id_fold(F.col("doc_id")) != 0), table(spark, sf_dir, "labels"))
@@ -23,6 +28,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op5_quality_classifier": op5_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
