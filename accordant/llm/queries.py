@@ -4,32 +4,49 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.llm.ngram_join import ngram_components
+from accordant.llm.pattern_packing import pack_documents
 from accordant.llm.quality_rules import quality_rules
 from accordant.llm.shared import id_fold, table
 from accordant.llm.subword_classifier import subword_scores
+from accordant.llm.token_frames import token_digests
+
+
+def tokenizer_file() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = subword_scores(documents, documents.where(id_fold(F.col("doc_id")) != 0), table(spark, sf_dir, "labels"))
     return scores.select("doc_id", (id_fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
+    "op3_token_frames": op3_token_frames,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
