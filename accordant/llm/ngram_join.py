@@ -38,6 +38,11 @@ from accordant.llm.shared import find_words, mix, text_chunks, word_windows, wri
 FREQUENT = 1 << 16
 #: An n-gram counts as frequent from this many lists on.
 FREQUENT_FROM = 16
+#: Names of sets that a task remembers to have listed, and list entries that it counts at once.
+REMEMBERED = 1_000_000
+COUNTED_AT_ONCE = 4_000_000
+#: Bits of the filter that tells which documents a check may need, on the driver and in a task.
+FILTER_BITS = 1 << 20
 #: Light sets are never larger than this, whatever the lists cost.
 LARGEST_LIGHT = 24
 SKETCH_LONGS = 8
@@ -96,6 +101,11 @@ def _set_key(own: np.ndarray) -> bytes:
     return np.array([mix(own.copy()).sum(), other.sum() ^ np.uint64(len(own))], dtype=np.uint64).tobytes()
 
 
+def _name(key: bytes) -> int | None:
+    """64 of the bits, by which the lists know a set."""
+    return int.from_bytes(key[:8], "little", signed=True) if key else None
+
+
 def _sketch(own: np.ndarray) -> np.ndarray:
     """Bit i: whether the number of elements that hash to i is odd."""
     bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1
@@ -116,7 +126,8 @@ def _each_set(n: int, make: Callable[[pa.Array, int, list[np.ndarray]], pa.Recor
 
 def _members(ids: pa.Array, at: int, sets: list[np.ndarray]) -> pa.RecordBatch:
     sketches = np.array([_sketch(s) for s in sets]).reshape(len(sets), SKETCH_LONGS)
-    columns = {"doc_id": ids.slice(at, len(sets)), "set_key": pa.array([_set_key(s) for s in sets], pa.binary()), "n": pa.array([len(s) for s in sets], pa.int64())}
+    names = [_set_key(s) for s in sets]
+    columns = {"doc_id": ids.slice(at, len(sets)), "set_key": pa.array(names, pa.binary()), "name": pa.array([_name(k) for k in names], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
     return pa.RecordBatch.from_pydict(columns | {f"b{i}": pa.array(sketches[:, i]) for i in range(SKETCH_LONGS)})
 
 
@@ -139,14 +150,19 @@ def _subset_rows(own: np.ndarray, largest: int, percent: int) -> Iterator[tuple[
 
 
 def _keys(percent: int, light: int, frequent: np.ndarray, rank: np.ndarray) -> Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None]:
+    """What sets list: (key, size of the subset or 0, name of the set). A task lists equal sets once, as far as it remembers them."""
     from_size = -(-percent * (light + 1) // 100)
+    listed: set[int] = set()
 
     def make(_: pa.Array, __: int, sets: list[np.ndarray]) -> pa.RecordBatch | None:
         keys, counts, names, sizes = [], [], [], []
+        if len(listed) > REMEMBERED:
+            listed.clear()
         for own in sets:
-            if not len(own):
+            name = _name(_set_key(own))
+            if name is None or name in listed:
                 continue
-            name = _set_key(own)
+            listed.add(name)
             if len(own) <= light:
                 for k, size in _subset_rows(own, light, percent):
                     keys.append(k)
@@ -161,19 +177,39 @@ def _keys(percent: int, light: int, frequent: np.ndarray, rank: np.ndarray) -> C
                 counts.append(len(k))
         if not keys:
             return None
-        which = np.repeat(np.arange(len(names)), counts)
-        names_column = pa.DictionaryArray.from_arrays(pa.array(which), pa.array(names, pa.binary())).cast(pa.binary())
-        return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "subset": pa.array(np.concatenate(sizes).astype(np.int32)), "set_key": names_column})
+        return pa.RecordBatch.from_pydict(
+            {"key": pa.array(np.concatenate(keys).view(np.int64)), "subset": pa.array(np.concatenate(sizes).astype(np.int32)), "name": pa.array(np.repeat(np.array(names, np.int64), counts))}
+        )
 
     return make
 
 
-def _list_heads(percent: int) -> Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None]:
-    def make(_: pa.Array, __: int, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        keys = [s[: prefix_length(len(s), percent)] for s in sets if len(s)]
-        return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64))}) if keys else None
+def _list_lengths(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, count) of list entries in hash order, counted within a task; a key that a task meets once is not told."""
 
-    return make
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+        size, seen = 0, set()
+
+        def tell() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            return pa.RecordBatch.from_pydict({"key": pa.array(keys[counts > 1].view(np.int64)), "c": pa.array(counts[counts > 1])})
+
+        for batch in batches:
+            for _, _, data, offsets in text_chunks(batch.column(batch.schema.get_field_index("text"))):
+                for own in text_sets(data, offsets, n):
+                    if len(own) and (first := own[: prefix_length(len(own), percent)].tobytes()) not in seen:
+                        waiting.append(np.frombuffer(first, np.uint64))
+                        size += len(waiting[-1])
+                        if len(seen) < REMEMBERED // 10:
+                            seen.add(first)
+                if size >= COUNTED_AT_ONCE:
+                    yield tell()
+                    waiting, size = [], 0
+        if waiting:
+            yield tell()
+
+    return run
 
 
 def _check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -190,8 +226,20 @@ def _check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
-def _set_rows(ids: pa.Array, at: int, sets: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"rep": ids.slice(at, len(sets)), "own": pa.array([s.tobytes() for s in sets], pa.binary()), "key": pa.array([_set_key(s) for s in sets], pa.binary())})
+def _needed_sets(n: int, may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole sets of the documents that pass the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        needed_at = np.unpackbits(may_need).astype(bool)
+        for batch in batches:
+            place = batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(needed_at[place]))
+            texts, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "rep"))
+            for at, to, data, offsets in text_chunks(texts):
+                sets = text_sets(data, offsets, n)
+                yield pa.RecordBatch.from_pydict({"rep": ids.slice(at, to - at), "own": pa.array([s.tobytes() for s in sets], pa.binary()), "key": pa.array([_set_key(s) for s in sets], pa.binary())})
+
+    return run
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -199,11 +247,11 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     links(a, b) has every two names of different sets that link, once."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = [f"b{i}" for i in range(SKETCH_LONGS)]
-    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, n long, " + ", ".join(f"{b} long" for b in sketch)), "sets")
-    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "n", *sketch).agg(F.min("doc_id").alias("rep"))
+    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, " + ", ".join(f"{b} long" for b in sketch)), "sets")
+    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"))
 
-    counts = docs.mapInArrow(_each_set(n, _list_heads(percent)), "key long").groupBy("key").agg(F.count("*").alias("c"))
-    counts = written(counts.where("c > 1"), "list-lengths")
+    counts = docs.mapInArrow(_list_lengths(n, percent), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    counts = written(counts, "list-lengths")
     single = named.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     pairs = counts.agg(F.sum(F.col("c").cast("double") * F.col("c"))).first()[0] or 0.0
     light = light_boundary(max(1.0, pairs / max(single, 1)), percent)
@@ -212,11 +260,11 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     order = np.argsort(frequent)
     frequent, rank = frequent[order], top["c"].to_numpy(np.int64)[order]
 
-    keys = docs.mapInArrow(_each_set(n, _keys(percent, light, frequent, rank)), "key long, subset int, set_key binary").distinct()
-    keys = written(keys, "keys")
+    keys = docs.mapInArrow(_each_set(n, _keys(percent, light, frequent, rank)), "key long, subset int, name long")
+    keys = keys.repartition("key", "subset").distinct()  # one shuffle serves all that follows
     several = keys.groupBy("key", "subset").agg(F.count("*").alias("c")).where("c > 1")
-    entries = keys.join(several, ["key", "subset"]).join(named, "set_key").drop("c", "set_key")
-    entries = written(entries, "lists")
+    entries = written(keys.join(several, ["key", "subset"]).select("key", "subset", "name"), "lists")
+    entries = entries.join(named.drop("set_key"), "name").drop("name")
 
     def side(suffix: str) -> DataFrame:
         return entries.select("key", "subset", *[F.col(c).alias(c + suffix) for c in ("rep", "n", *sketch)])
@@ -234,7 +282,11 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     wanted = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).distinct()
     # documents that share an id may hold different sets: the name of a set belongs to one key
     wanted = wanted.join(named.select("rep", "set_key"), "rep")
-    sets = docs.withColumnRenamed("doc_id", "rep").join(wanted.select("rep").distinct(), "rep", "left_semi").mapInArrow(_each_set(n, _set_rows, "rep"), "rep long, own binary, key binary")
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
+    may_need = np.zeros(FILTER_BITS, dtype=bool)
+    may_need[[r[0] for r in wanted.select(place).distinct().collect()]] = True  # no more numbers than bits
+    texts = docs.withColumnRenamed("doc_id", "rep").withColumn("place", place)
+    sets = texts.mapInArrow(_needed_sets(n, np.packbits(may_need)), "rep long, own binary, key binary")
     sets = sets.join(wanted, (sets.rep == wanted.rep) & (sets.key == wanted.set_key), "left_semi").dropDuplicates(["rep", "key"]).drop("key")
     sets = written(sets, "whole-sets")
     checked = (

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from accordant.llm.ngram_join import ngram_components
 from accordant.llm.pattern_packing import pack_documents
 from accordant.llm.quality_rules import quality_rules
+from accordant.llm.recurrent_lm import score_documents
 from accordant.llm.shared import id_fold, table
 from accordant.llm.subword_classifier import subword_scores
 from accordant.llm.token_frames import token_digests
@@ -28,6 +29,10 @@ def op3_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=0)
 
 
+def op4_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), held_out=id_fold(F.col("doc_id")) == 1)
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     scores = subword_scores(documents, documents.where(id_fold(F.col("doc_id")) != 0), table(spark, sf_dir, "labels"))
@@ -45,6 +50,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_token_frames": op3_token_frames,
+    "op4_recurrent_lm": op4_recurrent_lm,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_quality_rules": op10_quality_rules,

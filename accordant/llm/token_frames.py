@@ -192,7 +192,7 @@ def write_token_files(documents: DataFrame, tokenizer: str, end_id: int, folder:
     return written(dealt.mapInArrow(_file_writer(folder, tokenizer, end_id), "part long, path string, documents long, tokens long"), "token-files-made")
 
 
-def _read_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_files(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
             system, name = _open(path)
@@ -208,29 +208,27 @@ def _read_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             "doc_id": pa.array(doc_ids, mask=doc_ids == NULL_ID),
                             "start": pa.array(starts),
                             "n_tokens": pa.array(counts),
-                            "tokens": pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary()),
                         }
+                        | (
+                            {"ids_crc32": pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64())}
+                            if digest
+                            else {"tokens": pa.array([t.astype("<u4").tobytes() for t in tokens], pa.binary())}
+                        )
                     )
 
 
-def read_token_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+def read_token_files(spark: SparkSession, files: DataFrame, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, tokens) of every document in the files; start counts the ids of all documents before it,
-    tokens has little-endian uint32 ids. files: what write_token_files returned; a row a file, of which there are as many as tasks."""
+    tokens has little-endian uint32 ids; with ``digest`` their crc32 stands in their place, as ids_crc32.
+    files: what write_token_files returned, a row a file, of which there are as many as tasks."""
     rows, start = [], 0
     for r in files.orderBy("part").collect():
         rows.append((r.path, start))
         start += r.tokens
-    listed = spark.createDataFrame(rows, "path string, start long")
-    return listed.repartition(max(1, len(rows))).mapInArrow(_read_file, "doc_id long, start long, n_tokens long, tokens binary")
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [zlib.crc32(t.as_buffer()) for t in batch.column("tokens")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+    listed = spark.createDataFrame(rows, "path string, start long").repartition(max(1, len(rows)))
+    return listed.mapInArrow(lambda batches: _read_files(batches, digest), "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "tokens binary"))
 
 
 def token_digests(documents: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Writes and reads the files; (doc_id, start, n_tokens, ids_crc32) of every document as read."""
-    files = write_token_files(documents, tokenizer, end_id)
-    return read_token_files(documents.sparkSession, files).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_files(documents.sparkSession, write_token_files(documents, tokenizer, end_id), digest=True)

@@ -16,7 +16,7 @@ import numpy as np
 #: White space for which a cut before it might not be one for the tokenizer's pattern.
 _RARE_BLANK = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -​    　﻿]")
 #: Distinct pieces that a process remembers; beyond that it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -38,7 +38,6 @@ class Encoder:
     """Encodes with the tokenizer file at ``path``, without special tokens added."""
 
     def __init__(self, path: str):
-        self.path = path
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -49,6 +48,9 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for name, i in vocabulary.items():
             self.bytes_of[i] = len(name)
+        self._forget()
+
+    def _forget(self) -> None:
         self.seen = _Numbers()
         self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -83,7 +85,7 @@ class Encoder:
             pieces += own[1:]
             edges.append(len(pieces))
         if len(self.seen) > REMEMBERED:
-            self.__init__(self.path)
+            self._forget()
         number = np.fromiter(map(self.seen.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         if self.seen.new:
             ids, count = self._encode_pieces(self.seen.new)
