@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.llm.bwt_dedup import removal_digests
 from accordant.llm.ngram_join import ngram_components
 from accordant.llm.pattern_packing import pack_documents
 from accordant.llm.quality_rules import quality_rules
@@ -43,6 +44,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_recurrent_lm": op4_recurrent_lm,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
