@@ -46,6 +46,8 @@ FILTER_BITS = 1 << 20
 #: Light sets are never larger than this, whatever the lists cost.
 LARGEST_LIGHT = 24
 SKETCH_LONGS = 8
+WIDE_FROM = 400
+WIDE_BITS = 4096
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -112,6 +114,14 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _wide_sketch(own: np.ndarray) -> bytes | None:
+    """A sketch for large sets, for which the small one is too full to tell them apart."""
+    if len(own) <= WIDE_FROM:
+        return None
+    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % WIDE_BITS, minlength=WIDE_BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def _each_set(n: int, make: Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None], id_name: str = "doc_id"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,6 +138,7 @@ def _members(ids: pa.Array, at: int, sets: list[np.ndarray]) -> pa.RecordBatch:
     sketches = np.array([_sketch(s) for s in sets]).reshape(len(sets), SKETCH_LONGS)
     names = [_set_key(s) for s in sets]
     columns = {"doc_id": ids.slice(at, len(sets)), "set_key": pa.array(names, pa.binary()), "name": pa.array([_name(k) for k in names], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
+    columns["wide"] = pa.array([_wide_sketch(s) for s in sets], pa.binary())
     return pa.RecordBatch.from_pydict(columns | {f"b{i}": pa.array(sketches[:, i]) for i in range(SKETCH_LONGS)})
 
 
@@ -226,6 +237,23 @@ def _check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _close_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The pairs whose wide sketches don't rule out a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, size in zip(batch.column("left_wide"), batch.column("right_wide"), batch.column("size").to_pylist(), strict=True):
+                if x.is_valid and y.is_valid:
+                    differing = int.from_bytes(x.as_buffer(), "little") ^ int.from_bytes(y.as_buffer(), "little")
+                    keep.append(differing.bit_count() <= size - 2 * -(-percent * size // (100 + percent)))
+                else:
+                    keep.append(True)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _needed_sets(n: int, may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Whole sets of the documents that pass the filter."""
 
@@ -247,8 +275,8 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     links(a, b) has every two names of different sets that link, once."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = [f"b{i}" for i in range(SKETCH_LONGS)]
-    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, " + ", ".join(f"{b} long" for b in sketch)), "sets")
-    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"))
+    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, wide binary, " + ", ".join(f"{b} long" for b in sketch)), "sets")
+    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"), F.max("wide").alias("wide"))
 
     counts = docs.mapInArrow(_list_lengths(n, percent), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     counts = written(counts, "list-lengths")
@@ -264,7 +292,7 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     keys = keys.repartition("key", "subset").distinct()  # one shuffle serves all that follows
     several = keys.groupBy("key", "subset").agg(F.count("*").alias("c")).where("c > 1")
     entries = written(keys.join(several, ["key", "subset"]).select("key", "subset", "name"), "lists")
-    entries = entries.join(named.drop("set_key"), "name").drop("name")
+    entries = entries.join(named.drop("set_key", "wide"), "name").drop("name")
 
     def side(suffix: str) -> DataFrame:
         return entries.select("key", "subset", *[F.col(c).alias(c + suffix) for c in ("rep", "n", *sketch)])
@@ -276,9 +304,12 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     by_subset = (F.col("subset_x") > 0) & (F.col("subset_x") == required)
     x, y = side("_x").withColumnRenamed("subset", "subset_x"), side("_y").withColumnRenamed("subset", "subset_y")
     found = x.join(y, (x.key == y.key) & (F.col("subset_x") == F.col("subset_y")) & (F.col("rep_x") < F.col("rep_y")) & (by_list | by_subset))
-    found = written(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), (F.col("subset_x") > 0).alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure")), "pairs")
+    found = written(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), (F.col("subset_x") > 0).alias("sure"), (F.col("n_x") + F.col("n_y")).alias("size")).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max("size").alias("size")), "pairs")
 
-    open_pairs = found.where("not sure").select("a", "b")
+    wide = named.where("wide is not null").groupBy("rep").agg(F.max("wide").alias("wide"), F.count("*").alias("sets")).where("sets = 1").drop("sets")
+    open_pairs = found.where("not sure").drop("sure").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("left_wide")), "a", "left")
+    open_pairs = open_pairs.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("right_wide")), "b", "left").select("a", "b", "size", "left_wide", "right_wide")
+    open_pairs = written(open_pairs.mapInArrow(_close_pairs(percent), "a long, b long"), "close-pairs")
     wanted = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).distinct()
     # documents that share an id may hold different sets: the name of a set belongs to one key
     wanted = wanted.join(named.select("rep", "set_key"), "rep")

@@ -13,6 +13,7 @@ from accordant.llm.ngram_join import ngram_components
 from accordant.llm.pattern_packing import pack_documents
 from accordant.llm.quality_rules import quality_rules
 from accordant.llm.recurrent_lm import score_documents
+from accordant.llm import spaced_seed
 from accordant.llm.shared import id_fold, table
 from accordant.llm.subword_classifier import subword_scores
 from accordant.llm.token_frames import token_digests
@@ -44,6 +45,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
@@ -58,8 +63,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_recurrent_lm": op4_recurrent_lm,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_spaced_seed_decontamination": spaced_seed.oracle_sql(),
+}
