@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accordant.llm.bwt_dedup import removal_digests
 from accordant.llm.ngram_join import ngram_components
+from accordant.llm.page_extract import extract_pages
 from accordant.llm.pattern_packing import pack_documents
 from accordant.llm.quality_rules import quality_rules
 from accordant.llm.recurrent_lm import score_documents
@@ -53,6 +54,10 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_spaced_seed_decontamination": op7_spaced_seed_decontamination,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
 }
 
