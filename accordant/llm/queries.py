@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.llm.bwt_dedup import removal_digests
+from accordant.llm.license_scan import license_scan
 from accordant.llm.ngram_join import ngram_components
 from accordant.llm.page_extract import extract_pages
 from accordant.llm.pattern_packing import pack_documents
@@ -24,6 +25,13 @@ def tokenizer_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no path; each stands for a file in a directory of its source, and every hundredth for that directory's licence file."""
+    group, name = F.floor(F.col("doc_id") / 1000).cast("string"), F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise("text.md")
+    path = F.concat_ws("/", "source", group, F.floor(F.col("doc_id") / 100).cast("string"), name)
+    return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -63,6 +71,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_ngram_join": op2_ngram_join,
     "op3_token_frames": op3_token_frames,
     "op4_recurrent_lm": op4_recurrent_lm,
