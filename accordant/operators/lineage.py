@@ -43,13 +43,13 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_
     spark = edges.sparkSession
     start, end = ("source", "target") if direction == "downstream" else ("target", "source")
     usable = edges.where("source is not null and target is not null and source <> '' and target <> ''")
-    steps = usable.select(F.col(start).alias("at"), F.col(end).alias("to"), F.coalesce("relationship", F.lit("RELATED")).alias("relationship")).repartition("at").persist()
+    steps = usable.select(F.col(start).alias("at"), F.col(end).alias("to"), F.coalesce("relationship", F.lit("RELATED")).alias("relation")).repartition("at").persist()
     reached = frontier = seeds.select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("relationship")).distinct()
     safe = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     try:
         for distance in range(1, max_depth + 1):
-            new = frontier.join(steps, frontier.node_id == steps["at"]).groupBy("to").agg(F.min(steps["relationship"]).alias("r"))
-            new = new.join(reached.select("node_id"), new["to"] == F.col("node_id"), "left_anti").select(F.col("to").alias("node_id"), F.lit(distance).alias("distance"), F.col("r").alias("relationship"))
+            new = frontier.join(steps, F.col("node_id") == F.col("at")).groupBy("to").agg(F.min("relation").alias("r"))
+            new = new.join(reached.select("node_id"), F.col("to") == F.col("node_id"), "left_anti").select(F.col("to").alias("node_id"), F.lit(distance).alias("distance"), F.col("r").alias("relationship"))
             new = new.checkpoint() if safe and distance % CHECKPOINT_EVERY == 0 else new.persist()
             if new.isEmpty():
                 break
