@@ -5,9 +5,9 @@ the others; windows of test items and of documents meet when the kept words are
 ignores it. Around every meeting the item is laid over the document, and equal words at equal places are
 counted: a document holds an item if at least ``share`` of the item's words, and ``SPAN`` of them, are in place.
 
-Documents are read once and never shuffled: their windows probe a hash table of the items' windows if those are no more than ``BROADCAST_ROWS``
-(counted first), and are shuffled by window hash otherwise. What is shuffled after that is one row for each item
-that a task found in a document.
+Documents' windows probe a hash table of the items' windows if those are no more than ``BROADCAST_ROWS`` (counted first), and are shuffled
+by window hash otherwise. The meetings, one row for each item and shift in a document, are written; then the texts are read again, those with
+meetings picked by a hash table of the same bound or else by a shuffle, and the items laid over them.
 
 Defined results: items with fewer than ``SPAN`` words have no window and are never found; null or empty texts and items hold nothing;
 rows that share a doc_id count as one document, and rows with a null one too; items that share an id count as one; other columns are ignored.
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from accordant.llm.shared import written
+
 #: Fixed masks: 1 keeps a word, 0 ignores it.
 MASKS = ("1101011011", "1011100111")
 SPAN = 10
@@ -31,23 +33,28 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(cleaned, " "), lambda w: w != "")
 
 
-def _seed(hashes: Column, at: Column, mask: str) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(hashes, at + k) for k, c in enumerate(mask) if c == "1"])
+def _hashed(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
 
+def _windows(df: DataFrame, key: str) -> DataFrame:
+    """(key, place of the window's first word, seed), a row for each window and mask. Arrays of words don't go with the rows.
 
-def _windows(df: DataFrame) -> DataFrame:
-    """Adds place (of the window's first word) and seed, a row for each window and mask."""
+    The outer explode keeps Spark from testing the size of the array in a filter that would make it anew from the text.
+    """
     many = len(MASKS)
-    last = (F.size("hashes") - SPAN + 1) * many - 1
-    rows = df.where(F.size("hashes") >= SPAN).withColumn("k", F.explode(F.sequence(F.lit(0), last))).withColumn("place", F.floor(F.col("k") / many).cast("int"))
-    seed = _seed(F.col("hashes"), F.col("place"), MASKS[-1])
-    for i, mask in enumerate(MASKS[:-1]):
-        seed = F.when(F.col("k") % many == i, _seed(F.col("hashes"), F.col("place"), mask)).otherwise(seed)
-    return rows.withColumn("seed", seed).drop("k")
 
+    def seed(k: Column) -> Column:
+        place = F.floor(k / many).cast("int")
+        each = [F.xxhash64(F.lit(mask), *[F.get(F.col("hashes"), place + i) for i, c in enumerate(mask) if c == "1"]) for mask in MASKS]
+        out = each[-1]
+        for i, value in enumerate(each[:-1]):
+            out = F.when(k % many == i, value).otherwise(out)
+        return out
 
-def _hashed(text: Column) -> Column:
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+    seeds = F.transform(F.sequence(F.lit(0), (F.size("hashes") - SPAN + 1) * many - 1), seed)
+    rows = df.withColumn("seeds", F.when(F.size("hashes") >= SPAN, seeds)).select(key, F.posexplode_outer("seeds").alias("k", "seed")).where("seed is not null")
+    return rows.select(key, F.floor(F.col("k") / many).cast("int").alias("place"), "seed")
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
@@ -55,16 +62,26 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = SHAR
 
     documents: doc_id, text; benchmark: item_id, text.
     """
-    items = _windows(benchmark.select("item_id", _hashed(F.col("text")).alias("hashes")).withColumnRenamed("hashes", "item_hashes").withColumn("hashes", F.col("item_hashes")))
-    items = items.select("item_id", "item_hashes", F.col("place").alias("item_place"), "seed")
-    if items.count() <= BROADCAST_ROWS:
-        items = F.broadcast(items)
-    docs = _windows(documents.select("doc_id", _hashed(F.col("text")).alias("hashes")))
-    met = docs.join(items, "seed")
-    shift = F.col("place") - F.col("item_place")
+    if benchmark.select("item_id").isEmpty():
+        return documents.select("doc_id", F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_item"), F.lit(0).cast("long").alias("n_matched")).where("false")
+    items = benchmark.select("item_id", _hashed(F.col("text")).alias("hashes"))
+    seeds = _windows(items, "item_id").withColumnRenamed("place", "item_place")
+    if seeds.count() <= BROADCAST_ROWS:
+        seeds = F.broadcast(seeds)
+    met = _windows(documents.select("doc_id", _hashed(F.col("text")).alias("hashes")), "doc_id").join(seeds, "seed")
+    met = written(met.select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("shift")).distinct(), "meetings")
+
+    laid_items = items.select("item_id", F.col("hashes").alias("item_hashes"))
+    hits = met.withColumnRenamed("doc_id", "met_id").join(laid_items, "item_id")
+    if met.count() <= BROADCAST_ROWS:
+        hits = F.broadcast(hits)
+    texts = documents.select("doc_id", _hashed(F.col("text")).alias("hashes"))
+    both = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("met_id")))
+    shift = F.col("shift")
     from_doc, from_item = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
-    laid = F.zip_with(F.slice("hashes", from_doc + 1, F.size("item_hashes") - from_item), F.slice("item_hashes", from_item + 1, F.size("item_hashes") - from_item), lambda a, b: F.when(a == b, 1).otherwise(0))
-    counted = met.select("doc_id", "item_id", F.size("item_hashes").alias("n_item"), F.aggregate(laid, F.lit(0), lambda x, y: x + y).alias("n_matched"))
+    length = F.size("item_hashes") - from_item
+    equal = F.zip_with(F.slice("hashes", from_doc + 1, length), F.slice("item_hashes", from_item + 1, length), lambda a, b: F.when(a == b, 1).otherwise(0))
+    counted = both.select("doc_id", "item_id", F.size("item_hashes").alias("n_item"), F.aggregate(equal, F.lit(0), lambda x, y: x + y).alias("n_matched"))
     held = counted.where((F.col("n_matched") >= SPAN) & (F.col("n_matched") >= F.ceil(F.lit(share) * F.col("n_item"))))
     return held.groupBy("doc_id", "item_id").agg(F.max("n_item").cast("long").alias("n_item"), F.max("n_matched").cast("long").alias("n_matched"))
 
