@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Bytes that end a word: space and 0x09 to 0x0D.
 WORD_BREAKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[list(WORD_BREAKS)] = True
