@@ -158,9 +158,18 @@ def count_words(training: DataFrame) -> DataFrame:
 
 def build_vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("c"), "code").limit(lookup).select("code", "c").toPandas()
-    code, count = top["code"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    frequent = set(code[:FREQUENT_CLASSES].tolist()) | {END_CODE}
+    most = counts.orderBy(F.desc("c"), "code").limit(FREQUENT_CLASSES).select("code", "c").collect()
+    frequent = {int(r.code) % 2**64 for r in most} | {END_CODE}
+    # words as frequent as the lookup can take: whole bins of counts, of which there are at most 16 times 64
+    level = F.floor(F.log2("c") * 16)
+    room, least = lookup, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).collect(), key=lambda r: -r.level):
+        room -= r.v
+        if room < 0:
+            break
+        least = r.level
+    held = counts.where(level >= least if least is not None else F.lit(False)).select("code", "c").toArrow()
+    code, count = held.column("code").to_numpy().view(np.uint64), held.column("c").to_numpy()
     frequent = np.array(sorted(frequent), dtype=np.uint64)
     by_ending = counts.where(~F.col("code").isin([int(np.int64(np.uint64(x))) for x in frequent.view(np.int64)])).groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most 65536 rows
     ranked = sorted(by_ending, key=lambda r: (-r.c, r.ending))
@@ -172,8 +181,11 @@ def build_vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
     for r in by_ending:
         class_total[ending_class[r.ending]] += r.c
         class_words[ending_class[r.ending]] += r.v
-    held = dict(zip(code.tolist(), count.tolist(), strict=True))
-    class_total[: len(frequent)] = [held.get(x, 0) for x in frequent.tolist()]
+    times = {int(r.code) % 2**64: r.c for r in most}
+    times.setdefault(END_CODE, 0)
+    if END_CODE not in {int(r.code) % 2**64 for r in most}:
+        times[END_CODE] = next((r.c for r in counts.where(F.col("code") == int(np.array(END_CODE, np.uint64).astype(np.int64))).collect()), 0)
+    class_total[: len(frequent)] = [times[x] for x in frequent.tolist()]
     order = np.argsort(code)
     return Vocabulary(int(sums.n), int(sums.v), code[order], count[order], frequent, ending_class, class_total, class_words)
 
