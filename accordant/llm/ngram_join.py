@@ -12,6 +12,11 @@ Two sets link when ``100 * intersection >= percent * union``. Sets of equal cont
 * The boundary is the largest size up to which listing subsets costs no more than scanning lists, where the length
   of a list is measured on this input.
 
+* Before the lists, groups of near copies are drawn together: a set is cut into ``BLOCKS`` parts by hash, every part that several
+  sets share proposes the least of them as a partner to the others, and each set's most proposed partner is checked. Sets that are
+  connected by then aren't paired again: lists of a single component go, and pairs within one are not made. That
+  leaves the components as they are, and the links between different components.
+
 The counts of n-grams are distributed; only the ``FREQUENT`` most frequent ones go to the driver, and they alter
 nothing but the order, hence no link. Nothing is capped.
 
@@ -38,6 +43,10 @@ from accordant.llm.shared import find_words, mix, text_chunks, word_windows, wri
 FREQUENT = 1 << 16
 #: An n-gram counts as frequent from this many lists on.
 FREQUENT_FROM = 16
+#: Parts of a set by which near copies find each other; smaller sets than this have none.
+BLOCKS = 16
+#: Percentage of a set that a partner has to share in equal parts to be checked early.
+SHARED_FROM = 20
 #: Names of sets that a task remembers to have listed, and list entries that it counts at once.
 REMEMBERED = 1_000_000
 COUNTED_AT_ONCE = 4_000_000
@@ -122,6 +131,18 @@ def _wide_sketch(own: np.ndarray) -> bytes | None:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def _blocks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, size) of the parts of a sorted set that have elements."""
+    if len(own) < BLOCKS:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = BLOCKS.bit_length() - 1
+    part = (own >> np.uint64(64 - bits)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    size = np.diff(np.append(first, len(own)))
+    total = np.add.reduceat(mix(own ^ np.uint64(0x8BB84B93962EACC9)), first)
+    return mix(total + part[first].astype(np.uint64)).view(np.int64), size
+
+
 def _each_set(n: int, make: Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None], id_name: str = "doc_id"):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,6 +159,10 @@ def _members(ids: pa.Array, at: int, sets: list[np.ndarray]) -> pa.RecordBatch:
     sketches = np.array([_sketch(s) for s in sets]).reshape(len(sets), SKETCH_LONGS)
     names = [_set_key(s) for s in sets]
     columns = {"doc_id": ids.slice(at, len(sets)), "set_key": pa.array(names, pa.binary()), "name": pa.array([_name(k) for k in names], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
+    blocks = [_blocks(s) for s in sets]
+    edges = pa.array(np.concatenate([[0], np.cumsum([len(b) for b, _ in blocks])]).astype(np.int32))
+    for name, k in (("blocks", 0), ("block_sizes", 1)):
+        columns[name] = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([b[k] for b in blocks]).astype(np.int64)))
     columns["wide"] = pa.array([_wide_sketch(s) for s in sets], pa.binary())
     return pa.RecordBatch.from_pydict(columns | {f"b{i}": pa.array(sketches[:, i]) for i in range(SKETCH_LONGS)})
 
@@ -270,13 +295,51 @@ def _needed_sets(n: int, may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _proposed(named: DataFrame) -> DataFrame:
+    """(a, b, size) of pairs to check early: each set and the partner that most of it is shared with in equal parts."""
+    parts = named.where(F.size("blocks") > 0).select("rep", "n", F.explode(F.arrays_zip("blocks", "block_sizes")).alias("part"))
+    parts = parts.select("rep", "n", F.col("part.blocks").alias("block"), F.col("part.block_sizes").alias("shared"))
+    least = parts.groupBy("block").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("sets")).where("sets > 1")
+    met = parts.join(least, "block").where("rep <> least.rep").groupBy("rep", "n", "least").agg(F.sum("shared").alias("shared"))
+    best = met.groupBy("rep", "n").agg(F.max(F.struct("shared", "least")).alias("best")).where(100 * F.col("best.shared") >= SHARED_FROM * F.col("n"))
+    return best.select(F.col("best.least.rep").alias("a"), F.col("rep").alias("b"), (F.col("n") + F.col("best.least.n")).alias("size"))
+
+
+def _checked(docs: DataFrame, named: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs(a, b, size) that link, by their whole sets, which are made anew from the texts."""
+    wide = named.where("wide is not null").groupBy("rep").agg(F.max("wide").alias("wide"), F.count("*").alias("sets")).where("sets = 1").drop("sets")
+    open_pairs = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("left_wide")), "a", "left")
+    open_pairs = open_pairs.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("right_wide")), "b", "left").select("a", "b", "size", "left_wide", "right_wide")
+    open_pairs = written(open_pairs.mapInArrow(_close_pairs(percent), "a long, b long"), "close-pairs")
+    wanted = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).distinct()
+    # documents that share an id may hold different sets: the name of a set belongs to one key
+    wanted = wanted.join(named.select("rep", "set_key"), "rep")
+    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
+    may_need = np.zeros(FILTER_BITS, dtype=bool)
+    may_need[[r[0] for r in wanted.select(place).distinct().collect()]] = True  # no more numbers than bits
+    texts = docs.withColumnRenamed("doc_id", "rep").withColumn("place", place)
+    sets = texts.mapInArrow(_needed_sets(n, np.packbits(may_need)), "rep long, own binary, key binary")
+    sets = sets.join(wanted, (sets.rep == wanted.rep) & (sets.key == wanted.set_key), "left_semi").dropDuplicates(["rep", "key"]).drop("key")
+    sets = written(sets, "whole-sets")
+    return written(
+        open_pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("left_set")), "a")
+        .join(sets.select(F.col("rep").alias("b"), F.col("own").alias("right_set")), "b")
+        .select("a", "b", "left_set", "right_set")
+        .mapInArrow(_check_pairs(percent), "a long, b long"),
+        "links",
+    )
+
+
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(doc_id, n, rep) has every document with the name of its set, the smallest doc_id that has it;
-    links(a, b) has every two names of different sets that link, once."""
+    links(a, b) has every two names of sets that link, once, but for groups of near copies, of which it has enough to connect them."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = [f"b{i}" for i in range(SKETCH_LONGS)]
-    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, wide binary, " + ", ".join(f"{b} long" for b in sketch)), "sets")
-    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"), F.max("wide").alias("wide"))
+    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, blocks array<long>, block_sizes array<long>, wide binary, " + ", ".join(f"{b} long" for b in sketch)), "sets")
+    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"), F.max("wide").alias("wide"), F.first("blocks").alias("blocks"), F.first("block_sizes").alias("block_sizes"))
+    named = written(named, "different-sets")
+    early = connected_components(_checked(docs, named, n, percent, _proposed(named)))
+    grouped = named.drop("blocks", "block_sizes").join(early, named.rep == early.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
     counts = docs.mapInArrow(_list_lengths(n, percent), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     counts = written(counts, "list-lengths")
@@ -292,10 +355,12 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     keys = keys.repartition("key", "subset").distinct()  # one shuffle serves all that follows
     several = keys.groupBy("key", "subset").agg(F.count("*").alias("c")).where("c > 1")
     entries = written(keys.join(several, ["key", "subset"]).select("key", "subset", "name"), "lists")
-    entries = entries.join(named.drop("set_key", "wide"), "name").drop("name")
+    entries = written(entries.join(grouped.drop("set_key", "wide"), "name").drop("name"), "list-entries")
+    mixed = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
+    entries = entries.join(mixed, ["key", "subset"])
 
     def side(suffix: str) -> DataFrame:
-        return entries.select("key", "subset", *[F.col(c).alias(c + suffix) for c in ("rep", "n", *sketch)])
+        return entries.select("key", "subset", *[F.col(c).alias(c + suffix) for c in ("rep", "n", "component", *sketch)])
 
     smaller, larger = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
     required = F.expr(f"ceil({percent} * (n_x + n_y) / {100 + percent})")
@@ -303,30 +368,11 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     by_list = (F.col("subset_x") == 0) & (larger > light) & (100 * smaller >= percent * larger) & (differing <= F.col("n_x") + F.col("n_y") - 2 * required)
     by_subset = (F.col("subset_x") > 0) & (F.col("subset_x") == required)
     x, y = side("_x").withColumnRenamed("subset", "subset_x"), side("_y").withColumnRenamed("subset", "subset_y")
-    found = x.join(y, (x.key == y.key) & (F.col("subset_x") == F.col("subset_y")) & (F.col("rep_x") < F.col("rep_y")) & (by_list | by_subset))
+    found = x.join(y, (x.key == y.key) & (F.col("subset_x") == F.col("subset_y")) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (by_list | by_subset))
     found = written(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), (F.col("subset_x") > 0).alias("sure"), (F.col("n_x") + F.col("n_y")).alias("size")).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max("size").alias("size")), "pairs")
 
-    wide = named.where("wide is not null").groupBy("rep").agg(F.max("wide").alias("wide"), F.count("*").alias("sets")).where("sets = 1").drop("sets")
-    open_pairs = found.where("not sure").drop("sure").join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("left_wide")), "a", "left")
-    open_pairs = open_pairs.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("right_wide")), "b", "left").select("a", "b", "size", "left_wide", "right_wide")
-    open_pairs = written(open_pairs.mapInArrow(_close_pairs(percent), "a long, b long"), "close-pairs")
-    wanted = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).distinct()
-    # documents that share an id may hold different sets: the name of a set belongs to one key
-    wanted = wanted.join(named.select("rep", "set_key"), "rep")
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
-    may_need = np.zeros(FILTER_BITS, dtype=bool)
-    may_need[[r[0] for r in wanted.select(place).distinct().collect()]] = True  # no more numbers than bits
-    texts = docs.withColumnRenamed("doc_id", "rep").withColumn("place", place)
-    sets = texts.mapInArrow(_needed_sets(n, np.packbits(may_need)), "rep long, own binary, key binary")
-    sets = sets.join(wanted, (sets.rep == wanted.rep) & (sets.key == wanted.set_key), "left_semi").dropDuplicates(["rep", "key"]).drop("key")
-    sets = written(sets, "whole-sets")
-    checked = (
-        open_pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("left_set")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("own").alias("right_set")), "b")
-        .select("a", "b", "left_set", "right_set")
-        .mapInArrow(_check_pairs(percent), "a long, b long")
-    )
-    links = found.where("sure").select("a", "b").union(checked).distinct()
+    checked = _checked(docs, named, n, percent, found.where("not sure").select("a", "b", "size"))
+    links = found.where("sure").select("a", "b").union(checked).union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))).distinct()
     return members.select("doc_id", "n", "set_key").join(named.select("set_key", "rep"), "set_key", "left").drop("set_key"), links
 
 
@@ -347,3 +393,17 @@ def one_of_each_group(documents: DataFrame, n: int = 5, percent: int = 80) -> Da
     chosen = ngram_components(documents, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     kept = documents.join(chosen, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return kept.union(documents.where("doc_id is null"))
+
+
+def oracle_sql(n: int = 4, percent: int = 85) -> str:
+    """The same in DuckDB, by joining all equal n-grams; for small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    with recursive d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+    s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < {n} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(w[i:i + {n - 1}], ' ')) end) as g from d),
+    c as (select doc_id, count(*) as n from s group by doc_id),
+    p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+    l as (select a, b from p join c x on x.doc_id = a join c y on y.doc_id = b where 100 * k >= {percent} * (x.n + y.n - k)),
+    r(doc_id, component_id) as (select doc_id, doc_id from d union select l.b, r.component_id from r join l on l.a = r.doc_id)
+    select r.doc_id, coalesce(any_value(c.n), 0) as n_shingles, min(component_id) as component_id from r left join c on c.doc_id = r.doc_id group by r.doc_id
+    """
