@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from accordant.llm.bwt_dedup import removal_digests
 from accordant.llm.license_scan import license_scan
+from accordant.llm import ngram_join
 from accordant.llm.ngram_join import ngram_components
 from accordant.llm.page_extract import extract_pages
 from accordant.llm.pattern_packing import pack_documents
@@ -84,5 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": ngram_join.oracle_sql(n=4, percent=85),
     "op7_spaced_seed_decontamination": spaced_seed.oracle_sql(),
 }
