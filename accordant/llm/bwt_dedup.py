@@ -13,6 +13,8 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
    different flanks aren't gathered in a task: their strings are counted by hash, a row each, in an aggregate.
 5. The repeated starts, as intervals, are joined back to the texts, and the digests or the remaining text are made.
 
+Passages can be counted in words instead of bytes: every word becomes its 64-bit hash, and strings of so many hashes are looked for.
+
 Defined results: a null text is an empty one; texts shorter than ``length`` stay whole; every input row gives one
 row, repeated rows and ids included; other columns are ignored.
 """
@@ -29,9 +31,11 @@ from pyspark.sql import functions as F
 
 from accordant.llm.bwt_intervals import repeated_windows
 from accordant.llm.repeat_windows import BIN, Runs, deal_into_bins, find_runs, sums
-from accordant.llm.shared import text_chunks, written
+from accordant.llm.shared import find_words, text_chunks, written
 
 LENGTH = 400
+#: Bytes that stand for a word where passages are counted in words.
+WORD_BYTES = 8
 #: Different flanks of one core that a task gathers, at most.
 GROUP = 20_000
 #: Symbols whose suffixes are sorted at once, beyond which a task starts a new text at the next core.
@@ -53,6 +57,16 @@ def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[at])])
 
 
+def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts with ``WORD_BYTES`` bytes in place of each word and none for what is between words."""
+    for batch in batches:
+        for at, to, data, offsets in text_chunks(_column(batch, "text")):
+            words = find_words(data, offsets, lower=False)
+            edges = (np.searchsorted(words.doc, np.arange(len(offsets))) * WORD_BYTES).astype(np.int32)
+            codes = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(edges), pa.py_buffer(words.code.astype("<u8"))])
+            yield pa.RecordBatch.from_pydict({c: _column(batch, c).slice(at, to - at) for c in ("k1", "k2", "place")} | {"text": codes})
+
+
 def _anchors(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(code, k1, k2, c): how often the text k1, k2 has the anchor. A task tells of equal texts once, as far as it remembers them."""
 
@@ -202,12 +216,15 @@ def _filter(keys: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False) -> tuple[DataFrame, DataFrame]:
     """(texts, verdicts). texts: the documents' columns with text never null, k1 and k2, which name the text, and place.
-    verdicts(k1, k2, whole, starts): texts with repeats; starts are intervals [from, to) of bytes that go, unless all do."""
+    verdicts(k1, k2, whole, starts): texts with repeats; starts are intervals [from, to) of bytes that go, unless all do. With words, length and starts are in bytes of the word codes."""
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = documents.withColumn("text", text).withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(41), text)}).withColumn("place", F.pmod("k1", F.lit(FILTER_BITS)).cast("int"))
-    alone = texts.select("k1", "k2", "text")
+    source, kind = texts.select("k1", "k2", "place", "text"), "string"
+    if words:
+        source, kind = source.mapInArrow(_word_codes, "k1 long, k2 long, place int, text binary"), "binary"
+    alone = source.select("k1", "k2", "text")
     long_enough = alone.where(F.octet_length("text") >= length)
     whole = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
 
@@ -216,7 +233,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH) -> tuple[DataFram
     several = anchors.groupBy("code").agg(F.sum("c").alias("times")).where("times > 1")
     needed = written(anchors.join(several, "code").groupBy("k1", "k2").agg(F.collect_list("code").alias("codes")), "anchors")
 
-    found = texts.select("k1", "k2", "place", "text").mapInArrow(_needed_texts(_filter(needed)), "k1 long, k2 long, text string")
+    found = source.mapInArrow(_needed_texts(_filter(needed)), f"k1 long, k2 long, text {kind}")
     found = found.join(needed, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     contexts = found.mapInArrow(_contexts(length), "high long, low long, left binary, right binary, k1 long, k2 long, first long, n long")
     names = ("high", "low", "left", "right")
@@ -329,10 +346,31 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
     return out
 
 
-def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
+def passage_bytes(text: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The bytes of spans of word codes, with the white space that follows them, and what stands before the first word."""
+    if not spans:
+        return []
+    words = find_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=False)
+    edges = np.append(words.start, len(text)).tolist()
+    edges[0] = 0
+    merged = merge_spans([(s["from"], s["to"]) for s in spans])
+    return [(edges[-(-low // WORD_BYTES)], edges[high // WORD_BYTES]) for low, high in merged]
+
+
+def without_repeats(documents: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
     """The documents with repeated strings cut from their texts; a character goes if all its bytes do, and a document with them, if
-    nothing is left of a text that had something. Columns stay as they are; n_chars, if there is one, follows the text."""
+    nothing is left of a text that had something. Columns stay as they are; n_chars, if there is one, follows the text.
+
+    words: passages of so many words that stand anywhere else too go as well, however few bytes they have.
+    """
     texts, verdicts = repeated_spans(documents, length)
+    if words is None:
+        verdicts = verdicts.withColumn("passages", F.lit(None).cast(verdicts.schema["spans"].dataType))
+    else:
+        _, passages = repeated_spans(documents, words * WORD_BYTES, words=True)
+        passages = passages.select("k1", "k2", F.col("whole").alias("whole_too"), F.col("spans").alias("passages"))
+        whole = F.coalesce("whole", F.lit(False)) | F.coalesce("whole_too", F.lit(False))
+        verdicts = verdicts.join(passages, ["k1", "k2"], "full").select("k1", "k2", whole.alias("whole"), "spans", "passages")
     joined = texts.drop("place").join(verdicts, ["k1", "k2"], "left").drop("k1", "k2")
     columns = documents.columns
     counts = "n_chars" in columns
@@ -340,10 +378,11 @@ def without_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, keep = [], []
-            for text, whole, spans in zip(*[_column(batch, c).to_pylist() for c in ("text", "whole", "spans")], strict=True):
-                if whole or spans:
+            for text, whole, spans, passages in zip(*[_column(batch, c).to_pylist() for c in ("text", "whole", "spans", "passages")], strict=True):
+                if whole or spans or passages:
                     raw = text.encode()
-                    left = kept_bytes(raw, whole_characters(raw, removed_spans(raw, whole, spans))).decode()
+                    gone = whole_characters(raw, removed_spans(raw, whole, spans))
+                    left = kept_bytes(raw, merge_spans(gone + passage_bytes(raw, passages))).decode()
                 else:
                     left = text
                 out.append(left)

@@ -14,6 +14,9 @@ from accordant.llm.queries import tokenizer_file
 from accordant.llm.shared import table, table_path, written
 from accordant.llm.spaced_seed import without_contaminated
 
+#: Passages of over 50 words that repeat are cut.
+PASSAGE_WORDS = 51
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -26,8 +29,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that stand anywhere else too are cut from the texts."""
-    return without_repeats(docs)
+    """Strings of 400 bytes, and passages of 51 words, that stand anywhere else too are cut from the texts."""
+    return without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,6 +118,24 @@ def test_repeats_against_all_windows(documents):
     assert cut.columns == documents.columns and all(len(r.text.encode()) <= len(raw[r.doc_id]) for r in cut.collect())
 
 
+def test_pipeline_cuts_repeated_passages_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    make = lambda n: [f"{rng.randint(0, 10**6):x}" for _ in range(n)]
+    passage, shorter = [rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(51)], make(50)
+    parts = {i: (make(30), make(30)) for i in range(4)}
+    texts = {0: [*parts[0][0], *passage, *parts[0][1]], 1: [*parts[1][0], *passage, *parts[1][1]], 2: [*parts[2][0], *shorter, *parts[2][1]], 3: [*parts[3][0], *shorter, *parts[3][1]], 4: make(5) + passage + ["é" * 220] * 1, 5: ["é" * 220, "end"]}
+    texts = {i: " ".join(t) for i, t in texts.items()} | {6: None, 7: " \n" + "\n".join(passage) + "  "}
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in texts.items()], "doc_id long, text string, n_chars int").repartition(3)
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6}
+    for i in (0, 1):
+        assert got[i].text.split() == parts[i][0] + parts[i][1] and got[i].n_chars == len(got[i].text)
+    assert got[2].text == texts[2] and got[3].text == texts[3]
+    assert got[4].text.split() == texts[4].split()[:5] and got[5].text == " end"
+
+
 def test_intervals_against_sorted_suffixes():
     rng = np.random.default_rng(1)
     for depth in (2, 5, 16):
