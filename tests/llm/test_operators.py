@@ -313,6 +313,32 @@ def test_spaced_seeds(spark, documents):
     assert spaced_seed.contaminated(docs, bench.limit(0)).count() == 0 and spaced_seed.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_passages_of_items(spark):
+    rng = random.Random(17)
+    make = lambda n: [f"{rng.randint(0, 10**9):x}" for _ in range(n)]
+    long, item, short = make(200), make(30), make(6)
+    cases = {
+        0: make(20) + long[50:140] + make(20),  # 90 words of 200
+        1: make(5) + item[:10] + make(1) + item[10:20] + make(1) + item[20:] + make(5),  # two words put in
+        2: make(4) + item[:9] + item[10:20] + make(9),  # one word left out
+        3: item[:10] + make(40) + item[20:],  # pieces far apart
+        4: make(10) + short + make(10),
+        5: make(10) + short[:5] + make(10),
+        6: make(10) + item[:12] + make(40),
+        7: make(80),
+        8: make(3) + long[:13] + make(3),
+        9: make(3) + long[:12] + make(3),
+    }
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in cases.items()] + [(None, " ".join(long[:30])), (10, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((long, item, short))] + [(3, None)], "item_id long, text string")
+    for rows in (spaced_seed.BROADCAST_ROWS, 0):
+        spaced_seed.BROADCAST_ROWS, kept = rows, spaced_seed.BROADCAST_ROWS
+        try:
+            assert {r.doc_id for r in spaced_seed.without_contaminated(docs, bench).collect()} == {5, 6, 7, 9, 10}
+        finally:
+            spaced_seed.BROADCAST_ROWS = kept
+
+
 PAGE = "<html><head><title>t</title></head><body><nav>menu</nav>{0}<div class='ad'>buy</div><article><h1>{1} &amp; co</h1><p>one <b>two</b>three<br>four<div class='x1'>share this</div><p>tail{1}</article><footer>f</footer></body></html>"
 
 
