@@ -9,7 +9,8 @@ all words with the same last two bytes, or the rest.
 What is learned covers every training document: the counts of all words (a distributed table), the classes (from those counts)
 and the weights. For the weights the driver warms up on ``WARM_DOCUMENTS`` documents, then every trainer task takes
 those weights through all documents of its share, and the trainers' weights are averaged, by token, in a
-distributed sum; the average is taken unless it does worse on the warm-up documents.
+distributed sum. The average is what scores; the warm-up weights are only where the trainers start. A log line tells how many
+trainers and tokens it is made of.
 
 Counts of the ``LOOKUP`` most frequent words are looked up in memory while scoring; all other words of a document are joined
 to the counts table, so the result is the same for any size of the lookup.
@@ -20,6 +21,7 @@ input row gives one row; other columns are ignored; without training documents a
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ from pyspark.sql import functions as F
 from accordant.llm.gated_network import Trainer, flatten, log_probabilities, new_network, restore
 from accordant.llm.shared import LOWER, find_words, text_chunks, written
 
+_log = logging.getLogger(__name__)
+
 #: Classes of one frequent word; further classes of last two bytes; the last class takes the rest.
 FREQUENT_CLASSES = 64
 ENDING_CLASSES = 63
@@ -236,12 +240,10 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     shares = training.select("text")
     shares = shares.coalesce(max(1, -(-shares.rdd.getNumPartitions() // SHARES_PER_TRAINER)))
     parts = shares.mapInArrow(_train(vocabulary, warm.net), "weights array<double>")
-    summed = parts.select(F.posexplode("weights").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w")).toPandas().sort_values("at")["w"].to_numpy()
-    if not len(summed):
-        return warm.net
-    average = restore(summed[:-1] / summed[-1], net)
-    loss = [-log_probabilities(n, classes, edges, vocabulary.end_class).mean() for n in (average, warm.net)]
-    return average if loss[0] <= loss[1] + 0.02 else warm.net
+    summed = parts.select(F.posexplode("weights").alias("at", "w")).groupBy("at").agg(F.sum("w").alias("w"), F.count("*").alias("trainers")).toPandas().sort_values("at")
+    weights = summed["w"].to_numpy()  # there are some: every document has its end token at least
+    _log.info("recurrent weights: the average of %d trainers over %d training tokens", summed["trainers"].iloc[0], weights[-1])
+    return restore(weights[:-1] / weights[-1], net)
 
 
 def _score(vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

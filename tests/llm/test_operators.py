@@ -275,6 +275,22 @@ def test_language_model(spark, documents, nothing):
     assert recurrent_lm.score_documents(nothing, held).count() == 0
 
 
+def test_weights_come_from_all_training_documents(spark, monkeypatch):
+    monkeypatch.setattr(recurrent_lm, "WARM_DOCUMENTS", 1)
+    first = spark.range(4).orderBy(F.xxhash64("id"), "id").first()[0]  # the document that is warmed up on
+    texts = {i: "a b " * 400 if i == first else "c d " * 6000 for i in range(4)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    vocabulary = recurrent_lm.build_vocabulary(recurrent_lm.count_words(docs))
+    judged = iter(range(-9, 0))  # whatever is judged on the sample, the average does worse
+    with monkeypatch.context() as patch:
+        patch.setattr(recurrent_lm, "log_probabilities", lambda *_: np.array([next(judged)]))
+        net = recurrent_lm.train(docs, vocabulary)
+    data = np.frombuffer(b"c d " * 50, np.uint8)
+    code, ending, edges = recurrent_lm._tokens(data, np.array([0, len(data)]))
+    loss = -recurrent_lm.log_probabilities(net, vocabulary.classes(code, ending), edges, vocabulary.end_class)
+    assert np.median(loss) < 0.2
+
+
 def test_gradient_of_the_recurrent_network():
     from accordant.llm import gated_network as g
 
