@@ -332,14 +332,22 @@ def _checked(docs: DataFrame, named: DataFrame, n: int, percent: int, pairs: Dat
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(doc_id, n, rep) has every document with the name of its set, the smallest doc_id that has it;
-    links(a, b) has every two names of sets that link, once, but for groups of near copies, of which it has enough to connect them."""
+    links(a, b) has every two names of sets that link, once, and nothing else. In a group of near copies that is every pair."""
+    return _members_and_edges(documents, n, percent, every=True)
+
+
+def _members_and_edges(documents: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """(members, edges): with every, edges are the links; without, they connect the same sets, but leave out links within early components
+    and have edges from these to their sets instead."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = [f"b{i}" for i in range(SKETCH_LONGS)]
     members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, blocks array<long>, block_sizes array<long>, wide binary, " + ", ".join(f"{b} long" for b in sketch)), "sets")
     named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"), F.max("wide").alias("wide"), F.first("blocks").alias("blocks"), F.first("block_sizes").alias("block_sizes"))
     named = written(named, "different-sets")
-    early = connected_components(_checked(docs, named, n, percent, _proposed(named)))
-    grouped = named.drop("blocks", "block_sizes").join(early, named.rep == early.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
+    grouped = named.drop("blocks", "block_sizes").withColumn("component", F.col("rep"))
+    if not every:
+        early = connected_components(_checked(docs, named, n, percent, _proposed(named)))
+        grouped = grouped.drop("component").join(early, named.rep == early.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
 
     counts = docs.mapInArrow(_list_lengths(n, percent), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     counts = written(counts, "list-lengths")
@@ -372,14 +380,17 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     found = written(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), (F.col("subset_x") > 0).alias("sure"), (F.col("n_x") + F.col("n_y")).alias("size")).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max("size").alias("size")), "pairs")
 
     checked = _checked(docs, named, n, percent, found.where("not sure").select("a", "b", "size"))
-    links = found.where("sure").select("a", "b").union(checked).union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))).distinct()
+    links = found.where("sure").select("a", "b").union(checked)
+    if not every:
+        links = links.union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
+    links = links.distinct()
     return members.select("doc_id", "n", "set_key").join(named.select("set_key", "rep"), "set_key", "left").drop("set_key"), links
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document. documents: doc_id, text."""
-    members, links = ngram_links(documents, n, percent)
-    components = connected_components(links)
+    members, edges = _members_and_edges(documents, n, percent, every=False)
+    components = connected_components(edges)
     return members.join(components, members.rep == components.node, "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
     )

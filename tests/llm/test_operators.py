@@ -90,6 +90,24 @@ def test_light_subsets_find_exactly_the_links():
                     assert c in ngram_join.subset_sizes(a, 14, percent) and c in ngram_join.subset_sizes(b, 14, percent)
 
 
+def test_ngram_links_are_all_true_links(spark):
+    rng = random.Random(23)
+    base = [f"{rng.randint(0, 10**9):x}" for _ in range(120)]
+    texts = []
+    for i in range(12):  # a chain of near copies: neighbours link, the ends don't
+        texts.append(" ".join(["x%d" % k for k in range(4 * i)][-4:] + base[4 * i :] + ["y%d" % k for k in range(4 * i)]))
+    texts += [texts[0], texts[0] + " tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for n, percent in ((4, 85), (5, 80)):
+        sets = [_set(t, n) for t in texts]
+        first = {s: i for i, s in reversed(list(enumerate(sets)))}
+        expected = {(a, b) for a in first.values() for b in first.values() if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        members, links = ngram_join.ngram_links(docs, n, percent)
+        got = [(r.a, r.b) for r in links.collect()]
+        assert set(got) == expected and len(got) == len(expected) > 10
+        assert {r.doc_id: r.rep for r in members.collect()} == {i: first[s] for i, s in enumerate(sets)}
+
+
 def test_ngram_empty_and_repeated_rows(spark, nothing):
     assert ngram_join.ngram_components(nothing).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
