@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from typing import Any
@@ -12,10 +13,8 @@ from pyspark.sql import types as T
 
 NODES = "node_id string, node_type string, label string, metadata map<string,string>"
 EDGES = "source string, target string, relationship string"
-#: Walks end after this many steps even on graphs that have longer paths.
-MAX_DEPTH = 100
 SEEDS = 8
-#: Walks write their frontier to the shared folder every so many steps.
+#: Walks write what they have reached to the shared folder every so many steps.
 CHECKPOINT_EVERY = 5
 
 
@@ -35,8 +34,8 @@ def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[D
     return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
 
 
-def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(node_id, distance, relationship) of all nodes reached from seeds(node_id), which are left out themselves.
+def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
+    """(node_id, distance, relationship) of all nodes reached from seeds(node_id), in max_depth steps if given; the seeds are left out.
 
     One join a step: the frontier with the edges, less what was reached before; edges are dealt by their start once and read again.
     """
@@ -47,13 +46,17 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_
     reached = frontier = seeds.select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("relationship")).distinct()
     safe = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
     try:
-        for distance in range(1, max_depth + 1):
+        for distance in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
             new = frontier.join(steps, F.col("node_id") == F.col("at")).groupBy("to").agg(F.min("relation").alias("r"))
             new = new.join(reached.select("node_id"), F.col("to") == F.col("node_id"), "left_anti").select(F.col("to").alias("node_id"), F.lit(distance).alias("distance"), F.col("r").alias("relationship"))
-            new = new.checkpoint() if safe and distance % CHECKPOINT_EVERY == 0 else new.persist()
+            new = new.persist()
             if new.isEmpty():
                 break
             reached, frontier = reached.union(new), new
+            if distance % CHECKPOINT_EVERY == 0:  # or the plan would grow with the depth
+                reached = reached.repartition("node_id")
+                reached = reached.checkpoint() if safe else reached.localCheckpoint()
+                frontier = reached.where(F.col("distance") == distance)
         return reached.where("distance > 0")
     finally:
         steps.unpersist()

@@ -110,6 +110,13 @@ def test_registry_fallback(spark):
     assert got == {("c", "y"): (1, "high"), ("c", "z"): (1, "medium"), ("d", "x"): (0, "low")}
 
 
+def test_walk_follows_a_chain_of_over_100_steps(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "R") for i in range(104)], lineage.EDGES).coalesce(1)
+    seeds = spark.createDataFrame([("n0",)], "node_id string")
+    assert {r.node_id: r.distance for r in lineage.walk(edges, seeds).collect()} == {f"n{i}": i for i in range(1, 105)}
+
+
 def test_walk_has_least_distance_and_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b", "R"), ("a", "c", None), ("b", "d", "R"), ("c", "d", "R"), ("d", "a", "R"), ("d", "e", "R"), (None, "x", "R")], lineage.EDGES)
     seeds = spark.createDataFrame([("a",)], "node_id string")
