@@ -2,8 +2,9 @@
 
 A tolerant parser builds the element tree of a page. What is not part of the article by its tag, role, class or id goes. Of the
 rest, every subtree that could belong to the site rather than to the page is hashed, the pages of a host that have
-it are counted in Spark, and subtrees on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of the host's pages are deleted.
-Inside an article, only short subtrees with a class or an id count as such; running text that articles share stays.
+it are counted in Spark, and subtrees on at least ``MIN_PAGES`` pages are deleted if these are ``MANY_PAGES`` or ``MIN_SHARE`` of the host's pages.
+Inside an article, that goes for short subtrees with a class or an id. Long ones, and those without a name that stand first or last in
+the article, may be prose that articles share: they go if they are on ``HIGH_SHARE`` of the host's pages. Other unnamed parts of an article stay.
 
 Counts are combined before the shuffle, so a host with most pages weighs no more than its different subtrees; the pages of such a
 host are dealt to several tasks by Spark's skew join when the host's templates are joined to them.
@@ -27,7 +28,11 @@ from accordant.llm.shared import written
 
 MIN_PAGES = 5
 MIN_SHARE = 0.2
-#: Longest text of a subtree inside an article that may count as a template.
+#: Pages that make a template of a subtree however many pages the host has.
+MANY_PAGES = 100
+#: Share of a host's pages for what may be prose.
+HIGH_SHARE = 0.5
+#: Longest text of a named subtree inside an article that isn't taken for prose.
 SHORT_TEXT = 300
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -225,27 +230,47 @@ def text_of(node: Node) -> str:
     return " ".join("".join(out).split())
 
 
-def _candidates(node: Node, inside: bool) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node):
-            if not inside or _NAMED.search(child.attributes):
-                yield child
-            yield from _candidates(child, inside)
+def _edges(part: Node) -> set[int]:
+    """The nodes, by identity, that stand first or last in a part of the article, and first or last in these."""
+    out: set[int] = set()
+    for step in (1, -1):
+        node: Node | None = part
+        while node is not None:
+            child = next((c for c in node.children[::step] if (c.strip() if isinstance(c, str) else text_of(c))), None)
+            node = child if isinstance(child, Node) else None
+            if node is not None:
+                out.add(id(node))
+    return out
+
+
+def _candidates(part: Node, inside: bool) -> Iterator[tuple[Node, bool]]:
+    """Subtrees that may belong to the site, and whether they may be prose."""
+    edges = _edges(part) if inside else set()
+    todo = [part]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, Node):
+                named = bool(_NAMED.search(child.attributes))
+                if not inside:
+                    yield child, False
+                elif named or id(child) in edges:
+                    yield child, not named or len(text_of(child)) > SHORT_TEXT
+                todo.append(child)
 
 
-def _code(source: str, node: Node) -> int:
-    return xxhash.xxh64_intdigest(source[node.start : node.end].encode()) - (1 << 63)
+def _code(source: str, node: Node, prose: bool) -> int:
+    """Hash of a subtree; as prose it has another one, for it is judged by another share."""
+    return xxhash.xxh64_intdigest(source[node.start : node.end].encode(), seed=int(prose)) - (1 << 63)
 
 
-def templates_of(source: str) -> set[int]:
-    """Hashes of the subtrees that may belong to the site."""
+def templates_of(source: str) -> dict[int, bool]:
+    """Hashes of the subtrees that may belong to the site, and whether they may be prose."""
     parts, inside = main_parts(parse(source))
-    out = set()
+    out = {}
     for part in parts:
         prune(part, inside)
-        for node in _candidates(part, inside):
-            if not inside or len(text_of(node)) <= SHORT_TEXT:
-                out.add(_code(source, node))
+        for node, prose in _candidates(part, inside):
+            out[_code(source, node, prose)] = prose
     return out
 
 
@@ -258,8 +283,8 @@ def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset
     for part in parts:
         prune(part, inside)
         if templates:
-            for node in _candidates(part, inside):
-                if _code(source, node) in templates and (not inside or len(text_of(node)) <= SHORT_TEXT):
+            for node, prose in list(_candidates(part, inside)):
+                if _code(source, node, prose) in templates:
                     node.dropped = True
         texts.append(text_of(part))
     return " ".join(t for t in texts if t)
@@ -267,12 +292,13 @@ def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hosts, codes = [], []
+        hosts, codes, may_be_prose = [], [], []
         for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for code in templates_of(source) if source else ():
+            for code, prose in (templates_of(source) if source else {}).items():
                 hosts.append(host)
                 codes.append(code)
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "code": pa.array(codes, pa.int64())})
+                may_be_prose.append(prose)
+        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "code": pa.array(codes, pa.int64()), "prose": pa.array(may_be_prose, pa.bool_())})
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,9 +312,10 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, codes): hashes of the subtrees that recur on a host. pages: host, html."""
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", "html").mapInArrow(_subtrees, "host string, code long").groupBy("host", "code").agg(F.count("*").alias("on"))
-    recurring = counts.where(F.col("on") >= min_pages).join(sizes, "host").where(F.col("on") >= min_share * F.col("pages"))
-    return written(recurring.groupBy("host").agg(F.collect_list("code").alias("codes")), "templates")  # at most subtrees of a page / min_share
+    counts = pages.select("host", "html").mapInArrow(_subtrees, "host string, code long, prose boolean").groupBy("host", "code", "prose").agg(F.count("*").alias("on"))
+    enough = F.when(F.col("prose"), HIGH_SHARE * F.col("pages")).otherwise(F.least(F.lit(float(MANY_PAGES)), min_share * F.col("pages")))
+    recurring = counts.where(F.col("on") >= min_pages).join(sizes, "host").where(F.col("on") >= enough)
+    return written(recurring.groupBy("host").agg(F.collect_list("code").alias("codes")), "templates")  # at most subtrees of the host's pages / min_pages
 
 
 def extract_pages(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:

@@ -390,6 +390,17 @@ def test_pages(spark):
     assert page_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_templates_of_a_large_host_and_at_the_edges_of_articles(spark):
+    notice, box = "All stories here are free to read. " * 12, "<div class='x7'>see more</div>"
+    big = [(i, f"http://big.example.com/{i}", f"<body>{'<div>from the east desk</div>' if i < 100 else ''}<article><p>Story {i}</p>{box if i < 100 else ''}<p>end {i}</p></article></body>") for i in range(1000)]
+    bare = [(1000 + i, f"http://big.example.com/b{i}", f"<body>{'<div>from the east desk</div>' if i < 100 else ''}<p>Plain {i}</p></body>") for i in range(200)]
+    small = [(2000 + i, f"http://small.example.com/{i}", f"<body><article><p>{notice}</p><h1>T {i}</h1><div class='q'>{notice}</div><p>same prose</p><p>own {i}</p><p>bye</p></article></body>") for i in range(10)]
+    df = spark.createDataFrame(big + bare + small, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_extract.extract_pages(df).collect()}
+    assert all(got[i] == f"Story {i} end {i}" for i in range(1000)) and all(got[1000 + i] == f"Plain {i}" for i in range(200))
+    assert all(got[2000 + i] == f"T {i} same prose own {i}" for i in range(10))
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/b/c/f.py", "import x\n# Licensed under the Apache License, Version 2.0.\nx"), (2, "a/b/c/g.py", "nothing here of the kind"), (3, "a/LICENSE", "Released under the MIT License."),
