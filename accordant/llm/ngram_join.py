@@ -1,62 +1,63 @@
 """Size-aware heavy-light Jaccard self-join of documents as sets of word n-grams, and its components.
 
-Two sets link when ``100 * intersection >= percent * union``. Sets of equal content are one set from the start.
+Two sets link when ``100 * intersection >= percent * union``. Sets of equal content are one set from the start. Texts are read
+and hashed once: the sets are written, and everything later reads them.
 
 * Light sets list fixed-size subsets of themselves. Two sets of a and b n-grams link exactly when they share at least
   ``needed(a, b)`` of them, that is, when they have a subset of that size in common. A light set lists its
-  subsets of every size that a partner can call for, so light links follow from equal keys, with no check to do.
-* Heavy sets scan inverted lists. In one order of all n-grams (frequent ones last, else by hash), sets
-  that link share an n-gram within the first ``size - ceil(percent * size / 100) + 1`` of each. Those make
-  the lists; size and a 512-bit parity sketch rule out most pairs within the join, and the rest are
-  checked on the whole sets. Light sets near the boundary are in the lists too, for their heavy partners.
-* The boundary is the largest size up to which listing subsets costs no more than scanning lists, where the length
-  of a list is measured on this input.
-
-* Before the lists, groups of near copies are drawn together: a set is cut into ``BLOCKS`` parts by hash, every part that several
-  sets share proposes the least of them as a partner to the others, and each set's most proposed partner is checked. Sets that are
-  connected by then aren't paired again: lists of a single component go, and pairs within one are not made. That
-  leaves the components as they are, and the links between different components.
-
-The counts of n-grams are distributed; only the ``FREQUENT`` most frequent ones go to the driver, and they alter
-nothing but the order, hence no link. Nothing is capped.
+  subsets of every size that a partner can call for, so light links follow from equal keys.
+* Heavy sets scan inverted lists. In one order of all n-grams, sets that link share an n-gram within the first
+  ``prefix_length`` of each, which make the lists. A set first lists half as many more in the order of hashes, and the lengths of these
+  lists tell which n-grams are frequent. Sets with enough n-grams that aren't go by the order that has frequent ones last, so what
+  many texts share brings them into no common list; pairs with one of the other sets go by the order of hashes. Size and a 512-bit
+  parity sketch rule out most pairs within the join, a wider sketch most of the others.
+* The boundary is the largest size up to which listing subsets costs no more than scanning lists, whose length is measured on this input.
+* Every pair that is left is checked on the whole sets.
+
+For components, groups of near copies are drawn together before lists are joined with themselves: a few leaders of a list and size band
+(the set that stands in the longest lists, and the first ones by hash) are proposed to the others of the list, and the partners that most of a set's lists propose to it are checked. Sets that are
+connected by then aren't paired again: lists of a single component go, and pairs within one are not made. That
+leaves the components as they are, and the links between different components. Sets whose lists have the same leader meet each other by
+this leader, once, and not in every list that they share.
+
+Counts, orders and lists are distributed: nothing of them goes to the driver, and nothing is capped.
 
 Defined results: a null or empty text, or one without words, is an empty set, linked with nothing; fewer than n
 words make one n-gram; every input row gives one row; rows that share a doc_id, or have a null one, keep
-their own sets; a component is named by the smallest doc_id in it that isn't null.
+their own sets; a component is named by the smallest doc_id in it that isn't null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
-from math import comb
+from functools import partial
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accordant.llm.components import connected_components
-from accordant.llm.shared import find_words, mix, text_chunks, word_windows, written
-
-#: N-grams that are put last in the order, at most (16 bytes each on the driver and in a task).
-FREQUENT = 1 << 16
-#: An n-gram counts as frequent from this many lists on.
-FREQUENT_FROM = 16
-#: Parts of a set by which near copies find each other; smaller sets than this have none.
-BLOCKS = 16
-#: Percentage of a set that a partner has to share in equal parts to be checked early.
+from accordant.llm.shared import find_words, mix, text_chunks, text_keys, word_windows, written
+
+#: An n-gram is frequent from more list entries than this on.
+RARE = 64
+#: Percentage of a set's list entries that it has to share with a partner to be checked early.
 SHARED_FROM = 20
-#: Names of sets that a task remembers to have listed, and list entries that it counts at once.
-REMEMBERED = 1_000_000
-COUNTED_AT_ONCE = 4_000_000
-#: Bits of the filter that tells which documents a check may need, on the driver and in a task.
-FILTER_BITS = 1 << 20
-#: Light sets are never larger than this, whatever the lists cost.
-LARGEST_LIGHT = 24
+#: Entries of a list from which on partners are proposed in it, and how many.
+CROWD = 4
+LEADERS = 3
+#: Names of sets that a task remembers to have listed, and entries that it sends on at once.
+REMEMBERED = 200_000
+LISTED_AT_ONCE = 150_000
 SKETCH_LONGS = 8
-WIDE_FROM = 400
-WIDE_BITS = 4096
+SKETCHES = tuple(f"b{i}" for i in range(SKETCH_LONGS))
+#: Sets larger than this have a wide sketch too, for the small one is too full to tell them apart.
+WIDE_FROM = 800
+WIDE_LONGS = 64
 
 
 def needed(a: int, b: int, percent: int) -> int:
@@ -68,16 +69,22 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def listed_length(size: int, percent: int) -> int:
+    """How many n-grams a set lists in the order of hashes, to find enough that aren't frequent."""
+    length = prefix_length(size, percent)
+    return min(size, length + length // 2 + 1)
+
+
 def subset_sizes(size: int, largest: int, percent: int) -> list[int]:
     """Sizes of subsets that a set of this size shares with a partner of at most ``largest`` elements."""
     partners = range(-(-percent * size // 100), min(largest, 100 * size // percent) + 1)
     return sorted({c for b in partners if b and (c := needed(size, b, percent)) <= min(size, b)})
 
 
-def light_boundary(list_length: float, percent: int) -> int:
+def light_boundary(list_length: float, percent: int, largest: int) -> int:
     """Largest size up to which the subsets of a set are no more than the entries of the lists that it would scan."""
     best = 0
-    for size in range(1, LARGEST_LIGHT + 1):
+    for size in range(1, largest + 1):
         # partners beyond a boundary at this size are found by lists
         if sum(comb(size, c) for c in subset_sizes(size, size, percent)) > max(1.0, prefix_length(size, percent) * list_length):
             break
@@ -113,67 +120,48 @@ def _set_key(own: np.ndarray) -> bytes:
 
 
 def _name(key: bytes) -> int | None:
-    """64 of the bits, by which the lists know a set."""
+    """64 of the bits, by which the lists know a set; sets that share a name are told apart by the check of whole sets."""
     return int.from_bytes(key[:8], "little", signed=True) if key else None
 
 
-def _sketch(own: np.ndarray) -> np.ndarray:
+def _sketch(own: np.ndarray, bits: int) -> np.ndarray:
     """Bit i: whether the number of elements that hash to i is odd."""
-    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % (64 * SKETCH_LONGS), minlength=64 * SKETCH_LONGS) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _wide_sketch(own: np.ndarray) -> bytes | None:
-    """A sketch for large sets, for which the small one is too full to tell them apart."""
-    if len(own) <= WIDE_FROM:
-        return None
-    bits = np.bincount((own >> np.uint64(20)).astype(np.int64) % WIDE_BITS, minlength=WIDE_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
-
-
-def _blocks(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, size) of the parts of a sorted set that have elements."""
-    if len(own) < BLOCKS:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bits = BLOCKS.bit_length() - 1
-    part = (own >> np.uint64(64 - bits)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    size = np.diff(np.append(first, len(own)))
-    total = np.add.reduceat(mix(own ^ np.uint64(0x8BB84B93962EACC9)), first)
-    return mix(total + part[first].astype(np.uint64)).view(np.int64), size
-
-
-def _each_set(n: int, make: Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None], id_name: str = "doc_id"):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("text", id_name))
-            for at, to, data, offsets in text_chunks(texts):
-                out = make(ids, at, text_sets(data, offsets, n))
-                if out is not None and out.num_rows:
-                    yield out
-
-    return run
-
-
-def _members(ids: pa.Array, at: int, sets: list[np.ndarray]) -> pa.RecordBatch:
-    sketches = np.array([_sketch(s) for s in sets]).reshape(len(sets), SKETCH_LONGS)
-    names = [_set_key(s) for s in sets]
-    columns = {"doc_id": ids.slice(at, len(sets)), "set_key": pa.array(names, pa.binary()), "name": pa.array([_name(k) for k in names], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
-    blocks = [_blocks(s) for s in sets]
-    edges = pa.array(np.concatenate([[0], np.cumsum([len(b) for b, _ in blocks])]).astype(np.int32))
-    for name, k in (("blocks", 0), ("block_sizes", 1)):
-        columns[name] = pa.ListArray.from_arrays(edges, pa.array(np.concatenate([b[k] for b in blocks]).astype(np.int64)))
-    columns["wide"] = pa.array([_wide_sketch(s) for s in sets], pa.binary())
-    return pa.RecordBatch.from_pydict(columns | {f"b{i}": pa.array(sketches[:, i]) for i in range(SKETCH_LONGS)})
-
-
-def _order(own: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """A set in the order of the lists."""
-    if not len(frequent):
-        return own
-    at = np.minimum(np.searchsorted(frequent, own), len(frequent) - 1)
-    last = np.where(frequent[at] == own, rank[at], 0)
-    return own[np.argsort(last, kind="stable")]
+    odd = np.bincount((own >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def _sets_of(column: pa.Array) -> list[np.ndarray]:
+    """The sets of a binary column, without copies."""
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def _write_sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at, to, data, offsets in text_chunks(_column(batch, "text")):
+            sets = text_sets(data, offsets, n)
+            sketches = np.array([_sketch(s, 64 * SKETCH_LONGS).view(np.int64) for s in sets]).reshape(len(sets), SKETCH_LONGS)
+            keys = [_set_key(s) for s in sets]
+            columns = {c: _column(batch, c).slice(at, to - at) for c in ("doc_id", "k1", "k2")}
+            columns |= {"set_key": pa.array(keys, pa.binary()), "name": pa.array([_name(k) for k in keys], pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64())}
+            columns |= {f"b{i}": pa.array(sketches[:, i]) for i in range(SKETCH_LONGS)}
+            columns["wide"] = pa.array([_sketch(s, 64 * WIDE_LONGS).view(np.int64) if len(s) > WIDE_FROM else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(columns | {"own": pa.array([s.tobytes() for s in sets], pa.binary())})
+
+
+def _new_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """(name, set) of the sets that a task meets, equal ones once as far as it remembers them."""
+    met: set[int] = set()
+    for batch in batches:
+        for name, own in zip(_column(batch, "name").to_pylist(), _sets_of(_column(batch, "own")), strict=True):
+            if name is not None and name not in met:
+                if len(met) >= REMEMBERED:
+                    met.clear()
+                met.add(name)
+                yield name, own
 
 
 def _subset_rows(own: np.ndarray, largest: int, percent: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -185,225 +173,251 @@ def _subset_rows(own: np.ndarray, largest: int, percent: int) -> Iterator[tuple[
         yield mix((total - codes[out].sum(axis=1, dtype=np.uint64)) + np.uint64(size * 0x8EBC6AF09C88C6E3 % 2**64)), size
 
 
-def _keys(percent: int, light: int, frequent: np.ndarray, rank: np.ndarray) -> Callable[[pa.Array, int, list[np.ndarray]], pa.RecordBatch | None]:
-    """What sets list: (key, size of the subset or 0, name of the set). A task lists equal sets once, as far as it remembers them."""
-    from_size = -(-percent * (light + 1) // 100)
-    listed: set[int] = set()
-
-    def make(_: pa.Array, __: int, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        keys, counts, names, sizes = [], [], [], []
-        if len(listed) > REMEMBERED:
-            listed.clear()
-        for own in sets:
-            name = _name(_set_key(own))
-            if name is None or name in listed:
-                continue
-            listed.add(name)
-            if len(own) <= light:
-                for k, size in _subset_rows(own, light, percent):
-                    keys.append(k)
-                    sizes.append(np.full(len(k), size))
-                    names.append(name)
-                    counts.append(len(k))
-            if len(own) >= from_size:
-                k = _order(own, frequent, rank)[: prefix_length(len(own), percent)]
-                keys.append(k)
-                sizes.append(np.zeros(len(k), np.int64))
-                names.append(name)
-                counts.append(len(k))
-        if not keys:
-            return None
-        return pa.RecordBatch.from_pydict(
-            {"key": pa.array(np.concatenate(keys).view(np.int64)), "subset": pa.array(np.concatenate(sizes).astype(np.int32)), "name": pa.array(np.repeat(np.array(names, np.int64), counts))}
-        )
-
-    return make
-
-
-def _list_lengths(n: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, count) of list entries in hash order, counted within a task; a key that a task meets once is not told."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[np.ndarray] = []
-        size, seen = 0, set()
-
-        def tell() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": pa.array(keys[counts > 1].view(np.int64)), "c": pa.array(counts[counts > 1])})
-
-        for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(batch.schema.get_field_index("text"))):
-                for own in text_sets(data, offsets, n):
-                    if len(own) and (first := own[: prefix_length(len(own), percent)].tobytes()) not in seen:
-                        waiting.append(np.frombuffer(first, np.uint64))
-                        size += len(waiting[-1])
-                        if len(seen) < REMEMBERED // 10:
-                            seen.add(first)
-                if size >= COUNTED_AT_ONCE:
-                    yield tell()
-                    waiting, size = [], 0
-        if waiting:
+def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """What sets list: (key, name of the set, place of the key in the set)."""
+    keys, names, counts, waiting = [], [], [], 0
+
+    def tell() -> pa.RecordBatch:
+        places = np.arange(waiting) - np.repeat(np.cumsum(counts) - counts, counts)
+        return pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "name": pa.array(np.repeat(np.array(names, np.int64), counts)), "at": pa.array(places.astype(np.int32))})
+
+    for name, own in _new_sets(batches):
+        keys.append(own[: listed_length(len(own), percent)])
+        names.append(name)
+        counts.append(len(keys[-1]))
+        waiting += counts[-1]
+        if waiting >= LISTED_AT_ONCE:
             yield tell()
+            keys, names, counts, waiting = [], [], [], 0
+    if keys:
+        yield tell()
+
+
+def _subsets(batches: Iterator[pa.RecordBatch], percent: int, light: int) -> Iterator[pa.RecordBatch]:
+    """What light sets list: (key, size of the subset, id of the set, size of the set)."""
+    for batch in batches:
+        for id_, own in zip(_column(batch, "id").to_pylist(), _sets_of(_column(batch, "own")), strict=True):
+            for keys, size in _subset_rows(own, light, percent):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "subset": pa.array([size] * len(keys), pa.int64()), "id": pa.array([id_] * len(keys), pa.int64()), "n": pa.array([len(own)] * len(keys), pa.int64())})
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = []
+        for x, y in zip(_sets_of(_column(batch, "left_set")), _sets_of(_column(batch, "right_set")), strict=True):
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _band(n: Column, percent: int) -> Column:
+    """Size bands: sets that link are in the same one or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (log(100 / percent) * (1 + 1e-9))) if percent < 100 else n
+
+
+def _may_link(size: Column, percent: int, suffixes: tuple[str, str] = ("_x", "_y")) -> Column:
+    """Whether the sketches of two sets, of ``size`` n-grams together, don't rule out that they link."""
+    x, y = suffixes
+    most = size - 2 * F.ceil(percent * size / (100 + percent))
+    small: Column = sum((F.bit_count(F.col(f"b{i}{x}").bitwiseXOR(F.col(f"b{i}{y}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col(f"b0{x}").bitwiseXOR(F.col(f"b0{y}"))))
+    wide = F.aggregate(F.zip_with(f"wide{x}", f"wide{y}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+    return (small <= most) & F.coalesce(wide <= most, F.lit(True))
+
+
+def _checked(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs(a, b) that link, by their whole sets."""
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    whole = written(members.select(F.col("row").alias("id"), "own").join(wanted, "id", "left_semi"), "whole-sets")
+    both = pairs.select("a", "b").join(whole.select(F.col("id").alias("a"), F.col("own").alias("left_set")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("right_set")), "b")
+    return written(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"), "links")
+
+
+def _proposed(entries: DataFrame, percent: int) -> DataFrame:
+    """(id, n, shared, kind, leader, leader_n): sets and the partners of their band that lead many of their lists.
+
+    Of a group of near copies, the set that stands in the longest lists is the one that most of it looks like.
+    """
+    banded = entries.where(F.col("c") >= CROWD).select("key", _band(F.col("n"), percent).alias("band"), "id", "n", "c")
+    standing = banded.groupBy("id").agg(F.sum("c").alias("standing"), F.count("*").alias("lists"))
+    banded = written(banded.drop("c").join(standing, "id"), "list-standings")
+    by = [F.col("standing"), *[F.xxhash64(F.lit(k), "id") for k in range(1, LEADERS)]]
+    leaders = banded.groupBy("key", "band").agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.max_by(F.struct("id", "n"), F.struct(b, "id")).alias("set")) for k, b in enumerate(by)]).alias("leaders"))
+    met = banded.join(leaders, ["key", "band"]).select("id", "n", "lists", F.explode("leaders").alias("leader")).where("id <> leader.set.id")
+    met = met.groupBy("id", "n", "lists", "leader").agg(F.count("*").alias("shared"))
+    # most of the lists of a near copy have the leader, unless it differs as much as it may; no more than 100 / SHARED_FROM partners of a kind
+    likely = met.where(100 * F.col("shared") >= SHARED_FROM * F.col("lists"))
+    return written(likely.select("id", "n", "shared", F.col("leader.kind").alias("kind"), F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
 
-    return run
-
-
-def _check_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = batch.column("left_set"), batch.column("right_set")
-            linked = []
-            for x, y in zip(left, right, strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
-
-    return run
-
-
-def _close_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The pairs whose wide sketches don't rule out a link."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y, size in zip(batch.column("left_wide"), batch.column("right_wide"), batch.column("size").to_pylist(), strict=True):
-                if x.is_valid and y.is_valid:
-                    differing = int.from_bytes(x.as_buffer(), "little") ^ int.from_bytes(y.as_buffer(), "little")
-                    keep.append(differing.bit_count() <= size - 2 * -(-percent * size // (100 + percent)))
-                else:
-                    keep.append(True)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _needed_sets(n: int, may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Whole sets of the documents that pass the filter."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        needed_at = np.unpackbits(may_need).astype(bool)
-        for batch in batches:
-            place = batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(needed_at[place]))
-            texts, ids = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "rep"))
-            for at, to, data, offsets in text_chunks(texts):
-                sets = text_sets(data, offsets, n)
-                yield pa.RecordBatch.from_pydict({"rep": ids.slice(at, to - at), "own": pa.array([s.tobytes() for s in sets], pa.binary()), "key": pa.array([_set_key(s) for s in sets], pa.binary())})
-
-    return run
-
-
-def _proposed(named: DataFrame) -> DataFrame:
-    """(a, b, size) of pairs to check early: each set and the partner that most of it is shared with in equal parts."""
-    parts = named.where(F.size("blocks") > 0).select("rep", "n", F.explode(F.arrays_zip("blocks", "block_sizes")).alias("part"))
-    parts = parts.select("rep", "n", F.col("part.blocks").alias("block"), F.col("part.block_sizes").alias("shared"))
-    least = parts.groupBy("block").agg(F.min(F.struct("rep", "n")).alias("least"), F.count("*").alias("sets")).where("sets > 1")
-    met = parts.join(least, "block").where("rep <> least.rep").groupBy("rep", "n", "least").agg(F.sum("shared").alias("shared"))
-    best = met.groupBy("rep", "n").agg(F.max(F.struct("shared", "least")).alias("best")).where(100 * F.col("best.shared") >= SHARED_FROM * F.col("n"))
-    return best.select(F.col("best.least.rep").alias("a"), F.col("rep").alias("b"), (F.col("n") + F.col("best.least.n")).alias("size"))
-
-
-def _checked(docs: DataFrame, named: DataFrame, n: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """(a, b) of the pairs(a, b, size) that link, by their whole sets, which are made anew from the texts."""
-    wide = named.where("wide is not null").groupBy("rep").agg(F.max("wide").alias("wide"), F.count("*").alias("sets")).where("sets = 1").drop("sets")
-    open_pairs = pairs.join(wide.select(F.col("rep").alias("a"), F.col("wide").alias("left_wide")), "a", "left")
-    open_pairs = open_pairs.join(wide.select(F.col("rep").alias("b"), F.col("wide").alias("right_wide")), "b", "left").select("a", "b", "size", "left_wide", "right_wide")
-    open_pairs = written(open_pairs.mapInArrow(_close_pairs(percent), "a long, b long"), "close-pairs")
-    wanted = open_pairs.select(F.col("a").alias("rep")).union(open_pairs.select("b")).distinct()
-    # documents that share an id may hold different sets: the name of a set belongs to one key
-    wanted = wanted.join(named.select("rep", "set_key"), "rep")
-    place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
-    may_need = np.zeros(FILTER_BITS, dtype=bool)
-    may_need[[r[0] for r in wanted.select(place).distinct().collect()]] = True  # no more numbers than bits
-    texts = docs.withColumnRenamed("doc_id", "rep").withColumn("place", place)
-    sets = texts.mapInArrow(_needed_sets(n, np.packbits(may_need)), "rep long, own binary, key binary")
-    sets = sets.join(wanted, (sets.rep == wanted.rep) & (sets.key == wanted.set_key), "left_semi").dropDuplicates(["rep", "key"]).drop("key")
-    sets = written(sets, "whole-sets")
-    return written(
-        open_pairs.join(sets.select(F.col("rep").alias("a"), F.col("own").alias("left_set")), "a")
-        .join(sets.select(F.col("rep").alias("b"), F.col("own").alias("right_set")), "b")
-        .select("a", "b", "left_set", "right_set")
-        .mapInArrow(_check_pairs(percent), "a long, b long"),
-        "links",
-    )
+
+def _near(members: DataFrame, proposals: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the proposals whose sketches don't rule out a link."""
+    pairs = proposals.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), (F.col("n") + F.col("leader_n")).alias("size")).distinct()
+
+    def side(node: str, suffix: str) -> DataFrame:
+        return members.select(F.col("row").alias(node), *[F.col(c).alias(c + suffix) for c in (*SKETCHES, "wide")])
+
+    both = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b")
+    return written(both.where(_may_link(F.col("size"), percent)).select("a", "b"), "near-pairs")
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(doc_id, n, rep) has every document with the name of its set, the smallest doc_id that has it;
-    links(a, b) has every two names of sets that link, once, and nothing else. In a group of near copies that is every pair."""
-    return _members_and_edges(documents, n, percent, every=True)
-
-
-def _members_and_edges(documents: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): with every, edges are the links; without, they connect the same sets, but leave out links within early components
-    and have edges from these to their sets instead."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketch = [f"b{i}" for i in range(SKETCH_LONGS)]
-    members = written(docs.mapInArrow(_each_set(n, _members), "doc_id long, set_key binary, name long, n long, blocks array<long>, block_sizes array<long>, wide binary, " + ", ".join(f"{b} long" for b in sketch)), "sets")
-    named = members.where("n > 0 and doc_id is not null").groupBy("set_key", "name", "n", *sketch).agg(F.min("doc_id").alias("rep"), F.max("wide").alias("wide"), F.first("blocks").alias("blocks"), F.first("block_sizes").alias("block_sizes"))
-    named = written(named, "different-sets")
-    grouped = named.drop("blocks", "block_sizes").withColumn("component", F.col("rep"))
+    links(a, b) has every two names of sets that link, once, and nothing else. In a group of near copies that is every pair.
+    Names tell sets apart if doc_ids are unique and not null."""
+    members, named, links = _members_and_edges(documents, n, percent, every=True)
+    reps = named.select("id", "rep")
+    named_links = links.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return members.select("doc_id", "n", "set_key").join(named.select("set_key", "rep"), "set_key", "left").drop("set_key"), named_links
+
+
+def _members_and_edges(documents: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, named, edges). members(row, doc_id, k1, k2, n, set_key, ...): a row for each document; named(set_key, name, n, id, rep): the different sets, known
+    by the number of their first row; edges(a, b) of set ids: with every, the links; without, they connect the same sets, but leave out links within early
+    components and have others of these in their place."""
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys("text"))
+    schema = "doc_id long, k1 long, k2 long, set_key binary, name long, n long, " + ", ".join(f"{b} long" for b in SKETCHES) + ", wide array<long>, own binary"
+    members = written(docs.mapInArrow(partial(_write_sets, n=n), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
+    sets = members.where("n > 0")
+    named = written(sets.groupBy("set_key", "name", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep")), "different-sets")
+
+    entries = _entries(sets, named, percent)
+    lengths = entries.groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+    light = light_boundary((lengths[0] or 1.0) / (lengths[1] or 1.0), percent, named.agg(F.max("n")).first()[0] or 0)
+
+    early = places = None
     if not every:
-        early = connected_components(_checked(docs, named, n, percent, _proposed(named)))
-        grouped = grouped.drop("component").join(early, named.rep == early.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-
-    counts = docs.mapInArrow(_list_lengths(n, percent), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-    counts = written(counts, "list-lengths")
-    single = named.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    pairs = counts.agg(F.sum(F.col("c").cast("double") * F.col("c"))).first()[0] or 0.0
-    light = light_boundary(max(1.0, pairs / max(single, 1)), percent)
-    top = counts.where(F.col("c") >= FREQUENT_FROM).orderBy(F.desc("c"), "key").limit(FREQUENT).toPandas()
-    frequent = top["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(frequent)
-    frequent, rank = frequent[order], top["c"].to_numpy(np.int64)[order]
-
-    keys = docs.mapInArrow(_each_set(n, _keys(percent, light, frequent, rank)), "key long, subset int, name long")
-    keys = keys.repartition("key", "subset").distinct()  # one shuffle serves all that follows
-    several = keys.groupBy("key", "subset").agg(F.count("*").alias("c")).where("c > 1")
-    entries = written(keys.join(several, ["key", "subset"]).select("key", "subset", "name"), "lists")
-    entries = written(entries.join(grouped.drop("set_key", "wide"), "name").drop("name"), "list-entries")
-    mixed = entries.groupBy("key", "subset").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").drop("lo", "hi")
-    entries = entries.join(mixed, ["key", "subset"])
-
-    def side(suffix: str) -> DataFrame:
-        return entries.select("key", "subset", *[F.col(c).alias(c + suffix) for c in ("rep", "n", "component", *sketch)])
-
-    smaller, larger = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
-    required = F.expr(f"ceil({percent} * (n_x + n_y) / {100 + percent})")
-    differing: Column = sum((F.bit_count(F.col(f"{b}_x").bitwiseXOR(F.col(f"{b}_y"))) for b in sketch[1:]), F.bit_count(F.col("b0_x").bitwiseXOR(F.col("b0_y"))))
-    by_list = (F.col("subset_x") == 0) & (larger > light) & (100 * smaller >= percent * larger) & (differing <= F.col("n_x") + F.col("n_y") - 2 * required)
-    by_subset = (F.col("subset_x") > 0) & (F.col("subset_x") == required)
-    x, y = side("_x").withColumnRenamed("subset", "subset_x"), side("_y").withColumnRenamed("subset", "subset_y")
-    found = x.join(y, (x.key == y.key) & (F.col("subset_x") == F.col("subset_y")) & (F.col("rep_x") < F.col("rep_y")) & (F.col("component_x") != F.col("component_y")) & (by_list | by_subset))
-    found = written(found.select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), (F.col("subset_x") > 0).alias("sure"), (F.col("n_x") + F.col("n_y")).alias("size")).groupBy("a", "b").agg(F.max("sure").alias("sure"), F.max("size").alias("size")), "pairs")
-
-    checked = _checked(docs, named, n, percent, found.where("not sure").select("a", "b", "size"))
-    links = found.where("sure").select("a", "b").union(checked)
+        proposals = _proposed(entries, percent)
+        early = written(connected_components(_checked(members, _near(members, proposals, percent), percent)), "early-components")
+        leaders = proposals.where("kind = 0").groupBy("id").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+        places = written(early.withColumnRenamed("node", "id").join(leaders, "id", "full"), "places")
+    entries = _placed(entries, places)
+    light_sets = _placed(_subset_entries(members, named, light, percent), places)
+    found = _by_lists(entries, members, light, percent).union(_by_subsets(light_sets, percent))
     if not every:
+        found = found.union(_by_leaders(entries, members, light, percent))
+    links = _checked(members, written(found.distinct(), "pairs"), percent)
+    if early is not None:
         links = links.union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
-    links = links.distinct()
-    return members.select("doc_id", "n", "set_key").join(named.select("set_key", "rep"), "set_key", "left").drop("set_key"), links
+    return members, named, links
+
+
+def _entries(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, c, hard, rare, early) of list entries that several sets have. c: entries of the list; hard: too few of what the set has listed isn't frequent;
+    rare: among the first of the set in the order that has frequent n-grams last, unless it is hard; early: among the first in the order of hashes."""
+    keys = sets.select("name", "own").mapInArrow(partial(_lists, percent=percent), "key long, name long, at int")
+    keys = keys.repartition("key")  # one shuffle serves all that follows
+    several = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key", "c")
+    lists = written(keys.join(several.hint("shuffle_hash"), "key").distinct(), "lists")
+    lists = lists.join(named.select("name", "id", "n"), "name")
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    known = F.least("n", first + F.floor(first / 2) + 1)
+    of_set = Window.partitionBy("id")
+    frequent = F.when(F.col("c") > RARE, 1).otherwise(0)
+    lists = lists.withColumns({"before": F.sum(frequent).over(of_set.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum(frequent).over(of_set)})
+    hard = known - F.col("all") < first
+    rare = ~hard & (F.col("c") <= RARE) & (F.col("at") - F.col("before") < first)
+    early = F.col("at") < first
+    return written(lists.select("key", "id", "n", "c", hard.alias("hard"), rare.alias("rare"), early.alias("early")).where("rare or early"), "list-entries")
+
+
+def _placed(entries: DataFrame, places: DataFrame | None) -> DataFrame:
+    """The entries with component and leader of their sets; sets without a leader have one that no other set has."""
+    if places is None:
+        return entries.withColumns({"component": F.col("id"), "leader": -1 - F.col("id")})
+    return entries.join(places, "id", "left").withColumns({"component": F.coalesce("component", "id"), "leader": F.coalesce("leader", -1 - F.col("id"))})
+
+
+def _mixed(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """The entries of lists that several components meet in."""
+    return entries.join(entries.groupBy(*keys).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select(*keys), keys)
+
+
+def _side(entries: DataFrame, keys: list[str], suffix: str) -> DataFrame:
+    return entries.select(*keys, *[F.col(c).alias(c + suffix) for c in entries.columns if c not in keys])
+
+
+def _near_pairs(met: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs of different components, not both light, that may link by size and sketches."""
+    smaller, larger, size = F.least("n_x", "n_y"), F.greatest("n_x", "n_y"), F.col("n_x") + F.col("n_y")
+    near = (larger > light) & (100 * smaller >= percent * larger) & _may_link(size, percent)
+    return met.where((F.col("component_x") != F.col("component_y")) & near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
+
+
+def _by_lists(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs that meet in a list, have not the same leader, and may link; light sets meet each other elsewhere.
+
+    Sets that aren't hard meet in lists of at most ``RARE`` entries. A hard set meets those of its list that are in its size band or the next ones.
+    """
+    sketches = members.select(F.col("row").alias("id"), *SKETCHES, "wide")
+    rare = _mixed(entries.where("rare").drop("c", "hard", "rare", "early"), ["key"]).join(sketches, "id")
+    met = _side(rare, ["key"], "_x").join(_side(rare, ["key"], "_y"), "key").where((F.col("id_x") < F.col("id_y")) & (F.col("leader_x") != F.col("leader_y")))
+    found = _near_pairs(met, light, percent)
+
+    early = entries.where("early").drop("c", "rare", "early").withColumn("band", _band(F.col("n"), percent))
+    hard = early.where("hard").drop("hard")
+    beside = early.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(hard.select("key", "band").distinct(), ["key", "band"])
+    met = _side(hard.join(sketches, "id"), ["key", "band"], "_x").join(_side(beside.join(sketches, "id"), ["key", "band"], "_y"), ["key", "band"])
+    met = met.where(F.col("leader_x") != F.col("leader_y"))
+    return found.union(_near_pairs(met.where((F.col("id_x") < F.col("id_y")) | (~F.col("hard_y") & (F.col("id_x") != F.col("id_y")))), light, percent))
+
+
+def _by_leaders(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs that have the same leader and may link."""
+    sets = _mixed(entries.where("leader >= 0").select("leader", "id", "n", "component").distinct(), ["leader"])
+    sets = sets.join(members.select(F.col("row").alias("id"), *SKETCHES, "wide"), "id")
+    met = _side(sets, ["leader"], "_x").join(_side(sets, ["leader"], "_y"), "leader").where(F.col("id_x") < F.col("id_y"))
+    return _near_pairs(met, light, percent)
+
+
+def _subset_entries(members: DataFrame, named: DataFrame, light: int, percent: int) -> DataFrame:
+    """(key, subset, id, n): the subsets that light sets list."""
+    small = members.where(F.col("n").between(1, light)).select(F.col("row").alias("id"), "own").join(named.where(F.col("n") <= light).select("id"), "id", "left_semi")
+    return written(small.mapInArrow(partial(_subsets, percent=percent, light=light), "key long, subset long, id long, n long"), "subsets")
+
+
+def _by_subsets(entries: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the light pairs that have a subset of the size that they need in common."""
+    entries = _mixed(entries.drop("leader"), ["key", "subset"])
+    found = _side(entries, ["key", "subset"], "_x").join(_side(entries, ["key", "subset"], "_y"), ["key", "subset"])
+    found = found.where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")))
+    return found.where(F.col("subset") == F.expr(f"ceil({percent} * (n_x + n_y) / {100 + percent})")).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
+
+
+def _grouped(documents: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, k1, k2, n, component, component_id) of every document: component is null for an empty set; component_id is the smallest doc_id of its component."""
+    members, named, edges = _members_and_edges(documents, n, percent, every=False)
+    linked = written(connected_components(edges), "components")
+    names = linked.join(named.select(F.col("id").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    groups = linked.join(names, "component")
+    groups = named.select("set_key", "id", "rep").join(groups, named.id == groups.node, "left")
+    groups = groups.select("set_key", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("least"))
+    return members.select("doc_id", "k1", "k2", "n", "set_key").join(groups, "set_key", "left").select("doc_id", "k1", "k2", "n", "component", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document. documents: doc_id, text."""
-    members, edges = _members_and_edges(documents, n, percent, every=False)
-    components = connected_components(edges)
-    return members.join(components, members.rep == components.node, "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id")
-    )
+    return _grouped(documents, n, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without near copies: of each component one row with the smallest doc_id stays, with all its columns.
+    """The documents without near copies: of each component the row with the smallest doc_id stays, with all its columns.
 
-    Rows without a doc_id can't be told apart and all stay.
+    Rows that share a doc_id but not a text are documents of their own; of rows that share both, one stays, as does the row with the text of the smallest hash
+    where a component has several of its smallest doc_id. Rows without a doc_id can't be told apart and all stay, as do all different ones without words.
     """
-    chosen = ngram_components(documents, n, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = documents.join(chosen, F.col("doc_id").cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(documents.where("doc_id is null"))
+    rows = _grouped(documents, n, percent).where("doc_id is not null").groupBy("component", "doc_id", "k1", "k2").agg(F.count("*").alias("times"))
+    fields = ("doc_id", "k1", "k2", "times")
+    of_groups = rows.where("component is not null").groupBy("component").agg(F.min(F.struct(*fields)).alias("kept")).select("kept.*")
+    chosen = written(of_groups.union(rows.where("component is null").select(*fields)), "kept")
+
+    def those(keys: DataFrame) -> DataFrame:
+        k1, k2 = text_keys("text")
+        return documents.join(keys, (F.col("doc_id").cast("long") == keys["_ngram_id"]) & (k1 == keys["_ngram_k1"]) & (k2 == keys["_ngram_k2"]), "left_semi")
+
+    named = chosen.toDF("_ngram_id", "_ngram_k1", "_ngram_k2", "_ngram_times")
+    kept = those(named.where("_ngram_times = 1")).union(documents.where("doc_id is null"))
+    repeated = named.where("_ngram_times > 1")
+    return kept if repeated.isEmpty() else kept.union(those(repeated).dropDuplicates(["doc_id", "text"]))
 
 
 def oracle_sql(n: int = 4, percent: int = 85) -> str:

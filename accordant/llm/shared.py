@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -135,11 +136,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one in the warehouse if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session in one process gets a folder of its own, a cluster an error."""
+    context = spark.sparkContext._jsc.sc()
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.getCheckpointDir().isEmpty():
+        folder = context.getCheckpointDir().get()
     if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.isLocal():
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+    if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
@@ -161,6 +167,12 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def text_keys(text: str) -> tuple[Column, Column]:
+    """k1 and k2, 128 bits that name a text; a null text is an empty one."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(whole).alias("k1"), F.xxhash64(F.lit(41), whole).alias("k2")
+
+
 def id_fold(doc_id: Column, n: int = 5) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
