@@ -249,15 +249,14 @@ def _proposed(entries: DataFrame, percent: int) -> DataFrame:
     return written(likely.select("id", "n", "shared", F.col("leader.kind").alias("kind"), F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
 
 
-def _near(members: DataFrame, proposals: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of the proposals whose sketches don't rule out a link."""
-    pairs = proposals.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), (F.col("n") + F.col("leader_n")).alias("size")).distinct()
+def _near(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the pairs(a, b, size) whose sketches don't rule out a link."""
 
     def side(node: str, suffix: str) -> DataFrame:
         return members.select(F.col("row").alias(node), *[F.col(c).alias(c + suffix) for c in (*SKETCHES, "wide")])
 
-    both = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b")
-    return written(both.where(_may_link(F.col("size"), percent)).select("a", "b"), "near-pairs")
+    both = pairs.distinct().join(side("a", "_x"), "a").join(side("b", "_y"), "b")
+    return both.where(_may_link(F.col("size"), percent)).select("a", "b")
 
 
 def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +286,9 @@ def _members_and_edges(documents: DataFrame, n: int, percent: int, every: bool)
     early = places = None
     if not every:
         proposals = _proposed(entries, percent)
-        early = written(connected_components(_checked(members, _near(members, proposals, percent), percent)), "early-components")
+        proposed = proposals.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), (F.col("n") + F.col("leader_n")).alias("size"))
+        near = written(_near(members, proposed, percent), "near-pairs")
+        early = written(connected_components(_checked(members, near, percent)), "early-components")
         leaders = proposals.where("kind = 0").groupBy("id").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
         places = written(early.withColumnRenamed("node", "id").join(leaders, "id", "full"), "places")
     entries = _placed(entries, places)
@@ -336,10 +337,15 @@ def _side(entries: DataFrame, keys: list[str], suffix: str) -> DataFrame:
     return entries.select(*keys, *[F.col(c).alias(c + suffix) for c in entries.columns if c not in keys])
 
 
+def _sizes_fit(light: int, percent: int) -> Column:
+    """Whether sets of n_x and n_y n-grams, not both light, may link."""
+    smaller, larger = F.least("n_x", "n_y"), F.greatest("n_x", "n_y")
+    return (larger > light) & (100 * smaller >= percent * larger)
+
+
 def _near_pairs(met: DataFrame, light: int, percent: int) -> DataFrame:
     """(a, b) of the pairs of different components, not both light, that may link by size and sketches."""
-    smaller, larger, size = F.least("n_x", "n_y"), F.greatest("n_x", "n_y"), F.col("n_x") + F.col("n_y")
-    near = (larger > light) & (100 * smaller >= percent * larger) & _may_link(size, percent)
+    near = _sizes_fit(light, percent) & _may_link(F.col("n_x") + F.col("n_y"), percent)
     return met.where((F.col("component_x") != F.col("component_y")) & near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
@@ -348,11 +354,12 @@ def _by_lists(entries: DataFrame, members: DataFrame, light: int, percent: int)
 
     Sets that aren't hard meet in lists of at most ``RARE`` entries. A hard set meets those of its list that are in its size band or the next ones.
     """
-    sketches = members.select(F.col("row").alias("id"), *SKETCHES, "wide")
-    rare = _mixed(entries.where("rare").drop("c", "hard", "rare", "early"), ["key"]).join(sketches, "id")
-    met = _side(rare, ["key"], "_x").join(_side(rare, ["key"], "_y"), "key").where((F.col("id_x") < F.col("id_y")) & (F.col("leader_x") != F.col("leader_y")))
-    found = _near_pairs(met, light, percent)
+    rare = _mixed(entries.where("rare").select("key", "id", "n", "component", "leader"), ["key"])
+    met = _side(rare, ["key"], "_x").join(_side(rare, ["key"], "_y"), "key")
+    met = met.where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("leader_x") != F.col("leader_y")) & _sizes_fit(light, percent))
+    found = _near(members, met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("size")), percent)
 
+    sketches = members.select(F.col("row").alias("id"), *SKETCHES, "wide")
     early = entries.where("early").drop("c", "rare", "early").withColumn("band", _band(F.col("n"), percent))
     hard = early.where("hard").drop("hard")
     beside = early.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(hard.select("key", "band").distinct(), ["key", "band"])
