@@ -1,22 +1,24 @@
 """Main text of web pages: site templates are found by counting element subtrees per host and removed.
 
-A tolerant parser builds the element tree of a page. What is not part of the article by its tag, role, class or id goes. Of the
+A tolerant parser builds the element tree of a page, in time linear in the page, however deep or broken. What is not part of the article by its tag,
+role, class or id goes; a class or id counts if all its words speak of such parts or of layout, so "related-posts" does and "related-work" doesn't. Of the
 rest, every subtree that could belong to the site rather than to the page is hashed, the pages of a host that have
 it are counted in Spark, and subtrees on at least ``MIN_PAGES`` pages are deleted if these are ``MANY_PAGES`` or ``MIN_SHARE`` of the host's pages.
-Inside an article, that goes for short subtrees with a class or an id. Long ones, and those without a name that stand first or last in
-the article, may be prose that articles share: they go if they are on ``HIGH_SHARE`` of the host's pages. Other unnamed parts of an article stay.
+Inside an article, that goes for subtrees with a class or an id. Those without that stand first or last in
+the article may be prose that articles share: they go if they are on ``HIGH_SHARE`` of the host's pages. Other unnamed parts of an article stay.
 
 Counts are combined before the shuffle, so a host with most pages weighs no more than its different subtrees; the pages of such a
 host are dealt to several tasks by Spark's skew join when the host's templates are joined to them.
 
 Defined results: null or empty html gives empty text; a page without markup is its own text; every input row gives one row;
-a null or odd url belongs to a host named by the empty text; other columns are ignored.
+a null or odd url belongs to a host named by the empty text; a tag that is open at the end of the page goes with what follows it; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +34,12 @@ MIN_SHARE = 0.2
 MANY_PAGES = 100
 #: Share of a host's pages for what may be prose.
 HIGH_SHARE = 0.5
-#: Longest text of a named subtree inside an article that isn't taken for prose.
-SHORT_TEXT = 300
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 #: Elements that are never part of an article.
 DROPPED = frozenset(
-    "nav footer aside form script style noscript template iframe svg button select input textarea dialog menu head title object canvas map math audio video".split()
+    "nav footer aside form script style noscript template iframe svg button select input textarea dialog menu head title".split()
 )
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -65,34 +65,47 @@ MARKS = frozenset(
     "notices alert newsletter subscribe subscription popup modal overlay comment comments disqus discussion replies reply respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar login "
     "signup signin search form masthead skip hidden toc tags".split()
 )
+#: Words of layout that may stand beside them.
+LAYOUT = frozenset(
+    "site page main global top bottom left right first last primary secondary inner outer wrap wrapper container content section area block box bar list item items link links row col column post posts article articles story stories "
+    "user reader readers header head title text body slot unit group panel buttons button icon icons message msg us to the and of".split()
+)
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
-_TAG_END = re.compile(r"""(?:[^>"']+|"[^"]*"|'[^']*')*?>""")
+_TAG_END = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
 _MARKED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id)\s*=""", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Node:
-    """An element: tag, text of its attributes, children (nodes and texts), place in the source."""
+    """An element: tag, text of its attributes, children (nodes and texts), hash of the subtree, kinds of article elements within (bits)."""
 
-    __slots__ = ("tag", "attributes", "children", "start", "end", "dropped")
+    __slots__ = ("tag", "attributes", "children", "start", "code", "holds", "dropped")
 
     def __init__(self, tag: str, attributes: str, start: int):
-        self.tag, self.attributes, self.start, self.end = tag, attributes, start, start
+        self.tag, self.attributes, self.start = tag, attributes, start
         self.children: list[Node | str] = []
+        self.code = self.holds = 0
         self.dropped = False
 
 
+#: Elements that say where the article is, in order of preference, and their bits.
+ARTICLES = {"article": 1, "main": 2}
+#: What an element ends by its start.
+_ENDS = {tag: frozenset(k for k, by in ENDED_BY.items() if tag in by) for tag in frozenset().union(*ENDED_BY.values())}
+_STOPS = LIMITS["p"] | {"ul", "ol", "dl", "select"}
+
+
 def parse(source: str) -> Node:
     """The element tree, whatever the source; end tags that are missing are put where a browser would."""
     root = Node("", "", 0)
-    stack = [root]
-    at, n = 0, len(source)
+    stack, is_open = [root], Counter()
+    at, n, quotes_close = 0, len(source), True
 
-    def close(depth: int, end: int) -> None:
+    def close(depth: int) -> None:
         while len(stack) > depth:
-            stack.pop().end = end
+            is_open[stack.pop().tag] -= 1
 
     while at < n:
         found = _TAG.search(source, at)
@@ -110,133 +123,159 @@ def parse(source: str) -> Node:
             end = source.find(">", found.end())
             at = n if end < 0 else end + 1
             continue
-        whole = _TAG_END.match(source, found.end())
+        whole = _TAG_END.match(source, found.end()) if quotes_close else None
+        quotes_close = whole is not None  # a quote that is open to the end is looked for once
         end = whole.end() if whole else source.find(">", found.end()) + 1
         if end <= 0:
             at = n
             continue
         at, tag = end, tag.lower()
         if slash:
-            limit = LIMITS.get(tag, TABLE_LIMIT if tag in ("tr", "td", "th") else ())
+            if is_open[tag]:
+                limit = LIMITS.get(tag, TABLE_LIMIT if tag in ("tr", "td", "th") else ())
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == tag:
+                        close(depth)
+                        break
+                    if stack[depth].tag in limit:
+                        break
+            continue
+        ends = _ENDS.get(tag, ())
+        if any(is_open[x] for x in ends):
             for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth + 1, begin)
-                    close(depth, end)
+                if stack[depth].tag in ends:
+                    close(depth)
                     break
-                if stack[depth].tag in limit:
+                if stack[depth].tag in _STOPS:
                     break
-            continue
-        for depth in range(len(stack) - 1, 0, -1):
-            open_tag = stack[depth].tag
-            if open_tag in ENDED_BY and tag in ENDED_BY[open_tag]:
-                close(depth, begin)
-                break
-            if open_tag in LIMITS["p"] or open_tag in ("ul", "ol", "dl", "select"):
-                break
         attributes = source[found.end() : end - 1]
         node = Node(tag, attributes, begin)
         stack[-1].children.append(node)
-        node.end = end
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if tag in RAW:
             stop = re.compile(f"</{re.escape(tag)}[\\s/>]", re.I).search(source, at)
             at = stop.start() if stop else n
             node.children.append(source[end:at])
-            node.end = at
             if stop:
                 at = source.find(">", at) + 1 or n
             continue
         stack.append(node)
+        is_open[tag] += 1
     if at < n:
         stack[-1].children.append(source[at:])
-    close(0, n)
+    for node in reversed(_nodes(root)):
+        digest = xxhash.xxh64(f"{node.tag}\0{node.attributes}".encode())
+        for child in node.children:
+            if isinstance(child, Node):
+                digest.update(b"\1" + child.code.to_bytes(8, "little"))
+                node.holds |= child.holds | ARTICLES.get(child.tag, 0)
+            else:
+                digest.update(b"\2" + child.encode())
+        node.code = digest.intdigest()
     return root
 
 
+def _nodes(top: Node) -> list[Node]:
+    """A node and all below it, parents before their children."""
+    out, todo = [], [top]
+    while todo:
+        node = todo.pop()
+        out.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def _marks(value: str) -> bool:
+    words = [w.lower() for w in _WORD.findall(value)]
+    return any(w in MARKS for w in words) and all(w in MARKS or w in LAYOUT for w in words)
+
+
 def _marked(node: Node) -> bool:
     if not node.attributes:
         return False
     if _HIDDEN.search(node.attributes):
         return True
-    return any(word in MARKS for values in _MARKED.findall(node.attributes) for value in values if value for word in _WORD.findall(value.lower()))
+    return any(_marks(token) for values in _MARKED.findall(node.attributes) for value in values for token in value.split())
 
 
 def _headings(node: Node) -> list[Node]:
-    out = []
-    for child in node.children:
-        if isinstance(child, Node):
-            out += [child] if re.fullmatch("h[1-6]", child.tag) else _headings(child)
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if re.fullmatch("h[1-6]", x.tag):
+            out.append(x)
+        else:
+            todo += [c for c in reversed(x.children) if isinstance(c, Node)]
     return out
 
 
 def _find(node: Node, tag: str) -> list[Node]:
     """Outermost elements of a tag outside what isn't the article."""
-    out, todo = [], [node]
+    out, todo, bit = [], [node], ARTICLES.get(tag)
     while todo:
         for child in todo.pop().children:
             if isinstance(child, Node):
                 if child.tag == tag and not _marked(child):
                     out.append(child)
-                elif child.tag not in DROPPED and child.tag != "header" and not (_marked(child) and not _holds(child, tag)):
+                elif child.tag not in DROPPED and child.tag != "header" and (child.holds & bit if bit else not _marked(child)):
                     todo.append(child)
     return sorted(out, key=lambda x: x.start)
 
 
-def _holds(node: Node, tag: str) -> bool:
-    return any(isinstance(c, Node) and (c.tag == tag or _holds(c, tag)) for c in node.children)
-
-
 def main_parts(root: Node) -> tuple[list[Node], bool]:
     """Elements that hold the article, and whether the page says so itself."""
-    for tag in ("article", "main"):
+    for tag in ARTICLES:
         if found := _find(root, tag):
             return found, True
     return (_find(root, "body") or [root]), False
 
 
-def prune(node: Node, inside: bool) -> None:
+def prune(top: Node, inside: bool) -> None:
     """Drops what isn't part of the article."""
-    kept: list[Node | str] = []
-    for child in node.children:
-        if isinstance(child, Node):
-            if child.tag == "header" and inside:
-                kept += _headings(child)
-                continue
-            if child.tag in DROPPED or child.tag == "header" or _marked(child):
-                continue
-            prune(child, inside)
-        kept.append(child)
-    node.children = kept
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        kept: list[Node | str] = []
+        for child in node.children:
+            if isinstance(child, Node):
+                if child.tag == "header" and inside:
+                    kept += _headings(child)
+                    continue
+                if child.tag in DROPPED or child.tag == "header" or _marked(child):
+                    continue
+                todo.append(child)
+            kept.append(child)
+        node.children = kept
 
 
 def text_of(node: Node) -> str:
     """Text with character references decoded; white space is one space within and between blocks."""
     out: list[str] = []
-
-    def walk(x: Node) -> None:
-        block = x.tag in BLOCKS
-        if block:
-            out.append("\n")
-        for child in x.children:
-            if isinstance(child, str):
-                out.append(html.unescape(child) if "&" in child else child)
-            elif not child.dropped:
-                walk(child)
-        if block:
-            out.append("\n")
-
-    walk(node)
+    todo: list[Node | str] = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(html.unescape(x) if "&" in x else x)
+        elif not x.dropped:
+            if x.tag in BLOCKS:
+                out.append("\n")
+                todo.append("\n")
+            todo += reversed(x.children)
     return " ".join("".join(out).split())
 
 
 def _edges(part: Node) -> set[int]:
     """The nodes, by identity, that stand first or last in a part of the article, and first or last in these."""
+    filled: set[int] = set()
+    for node in reversed(_nodes(part)):
+        if any(id(c) in filled if isinstance(c, Node) else c.strip() for c in node.children):
+            filled.add(id(node))
     out: set[int] = set()
     for step in (1, -1):
         node: Node | None = part
         while node is not None:
-            child = next((c for c in node.children[::step] if (c.strip() if isinstance(c, str) else text_of(c))), None)
+            child = next((c for c in node.children[::step] if (c.strip() if isinstance(c, str) else id(c) in filled)), None)
             node = child if isinstance(child, Node) else None
             if node is not None:
                 out.add(id(node))
@@ -246,21 +285,17 @@ def _edges(part: Node) -> set[int]:
 def _candidates(part: Node, inside: bool) -> Iterator[tuple[Node, bool]]:
     """Subtrees that may belong to the site, and whether they may be prose."""
     edges = _edges(part) if inside else set()
-    todo = [part]
-    while todo:
-        for child in todo.pop().children:
-            if isinstance(child, Node):
-                named = bool(_NAMED.search(child.attributes))
-                if not inside:
-                    yield child, False
-                elif named or id(child) in edges:
-                    yield child, not named or len(text_of(child)) > SHORT_TEXT
-                todo.append(child)
+    for node in _nodes(part)[1:]:
+        named = bool(_NAMED.search(node.attributes))
+        if not inside or named:
+            yield node, False
+        elif id(node) in edges:
+            yield node, True
 
 
-def _code(source: str, node: Node, prose: bool) -> int:
+def _code(node: Node, prose: bool) -> int:
     """Hash of a subtree; as prose it has another one, for it is judged by another share."""
-    return xxhash.xxh64_intdigest(source[node.start : node.end].encode(), seed=int(prose)) - (1 << 63)
+    return (node.code ^ (0x9E3779B97F4A7C15 if prose else 0)) - (1 << 63)
 
 
 def templates_of(source: str) -> dict[int, bool]:
@@ -270,7 +305,7 @@ def templates_of(source: str) -> dict[int, bool]:
     for part in parts:
         prune(part, inside)
         for node, prose in _candidates(part, inside):
-            out[_code(source, node, prose)] = prose
+            out[_code(node, prose)] = prose
     return out
 
 
@@ -284,7 +319,7 @@ def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset
         prune(part, inside)
         if templates:
             for node, prose in list(_candidates(part, inside)):
-                if _code(source, node, prose) in templates:
+                if _code(node, prose) in templates:
                     node.dropped = True
         texts.append(text_of(part))
     return " ".join(t for t in texts if t)
