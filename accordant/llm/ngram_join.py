@@ -7,7 +7,7 @@ and hashed once: the sets are written, and everything later reads them.
   ``needed(a, b)`` of them, that is, when they have a subset of that size in common. A light set lists its
   subsets of every size that a partner can call for, so light links follow from equal keys.
 * Heavy sets scan inverted lists. In one order of all n-grams, sets that link share an n-gram within the first
-  ``prefix_length`` of each, which make the lists. A set first lists half as many more in the order of hashes, and the lengths of these
+  ``prefix_length`` of each, which make the lists. A set first lists a quarter more in the order of hashes, and the lengths of these
   lists tell which n-grams are frequent. Sets with enough n-grams that aren't go by the order that has frequent ones last, so what
   many texts share brings them into no common list; pairs with one of the other sets go by the order of hashes. Size and a 512-bit
   parity sketch rule out most pairs within the join, a wider sketch most of the others.
@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from math import comb, log
 
 import numpy as np
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.llm.components import connected_components
-from accordant.llm.shared import find_words, mix, text_chunks, text_keys, word_windows, written
+from accordant.llm.shared import Tables, find_words, mix, text_chunks, text_keys, word_windows, written
 
 #: An n-gram is frequent from more list entries than this on.
 RARE = 64
@@ -72,7 +72,7 @@ def prefix_length(size: int, percent: int) -> int:
 def listed_length(size: int, percent: int) -> int:
     """How many n-grams a set lists in the order of hashes, to find enough that aren't frequent."""
     length = prefix_length(size, percent)
-    return min(size, length + length // 2 + 1)
+    return min(size, length + length // 4 + 1)
 
 
 def subset_sizes(size: int, largest: int, percent: int) -> list[int]:
@@ -224,29 +224,33 @@ def _may_link(size: Column, percent: int, suffixes: tuple[str, str] = ("_x", "_y
     return (small <= most) & F.coalesce(wide <= most, F.lit(True))
 
 
-def _checked(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _checked(tables: Tables, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs(a, b) that link, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    whole = written(members.select(F.col("row").alias("id"), "own").join(wanted, "id", "left_semi"), "whole-sets")
+    whole = tables.write(members.select(F.col("row").alias("id"), "own").join(wanted, "id", "left_semi"), "whole-sets")
     both = pairs.select("a", "b").join(whole.select(F.col("id").alias("a"), F.col("own").alias("left_set")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("right_set")), "b")
-    return written(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"), "links")
+    links = tables.write(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"), "links")
+    tables.drop("whole-sets")
+    return links
 
 
-def _proposed(entries: DataFrame, percent: int) -> DataFrame:
+def _proposed(tables: Tables, entries: DataFrame, percent: int) -> DataFrame:
     """(id, n, shared, kind, leader, leader_n): sets and the partners of their band that lead many of their lists.
 
     Of a group of near copies, the set that stands in the longest lists is the one that most of it looks like.
     """
     banded = entries.where(F.col("c") >= CROWD).select("key", _band(F.col("n"), percent).alias("band"), "id", "n", "c")
     standing = banded.groupBy("id").agg(F.sum("c").alias("standing"), F.count("*").alias("lists"))
-    banded = written(banded.drop("c").join(standing, "id"), "list-standings")
+    banded = tables.write(banded.drop("c").join(standing, "id"), "list-standings")
     by = [F.col("standing"), *[F.xxhash64(F.lit(k), "id") for k in range(1, LEADERS)]]
     leaders = banded.groupBy("key", "band").agg(F.array(*[F.struct(F.lit(k).alias("kind"), F.max_by(F.struct("id", "n"), F.struct(b, "id")).alias("set")) for k, b in enumerate(by)]).alias("leaders"))
     met = banded.join(leaders, ["key", "band"]).select("id", "n", "lists", F.explode("leaders").alias("leader")).where("id <> leader.set.id")
     met = met.groupBy("id", "n", "lists", "leader").agg(F.count("*").alias("shared"))
     # most of the lists of a near copy have the leader, unless it differs as much as it may; no more than 100 / SHARED_FROM partners of a kind
     likely = met.where(100 * F.col("shared") >= SHARED_FROM * F.col("lists"))
-    return written(likely.select("id", "n", "shared", F.col("leader.kind").alias("kind"), F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
+    proposals = tables.write(likely.select("id", "n", "shared", F.col("leader.kind").alias("kind"), F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
+    tables.drop("list-standings")
+    return proposals
 
 
 def _near(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -263,62 +267,72 @@ def ngram_links(documents: DataFrame, n: int = 5, percent: int = 80) -> tuple[Da
     """(members, links): members(doc_id, n, rep) has every document with the name of its set, the smallest doc_id that has it;
     links(a, b) has every two names of sets that link, once, and nothing else. In a group of near copies that is every pair.
     Names tell sets apart if doc_ids are unique and not null."""
-    members, named, links = _members_and_edges(documents, n, percent, every=True)
+    members, named, links = _members_and_edges(Tables(documents.sparkSession), documents, n, percent, every=True)
     reps = named.select("id", "rep")
     named_links = links.join(reps.toDF("a", "x"), "a").join(reps.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return members.select("doc_id", "n", "set_key").join(named.select("set_key", "rep"), "set_key", "left").drop("set_key"), named_links
 
 
-def _members_and_edges(documents: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _members_and_edges(tables: Tables, documents: DataFrame, n: int, percent: int, every: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, named, edges). members(row, doc_id, k1, k2, n, set_key, ...): a row for each document; named(set_key, name, n, id, rep): the different sets, known
     by the number of their first row; edges(a, b) of set ids: with every, the links; without, they connect the same sets, but leave out links within early
     components and have others of these in their place."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys("text"))
     schema = "doc_id long, k1 long, k2 long, set_key binary, name long, n long, " + ", ".join(f"{b} long" for b in SKETCHES) + ", wide array<long>, own binary"
-    members = written(docs.mapInArrow(partial(_write_sets, n=n), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
+    members = tables.write(docs.mapInArrow(partial(_write_sets, n=n), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
     sets = members.where("n > 0")
-    named = written(sets.groupBy("set_key", "name", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep")), "different-sets")
+    named = tables.write(sets.groupBy("set_key", "name", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep")), "different-sets")
 
-    entries = _entries(sets, named, percent)
-    lengths = entries.groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
+    entries = _entries(tables, sets, named, percent)
+    lengths = entries.where("rare").groupBy("key").agg(F.count("*").cast("double").alias("c")).agg(F.sum(F.col("c") * F.col("c")), F.sum("c")).first()
     light = light_boundary((lengths[0] or 1.0) / (lengths[1] or 1.0), percent, named.agg(F.max("n")).first()[0] or 0)
 
     early = places = None
     if not every:
-        proposals = _proposed(entries, percent)
+        proposals = _proposed(tables, entries, percent)
         proposed = proposals.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), (F.col("n") + F.col("leader_n")).alias("size"))
-        near = written(_near(members, proposed, percent), "near-pairs")
-        early = written(connected_components(_checked(members, near, percent)), "early-components")
+        near = tables.write(_near(members, proposed, percent), "near-pairs")
+        early = tables.write(connected_components(_checked(tables, members, near, percent)), "early-components")
         leaders = proposals.where("kind = 0").groupBy("id").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
-        places = written(early.withColumnRenamed("node", "id").join(leaders, "id", "full"), "places")
-    entries = _placed(entries, places)
-    light_sets = _placed(_subset_entries(members, named, light, percent), places)
-    found = _by_lists(entries, members, light, percent).union(_by_subsets(light_sets, percent))
+        places = tables.write(early.withColumnRenamed("node", "id").join(leaders, "id", "full"), "places")
+        tables.drop("proposals", "near-pairs", "links")
+    entries = tables.write(_placed(entries.drop("c"), places), "placed-entries")
+    tables.drop("list-entries")
+    # each kind of meeting by itself, so that a plan stays small
+    found = [
+        tables.write(_by_subsets(_placed(_subset_entries(tables, members, named, light, percent), places), percent).distinct(), "pairs"),
+        tables.write(_by_rare_lists(entries, members, light, percent), "pairs"),
+        tables.write(_by_hard_lists(entries, members, light, percent).distinct(), "pairs"),
+    ]
     if not every:
-        found = found.union(_by_leaders(entries, members, light, percent))
-    links = _checked(members, written(found.distinct(), "pairs"), percent)
+        found.append(tables.write(_by_leaders(entries, members, light, percent), "pairs"))
+    tables.drop("placed-entries", "subsets")
+    links = _checked(tables, members, reduce(DataFrame.union, found).distinct(), percent)
+    tables.drop("pairs", "places")
     if early is not None:
         links = links.union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
     return members, named, links
 
 
-def _entries(sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _entries(tables: Tables, sets: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     """(key, id, n, c, hard, rare, early) of list entries that several sets have. c: entries of the list; hard: too few of what the set has listed isn't frequent;
     rare: among the first of the set in the order that has frequent n-grams last, unless it is hard; early: among the first in the order of hashes."""
     keys = sets.select("name", "own").mapInArrow(partial(_lists, percent=percent), "key long, name long, at int")
     keys = keys.repartition("key")  # one shuffle serves all that follows
     several = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key", "c")
-    lists = written(keys.join(several.hint("shuffle_hash"), "key").distinct(), "lists")
+    lists = tables.write(keys.join(several.hint("shuffle_hash"), "key").distinct(), "lists")
     lists = lists.join(named.select("name", "id", "n"), "name")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    known = F.least("n", first + F.floor(first / 2) + 1)
-    of_set = Window.partitionBy("id")
+    known = F.least("n", first + F.floor(first / 4) + 1)
+    of_set = Window.partitionBy("name", "id")  # the join has dealt them by name
     frequent = F.when(F.col("c") > RARE, 1).otherwise(0)
     lists = lists.withColumns({"before": F.sum(frequent).over(of_set.orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "all": F.sum(frequent).over(of_set)})
     hard = known - F.col("all") < first
     rare = ~hard & (F.col("c") <= RARE) & (F.col("at") - F.col("before") < first)
     early = F.col("at") < first
-    return written(lists.select("key", "id", "n", "c", hard.alias("hard"), rare.alias("rare"), early.alias("early")).where("rare or early"), "list-entries")
+    entries = tables.write(lists.select("key", "id", "n", "c", hard.alias("hard"), rare.alias("rare"), early.alias("early")).where("rare or early"), "list-entries")
+    tables.drop("lists")
+    return entries
 
 
 def _placed(entries: DataFrame, places: DataFrame | None) -> DataFrame:
@@ -349,23 +363,23 @@ def _near_pairs(met: DataFrame, light: int, percent: int) -> DataFrame:
     return met.where((F.col("component_x") != F.col("component_y")) & near).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))
 
 
-def _by_lists(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs that meet in a list, have not the same leader, and may link; light sets meet each other elsewhere.
-
-    Sets that aren't hard meet in lists of at most ``RARE`` entries. A hard set meets those of its list that are in its size band or the next ones.
-    """
+def _by_rare_lists(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs that meet in a list of at most ``RARE`` entries, have not the same leader, and may link; light sets meet each other elsewhere."""
     rare = _mixed(entries.where("rare").select("key", "id", "n", "component", "leader"), ["key"])
     met = _side(rare, ["key"], "_x").join(_side(rare, ["key"], "_y"), "key")
     met = met.where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")) & (F.col("leader_x") != F.col("leader_y")) & _sizes_fit(light, percent))
-    found = _near(members, met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("size")), percent)
+    return _near(members, met.select(F.col("id_x").alias("a"), F.col("id_y").alias("b"), (F.col("n_x") + F.col("n_y")).alias("size")), percent)
 
+
+def _by_hard_lists(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs of a hard set and those of its lists that are in its size band or the next ones, have not the same leader, and may link."""
     sketches = members.select(F.col("row").alias("id"), *SKETCHES, "wide")
-    early = entries.where("early").drop("c", "rare", "early").withColumn("band", _band(F.col("n"), percent))
+    early = entries.where("early").drop("rare", "early").withColumn("band", _band(F.col("n"), percent))
     hard = early.where("hard").drop("hard")
     beside = early.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(hard.select("key", "band").distinct(), ["key", "band"])
     met = _side(hard.join(sketches, "id"), ["key", "band"], "_x").join(_side(beside.join(sketches, "id"), ["key", "band"], "_y"), ["key", "band"])
-    met = met.where(F.col("leader_x") != F.col("leader_y"))
-    return found.union(_near_pairs(met.where((F.col("id_x") < F.col("id_y")) | (~F.col("hard_y") & (F.col("id_x") != F.col("id_y")))), light, percent))
+    met = met.where((F.col("leader_x") != F.col("leader_y")) & ((F.col("id_x") < F.col("id_y")) | (~F.col("hard_y") & (F.col("id_x") != F.col("id_y")))))
+    return _near_pairs(met, light, percent)
 
 
 def _by_leaders(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
@@ -376,10 +390,10 @@ def _by_leaders(entries: DataFrame, members: DataFrame, light: int, percent: int
     return _near_pairs(met, light, percent)
 
 
-def _subset_entries(members: DataFrame, named: DataFrame, light: int, percent: int) -> DataFrame:
+def _subset_entries(tables: Tables, members: DataFrame, named: DataFrame, light: int, percent: int) -> DataFrame:
     """(key, subset, id, n): the subsets that light sets list."""
     small = members.where(F.col("n").between(1, light)).select(F.col("row").alias("id"), "own").join(named.where(F.col("n") <= light).select("id"), "id", "left_semi")
-    return written(small.mapInArrow(partial(_subsets, percent=percent, light=light), "key long, subset long, id long, n long"), "subsets")
+    return tables.write(small.mapInArrow(partial(_subsets, percent=percent, light=light), "key long, subset long, id long, n long"), "subsets")
 
 
 def _by_subsets(entries: DataFrame, percent: int) -> DataFrame:
@@ -392,13 +406,16 @@ def _by_subsets(entries: DataFrame, percent: int) -> DataFrame:
 
 def _grouped(documents: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, k1, k2, n, component, component_id) of every document: component is null for an empty set; component_id is the smallest doc_id of its component."""
-    members, named, edges = _members_and_edges(documents, n, percent, every=False)
-    linked = written(connected_components(edges), "components")
+    tables = Tables(documents.sparkSession)
+    members, named, edges = _members_and_edges(tables, documents, n, percent, every=False)
+    linked = tables.write(connected_components(edges), "components")
     names = linked.join(named.select(F.col("id").alias("node"), "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
-    groups = linked.join(names, "component")
-    groups = named.select("set_key", "id", "rep").join(groups, named.id == groups.node, "left")
+    groups = named.select("set_key", "id", "rep").join(linked.join(names, "component"), F.col("id") == F.col("node"), "left")
     groups = groups.select("set_key", F.coalesce("component", "id").alias("component"), F.coalesce("least", "rep").alias("least"))
-    return members.select("doc_id", "k1", "k2", "n", "set_key").join(groups, "set_key", "left").select("doc_id", "k1", "k2", "n", "component", F.coalesce("least", "doc_id").alias("component_id"))
+    rows = members.select("doc_id", "k1", "k2", "n", "set_key").join(groups, "set_key", "left").select("doc_id", "k1", "k2", "n", "component", F.coalesce("least", "doc_id").alias("component_id"))
+    rows = written(rows, "ngram-groups")
+    tables.drop()
+    return rows
 
 
 def ngram_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

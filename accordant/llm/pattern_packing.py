@@ -26,12 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.llm.shared import written
-from accordant.llm.tokens import encoder
+from accordant.llm.tokens import encode_slices, encoder
 
 CAPACITY = 1024
 #: Pieces of one length that a task ranks, about.
 RANKED_AT_ONCE = 200_000
-ENCODE_ROWS = 500
 #: Sequences of one full piece are numbered from here.
 FULL_FROM = 1 << 62
 
@@ -130,10 +129,10 @@ def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODE_ROWS):
-                rows = batch.slice(at, ENCODE_ROWS)
+            for at, to in encode_slices(batch.column("text")):
+                rows = batch.slice(at, to - at)
                 out: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder(tokenizer).encode(rows.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder(tokenizer).encode(rows.column("text")), strict=True):
                     ids = np.concatenate([ids, end]).astype("<u4")
                     edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
                     for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from accordant.llm.shared import new_folder, written
-from accordant.llm.tokens import encoder
+from accordant.llm.tokens import encode_slices, encoder
 
 #: Fixed values of the public seekable format: skippable frame magic numbers, seek table magic, checksum flag.
 INDEX_MAGIC = 0x184D2A50
@@ -45,8 +45,6 @@ HAS_CHECKSUMS = 0x80
 #: A frame is closed when its documents reach this many tokens.
 FRAME_TOKENS = 1 << 16
 NULL_ID = -(2**63)
-#: Texts encoded at once.
-ENCODE_ROWS = 500
 
 
 class Frame(NamedTuple):
@@ -165,13 +163,13 @@ def _file_writer(folder: str, tokenizer: str, end_id: int) -> Callable[[Iterator
         writer = None
         end = np.array([end_id], np.uint32)
         for batch in batches:
-            for at in range(0, batch.num_rows, ENCODE_ROWS):
-                rows = batch.slice(at, ENCODE_ROWS)
+            for at, to in encode_slices(batch.column("text")):
+                rows = batch.slice(at, to - at)
                 if writer is None:
                     system.create_dir(root, recursive=True)
                     out = system.open_output_stream(name + ".open")
                     writer = FrameWriter(out)
-                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder(tokenizer).encode(rows.column("text").to_pylist()), strict=True):
+                for doc_id, ids in zip(rows.column("doc_id").to_pylist(), encoder(tokenizer).encode(rows.column("text")), strict=True):
                     writer.add(NULL_ID if doc_id is None else doc_id, np.concatenate([ids, end]))
                     documents += 1
                     tokens += len(ids) + 1

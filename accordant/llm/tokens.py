@@ -1,37 +1,58 @@
 """Token ids of whole texts with a tokenizer file of the tokenizers library.
 
-Texts are full of repeated words, and a byte-level BPE never merges across the start of a run of white
-space, so a text is cut before its single spaces and each distinct piece is encoded once; the ids of a text are those
-of its pieces in order, equal to those of the whole text. A text with other runs of white space that could make a
-difference is encoded whole.
+Texts are full of repeated words, and a byte-level BPE with the usual pattern never merges across the start of a run of white
+space. So a text is cut before its single spaces and each distinct piece is encoded once in a while; the ids of a text are those
+of its pieces in order, equal to those of the whole text. A text with runs of white space that could make a
+difference is encoded whole, and so are all texts if the tokenizer file says anything but such a BPE.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space for which a cut before it might not be one for the tokenizer's pattern.
-_RARE_BLANK = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -​    　﻿]")
+_RARE_BLANK = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -‏    　﻿]"
 #: Distinct pieces that a process remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
+#: Bytes of text encoded at once; a single longer text is encoded alone.
+ENCODE_BYTES = 4 << 20
 
 _encoders: dict[str, Encoder] = {}
 
 
-class _Numbers(dict):
-    """piece -> its number; a new piece gets the next one and is noted."""
+def encode_slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, row after the last) of slices of about ``ENCODE_BYTES``."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + ENCODE_BYTES, side="right")))
+        yield at, to
+        at = to
+
+
+class _Table:
+    """Ids of strings that are known by a number."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.new: list[str] = []
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.new.append(piece)
-        return number
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the strings one after the other, how many each has)."""
+        size = self.size[number]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.start[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], size
 
 
 class Encoder:
@@ -42,61 +63,75 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        before, model = said.get("pre_tokenizer") or {}, said["model"]
+        self.cuts = (model.get("type", "BPE"), before.get("type"), before.get("use_regex", True), before.get("add_prefix_space"), said.get("normalizer"), model.get("dropout")) == ("BPE", "ByteLevel", True, False, None, None)
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = "|".join(["  ", "\n ", "[ \n]$", _RARE_BLANK, *special])
+        #: Bytes that each id of a byte-level BPE stands for: its name has a character for each.
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Bytes that each id stands for: its name has a character for each.
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for name, i in vocabulary.items():
             self.bytes_of[i] = len(name)
         self._forget()
 
     def _forget(self) -> None:
-        self.seen = _Numbers()
-        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-
-    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, each after a space, one after the other, and how many each has. They are encoded
-        as one text, and the bytes that ids stand for tell where each piece ends."""
-        ids = np.concatenate([self._whole(" " + " ".join(pieces[k : k + 5000])) for k in range(0, len(pieces), 5000)])
-        ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in pieces), dtype=np.int64, count=len(pieces)))
-        count = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
-        return ids, np.diff(np.concatenate([[0], count]))
+        self.after_space: dict[str, int] = {}
+        self.at_start: dict[str, int] = {}
+        self.spaced, self.first = _Table(), _Table()
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _number(self, pieces: list[str], space: str) -> np.ndarray:
+        """Numbers of the pieces, each after ``space``; new ones are encoded.
+
+        Pieces after a space are encoded as one text, and the bytes that ids stand for tell where each ends; others by themselves."""
+        known = self.after_space if space else self.at_start
+        before = len(known)
+        number = np.fromiter((known.setdefault(x, len(known)) for x in pieces), dtype=np.int64, count=len(pieces))
+        new = list(itertools.islice(known, before, None)) if len(known) > before else []
+        if not new:
+            pass
+        elif space:
+            joined = self._ids([" " + " ".join(new[k : k + 5000]) for k in range(0, len(new), 5000)])
+            ids = np.concatenate([np.array(x, dtype=np.uint32) for x in joined])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), dtype=np.int64, count=len(new)) + 1)
+            self.spaced.add(ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0))
+        else:
+            each = self._ids(new)
+            self.first.add(np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint32), np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+        return number
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; null is an empty text."""
+        texts = pc.fill_null(texts, "")
+        apart = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        cut, pieces, edges = [], [], [0]
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if "  " in text or "\n " in text or text[-1] == " " or _RARE_BLANK.search(text) or any(s in text for s in self.special):
-                out[i] = self._whole(text)
-                continue
-            own = text.split(" ")
-            if own[0]:
-                out[i] = self._whole(own[0])
-            if own[-1].isspace() or own[-1][-1:] == "\n":  # white space at the end of a text is cut otherwise than within one
-                out[i] = self._whole(text)
-                continue
-            cut.append(i)
-            pieces += own[1:]
-            edges.append(len(pieces))
-        if len(self.seen) > REMEMBERED:
+        for i in np.flatnonzero(apart):
+            out[i] = np.array(self._ids([texts[i].as_py()])[0], dtype=np.uint32)
+        cut = np.flatnonzero(~apart)
+        if not len(cut):
+            return out
+        if len(self.after_space) > REMEMBERED:
             self._forget()
-        number = np.fromiter(map(self.seen.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        if self.seen.new:
-            ids, count = self._encode_pieces(self.seen.new)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.flat, self.size = np.concatenate([self.flat, ids]), np.concatenate([self.size, count])
-            self.seen.new = []
-        lengths = self.size[number]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.flat[np.repeat(self.start[number] - ends[:-1], lengths) + np.arange(ends[-1])]
+        words = pc.split_pattern(texts.take(pa.array(cut)), " ")
+        edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        at = coded.indices.to_numpy()
+        is_first = np.zeros(len(at), dtype=bool)
+        is_first[edges[:-1]] = True
+        ids, size = self.spaced.gather(self._number(coded.dictionary.to_pylist(), " ")[at[~is_first]])
+        heads, head_size = self.first.gather(self._number(words.flatten().take(pa.array(edges[:-1])).to_pylist(), ""))  # no space before them
+        each = np.empty(len(at), dtype=np.int64)
+        each[is_first], each[~is_first] = head_size, size
+        all_ids = np.empty(len(ids) + len(heads), dtype=np.uint32)
+        of_heads = np.repeat(is_first, each)
+        all_ids[of_heads], all_ids[~of_heads] = heads, ids
+        text_edges = np.concatenate([[0], np.cumsum(each)])[edges]
         for k, i in enumerate(cut):
-            out[i] = np.concatenate([out[i], ids[ends[edges[k]] : ends[edges[k + 1]]]])
+            out[i] = all_ids[text_edges[k] : text_edges[k + 1]]
         return out
 
 
