@@ -100,7 +100,7 @@ def cosine_distance(left: Column, right: Column) -> Column:
 
 def humanized(col: Column) -> Column:
     """Dashes and underscores become spaces and each word starts with a capital."""
-    return F.regexp_replace(F.initcap(F.regexp_replace(col, "[-_]+", " ")), "$^", "")
+    return F.initcap(F.regexp_replace(col, "[-_]+", " "))
 
 
 def short_hash(col: Column, size: int = 8) -> Column:

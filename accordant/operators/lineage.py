@@ -19,19 +19,22 @@ CHECKPOINT_EVERY = 5
 
 
 def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a snapshot with nodes and edges, or with datasets and transformations; of any other, empty ones."""
+    """(nodes, edges) of a snapshot with nodes and edges, or with datasets and edges; of any other, empty ones. A node id that comes again replaces the one before."""
     as_text = lambda m: {k: v if isinstance(v, str) else json.dumps(v) for k, v in (m or {}).items() if v is not None}
-    nodes: list[tuple] = []
+    nodes: dict[str, tuple] = {}
     if "nodes" in snapshot and "edges" in snapshot:
         for n in snapshot["nodes"] or []:
             if node_id := n.get("node_id") or n.get("id"):
-                nodes.append((str(node_id), n.get("node_type") or n.get("type") or "UNKNOWN", n.get("label") or n.get("name") or str(node_id), as_text(n.get("metadata"))))
-    elif "datasets" in snapshot:
-        for kind, key, type_key in (("dataset", "datasets", "dataset_type"), ("transformation", "transformations", "transformation_type")):
-            for node_id, n in (snapshot.get(key) or {}).items():
-                nodes.append((node_id, kind, n.get("name") or node_id, as_text({"subtype": n.get(type_key), "source_file": n.get("source_file")})))
-    edges = [(e.get("source"), e.get("target"), e.get("relationship") or e.get("edge_type") or e.get("type") or "RELATED") for e in snapshot.get("edges") or [] if nodes]
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(edges, EDGES)
+                nodes[str(node_id)] = (str(node_id), n.get("type") or n.get("node_type") or "UNKNOWN", n.get("label") or n.get("name") or str(node_id), as_text(n.get("metadata")))
+    elif "datasets" in snapshot and "edges" in snapshot:
+        for node_id, n in (snapshot["datasets"] or {}).items():
+            nodes[node_id] = (node_id, n.get("dataset_type", "dataset"), n.get("name", node_id), as_text({"path": n.get("source_file"), "description": n.get("description")}))
+        for node_id, n in (snapshot.get("transformations") or {}).items():
+            nodes[node_id] = (node_id, n.get("transformation_type", "transformation"), node_id, as_text({"path": n.get("source_file")}))
+    else:
+        return spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
+    edges = [(e.get("source"), e.get("target"), e.get("relationship") or e.get("edge_type") or e.get("type") or "RELATED") for e in snapshot["edges"] or []]
+    return spark.createDataFrame(list(nodes.values()), NODES), spark.createDataFrame(edges, EDGES)
 
 
 def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:

@@ -47,8 +47,21 @@ def severity_for_status(status: Column) -> Column:
     return F.when(status == "PASS", "LOW").when(status == "WARN", "MEDIUM").otherwise("HIGH")
 
 
+#: Order and score of a status, and names of the trust tiers.
+RANKS = {"PASS": 0, "WARN": 1, "FAIL": 2}
+SCORES = {"PASS": 1.0, "WARN": 0.6, "FAIL": 0.2}
+TIERS = ("tier_1_registry_plus_lineage", "tier_2_registry_primary", "tier_3_lineage_only_fallback")
+
+
+def _looked_up(table: dict[str, int] | dict[str, float], key: Column, otherwise: float) -> Column:
+    out = F.lit(otherwise)
+    for k, v in table.items():
+        out = F.when(key == k, v).otherwise(out)
+    return out
+
+
 def status_rank(status: Column) -> Column:
-    return F.when(status == "FAIL", 2).when(status == "WARN", 1).otherwise(0)
+    return _looked_up(RANKS, status, 0)
 
 
 def worst_status(status: Column) -> Column:
@@ -57,8 +70,8 @@ def worst_status(status: Column) -> Column:
 
 
 def status_score(status: Column) -> Column:
-    return F.when(status == "PASS", 1.0).when(status == "WARN", 0.6).when(status == "FAIL", 0.2).otherwise(0.0)
+    return _looked_up(SCORES, status, 0.0)
 
 
 def trust_tier(has_registry: Column, has_lineage: Column) -> Column:
-    return F.when(has_registry & has_lineage, "tier_1_registry_plus_lineage").when(has_registry, "tier_2_registry_primary").otherwise("tier_3_lineage_only_fallback")
+    return F.when(has_registry & has_lineage, TIERS[0]).when(has_registry, TIERS[1]).otherwise(TIERS[2])

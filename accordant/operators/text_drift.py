@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from accordant.functions import values as V
 from accordant.operators import policy
 
 DIMENSIONS = 128
 WARN_ABOVE, FAIL_ABOVE = 0.18, 0.35
+#: Tokens whose buckets a task remembers, and rows whose vectors it holds.
+REMEMBERED, ROWS_AT_ONCE = 500_000, 2_000
+_TOKEN = re.compile("[a-z0-9]+")
 
 
 def token_counts(df: DataFrame, column: str = "text") -> DataFrame:
@@ -25,19 +36,59 @@ def top_shifted(left: DataFrame, right: DataFrame, limit: int = 8) -> DataFrame:
     return shifted.orderBy(F.desc("shift"), F.desc("token")).limit(limit)
 
 
+def _vectors(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches with column ``text`` in lower case, and a matrix of their rows' vectors; each different token is hashed once, as far as a task remembers it."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        texts = batch.column(batch.num_columns - 1).to_pylist()
+        for at in range(0, len(texts), ROWS_AT_ONCE):
+            part = texts[at : at + ROWS_AT_ONCE]
+            out = np.zeros((len(part), dimensions))
+            for i, text in enumerate(part):
+                for token, n in Counter(_TOKEN.findall(text or "")).items():
+                    bucket = known.get(token)
+                    if bucket is None:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[token] = bucket = hashlib.sha256(token.encode()).digest()[-1] % dimensions
+                    out[i, bucket] += n
+            yield batch.slice(at, len(part)), out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-300)
+
+
+def _checked_dimensions(dimensions: int) -> int:
+    if 256 % dimensions:
+        raise ValueError("dimensions have to divide 256")
+    return dimensions
+
+
 def hashed_vectors(df: DataFrame, key: str, column: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """(key, bucket, weight): token counts by bucket, scaled to length 1; buckets without tokens have no row."""
-    counted = df.select(key, F.explode(V.tokens(F.col(column))).alias("token")).groupBy(key, V.hash_bucket(F.col("token"), dimensions).alias("bucket")).agg(F.count("*").alias("n"))
-    length = counted.groupBy(key).agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("length"))
-    return counted.join(length, key).select(key, "bucket", (F.col("n") / F.col("length")).alias("weight"))
+    """(key, bucket, weight): token counts by bucket, scaled to length 1; buckets without tokens have no row. Every row has its own vector,
+    rows that share a key or have a null one too. No shuffle."""
+    _checked_dimensions(dimensions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, vectors in _vectors(batches, dimensions):
+            row, bucket = np.nonzero(vectors)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(vectors[row, bucket])], names=[key, "bucket", "weight"])
+
+    schema = T.StructType([df.schema[key], T.StructField("bucket", T.IntegerType()), T.StructField("weight", T.DoubleType())])
+    return df.select(key, F.lower(column).alias("_lower")).mapInArrow(run, schema)
 
 
 def text_centroid(df: DataFrame, key: str, column: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
-    """(bucket, weight): mean of the hashed vectors of all texts, empty ones included; all buckets."""
-    total = df.agg(F.count("*").alias("texts"))
-    sums = hashed_vectors(df, key, column, dimensions).groupBy("bucket").agg(F.sum("weight").alias("s"))
+    """(bucket, weight): mean of the hashed vectors of all rows, empty texts included; all buckets. What is shuffled are sums of vectors."""
+    _checked_dimensions(dimensions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, texts = np.zeros(dimensions), 0
+        for batch, vectors in _vectors(batches, dimensions):
+            total += vectors.sum(axis=0)
+            texts += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dimensions, dtype=np.int32)), pa.array(total), pa.array([texts] * dimensions, pa.int64())], names=["bucket", "s", "texts"])
+
     buckets = df.sparkSession.range(dimensions).select(F.col("id").cast("int").alias("bucket"))
-    return buckets.join(sums, "bucket", "left").join(F.broadcast(total)).select("bucket", (F.coalesce("s", F.lit(0.0)) / F.greatest("texts", F.lit(1))).alias("weight"))
+    sums = df.select(F.lower(column).alias("_lower")).mapInArrow(run, "bucket int, s double, texts long").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("texts").alias("texts"))
+    return buckets.join(sums, "bucket", "left").select("bucket", (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("texts", F.lit(0)), F.lit(1))).alias("weight"))
 
 
 def vector_centroid(df: DataFrame, vector: str, *by: str) -> DataFrame:

@@ -15,15 +15,16 @@ from accordant.sources import readers, sinks
 CONTEXT = {"enforcement_boundary": "consumer", "blast_radius_primary_source": "contract_registry", "lineage_role": "enrichment_only"}
 
 
-def generate(spark: SparkSession, source: str, contract_id: str, registry_path: str | None = None) -> tuple[Contract, dict[str, Any]]:
-    """(contract, document) of a JSON lines file: flattened, profiled, and named subscribers from a registry."""
+def generate(spark: SparkSession, source: str, contract_id: str, registry_path: str | None = None, lineage_nodes: DataFrame | None = None) -> tuple[Contract, dict[str, Any]]:
+    """(contract, document) of a JSON lines file: flattened, profiled, and named subscribers from a registry; lineage_nodes: of the lineage that stands behind it, if any."""
     flat, meta = flatten.flatten_for_profile(readers.read_records(spark, source))
     contract = profile.infer_contract(flat, contract_id)
     more: dict[str, Any] = {"servers": {"local": {"path": source}}, "observations": meta | {"profiled_row_count": contract.profiled_rows}}
     if registry_path:
         document = readers.read_registry(spark, registry_path)
         context = registry.registry_context(registry.subscriptions_frame(spark, document), contract_id, document.get("notes"))
-        tier = "tier_2_registry_primary" if context["subscriber_count"] else "tier_3_lineage_only_fallback"
+        lineage = lineage_nodes is not None and not lineage_nodes.isEmpty()
+        tier = policy.TIERS[(0 if lineage else 1) if context["subscriber_count"] else 2]
         more |= {"registry": context, "trust_tier": tier}
     return contract, contract.document(**more)
 
@@ -70,15 +71,13 @@ def ai_metrics(spark: SparkSession, texts: DataFrame, trace_rows: DataFrame, ver
     drift, kept = text_drift.drift_metric(spark, texts, texts.columns[0], baseline)
     found = {m["metric"]: m for df in (traces.prompt_metric(trace_rows), traces.verdict_metric(verdicts), traces.trace_metric(canonical)) for m in [df.first().asDict()]}
     found["embedding_drift"] = drift
-    order = {"PASS": 0, "WARN": 1, "FAIL": 2}
-    return {"checks": found, "status": max((m["status"] for m in found.values()), key=order.__getitem__), "baseline": kept}
+    return {"checks": found, "status": max((m["status"] for m in found.values()), key=policy.RANKS.__getitem__), "baseline": kept}
 
 
 def report(spark: SparkSession, validation: dict[str, Any], ai: dict[str, Any], subscriber_count: int, lineage_confidence: str, evolution_summary: dict[str, Any], snapshots: dict[str, int]) -> tuple[dict[str, Any], str]:
     """(report data, Markdown)."""
-    scores = {"PASS": 1.0, "WARN": 0.6, "FAIL": 0.2}
     ai_checks = ai.get("checks", {})
-    ai_score = sum(scores.get(m.get("status", "FAIL"), 0.0) for m in ai_checks.values()) / max(len(ai_checks), 1)
+    ai_score = sum(policy.SCORES.get(m.get("status", "FAIL"), 0.0) for m in ai_checks.values()) / max(len(ai_checks), 1)
     row = (validation.get("passed", 0), validation.get("total_checks", 1), ai_score, subscriber_count, lineage_confidence, evolution_summary.get("decision", "FAIL"), min(snapshots.values(), default=0))
     state = spark.createDataFrame([row], "passed long, total_checks long, ai_score double, subscriber_count long, lineage_confidence string, evolution_decision string, least_snapshots long")
     data = health.health_scores(state).first().asDict() | {"contract_id": validation.get("contract_id"), "actions": list(dict.fromkeys(evolution_summary.get("producer_next_actions", [])))[:3]}

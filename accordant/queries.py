@@ -444,8 +444,8 @@ def blast_radius_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 OLD = [Clause("a", "integer", True), Clause("b", "string", False, enum=("x", "y")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=1.0), Clause("d", "string"), Clause("l_discount", "number", True, minimum=0.0, maximum=0.1)]
 NEW = [Clause("a", "string", True), Clause("b", "string", True, enum=("x", "y", "z")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=100.0), Clause("e", "string", True), Clause("l_discount", "number", True, minimum=0.0, maximum=0.05)]
 _CHANGES = [
-    ("a", "type_changed", "breaking"), ("b", "enum_changed", "backward_compatible"), ("b", "nullability_changed", "breaking"), ("fact_confidence", "range_changed", "breaking"), ("d", "field_removed", "breaking"),
-    ("e", "field_added", "backward_compatible"), ("l_discount", "range_changed", "breaking"),
+    ("a", "type_changed", "breaking"), ("b", "enum_changed", "backward-compatible"), ("b", "nullability_changed", "breaking"), ("fact_confidence", "range_changed", "breaking"), ("d", "field_removed", "breaking"),
+    ("e", "field_added", "backward-compatible"), ("l_discount", "range_changed", "breaking"),
 ]
 _CHANGES_SQL = "(values " + ", ".join(f"('lineitem', '{f}', '{k}', '{c}')" for f, k, c in _CHANGES) + ") c(contract_id, field, change_type, classification)"
 
@@ -463,7 +463,7 @@ def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     case when field = 'l_discount' then 'billing' else 'billing|returns' end as affected, field = 'l_discount' as matched_field_subscriptions from {_CHANGES_SQL}""")
 def schema_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = registry.change_impact(_subscriptions(spark), _changes(spark))
-    return found.select("field", "change_type", "impact_level", F.array_join("affected_consumers", "|").alias("affected"), "matched_field_subscriptions")
+    return found.select("field", "change_type", "impact_level", F.array_join(F.transform("affected_consumers", lambda c: c["subscriber_id"]), "|").alias("affected"), "matched_field_subscriptions")
 
 
 @query(f"""select count(*) as total_changes, count(*) filter (where classification = 'breaking') as breaking_changes, count(*) filter (where classification <> 'breaking') as backward_compatible_changes,
