@@ -13,7 +13,7 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
    different flanks aren't gathered in a task: their strings are counted by hash, a row each, in an aggregate.
 5. The repeated starts, as intervals, are joined back to the texts, and the digests or the remaining text are made.
 
-Passages can be counted in words instead of bytes: every word becomes its 64-bit hash, and strings of so many hashes are looked for.
+Passages can be counted in words instead of bytes: every word becomes its 64-bit hash, a symbol like a byte, and strings of so many symbols are looked for.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` stay whole; every input row gives one
 row, repeated rows and ids included; other columns are ignored.
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.bwt_intervals import repeated_windows
-from accordant.llm.repeat_windows import BIN, Runs, deal_into_bins, find_runs, sums
-from accordant.llm.shared import find_words, text_chunks, written
+from accordant.llm.repeat_windows import BYTES, WORDS, Runs, Scale, deal_into_bins, find_runs, sums
+from accordant.llm.shared import find_words, text_chunks, text_keys, written
 
 LENGTH = 400
-#: Bytes that stand for a word where passages are counted in words.
-WORD_BYTES = 8
+#: Words of a passage whose repeats are told beside those of strings.
+PASSAGE_WORDS = 51
 #: Different flanks of one core that a task gathers, at most.
 GROUP = 20_000
 #: Symbols whose suffixes are sorted at once, beyond which a task starts a new text at the next core.
 SYMBOLS_AT_ONCE = 1_000_000
-#: Bits of the filters that tell which texts a later step may need, on the driver and in a task.
-FILTER_BITS = 1 << 20
+#: Bits of the filters that tell which texts a later step may need, for each such text; and all bits at most, 8 MB on the driver and in a task.
+BITS_A_TEXT = 16
+MOST_BITS = 1 << 26
 REMEMBERED = 500_000
 
 
@@ -49,25 +51,31 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def _symbols(column: pa.Array, scale: Scale) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """text_chunks in symbols."""
+    for at, to, data, offsets in text_chunks(column):
+        yield at, to, data if scale.unit == 1 else data.view("<u8"), offsets // scale.unit
+
+
 def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """data[start:end] of each, as a binary column."""
     size = end - start
     edges = np.concatenate([[0], np.cumsum(size)])
     at = np.arange(edges[-1]) - np.repeat(edges[:-1] - start, size)
-    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data[at])])
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((edges * data.itemsize).astype(np.int32)), pa.py_buffer(data[at])])
 
 
 def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts with ``WORD_BYTES`` bytes in place of each word and none for what is between words."""
+    """The texts with eight bytes in place of each word and none for what is between words."""
     for batch in batches:
         for at, to, data, offsets in text_chunks(_column(batch, "text")):
             words = find_words(data, offsets, lower=False)
-            edges = (np.searchsorted(words.doc, np.arange(len(offsets))) * WORD_BYTES).astype(np.int32)
+            edges = (np.searchsorted(words.doc, np.arange(len(offsets))) * WORDS.unit).astype(np.int32)
             codes = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(edges), pa.py_buffer(words.code.astype("<u8"))])
-            yield pa.RecordBatch.from_pydict({c: _column(batch, c).slice(at, to - at) for c in ("k1", "k2", "place")} | {"text": codes})
+            yield pa.RecordBatch.from_pydict({c: _column(batch, c).slice(at, to - at) for c in ("k1", "k2")} | {"text": codes})
 
 
-def _anchors(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _anchors(length: int, scale: Scale) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(code, k1, k2, c): how often the text k1, k2 has the anchor. A task tells of equal texts once, as far as it remembers them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,8 +90,8 @@ def _anchors(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if len(told) > REMEMBERED:
                 told.clear()
             keys, texts = keys[new], _column(batch, "text").filter(pa.array(new))
-            for at, _, data, offsets in text_chunks(texts):
-                runs = find_runs(data, offsets, length, sums(data, 0))
+            for at, _, data, offsets in _symbols(texts, scale):
+                runs = find_runs(data, offsets, length, sums(data, 0), scale.gram)
                 order = np.lexsort((runs.code, runs.doc))
                 code, doc = runs.code[order], runs.doc[order]
                 first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
@@ -95,14 +103,13 @@ def _anchors(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def _needed_texts(may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _needed_texts(keys: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(k1, k2, text) of the texts that pass the filter, equal ones once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(may_need).astype(bool)
         told: set[tuple[int, int]] = set()
         for batch in batches:
-            keep = bits[_column(batch, "place").to_numpy()]
+            keep = keys.may_hold(_column(batch, "k1").to_numpy())
             for i in np.flatnonzero(keep):
                 key = (_column(batch, "k1")[i].as_py(), _column(batch, "k2")[i].as_py())
                 keep[i] = key not in told
@@ -113,22 +120,22 @@ def _needed_texts(may_need: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _contexts(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _contexts(length: int, scale: Scale) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The bins of the runs whose anchors repeat: core, flanks, text, first start and number of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2, codes = _column(batch, "k1").to_numpy(), _column(batch, "k2").to_numpy(), _column(batch, "codes")
-            for at, _, data, offsets in text_chunks(_column(batch, "text")):
+            for at, _, data, offsets in _symbols(_column(batch, "text"), scale):
                 total = sums(data, 0)
-                runs = find_runs(data, offsets, length, total)
+                runs = find_runs(data, offsets, length, total, scale.gram)
                 wanted = np.zeros(len(runs.doc), dtype=bool)
                 edges = np.searchsorted(runs.doc, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
                     own = codes[at + i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                     wanted[edges[i] : edges[i + 1]] = np.isin(runs.code[edges[i] : edges[i + 1]], own)
                 runs = Runs(*(v[wanted] for v in runs))
-                bins = deal_into_bins(runs, length, (total, sums(data, 1)))
+                bins = deal_into_bins(runs, length, (total, sums(data, 1)), scale.bin)
                 doc = runs.doc[bins.run]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -159,29 +166,31 @@ def _span_rows(id1: np.ndarray, id2: np.ndarray, owner: np.ndarray, number: np.n
     )
 
 
-def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _expand(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.RecordBatch]:
     """Repeated starts of bins, whose rows come sorted by core: (id1, id2, first start, last start), counted within the bin."""
     held: list[tuple] = []
     size = 0
+    kind = np.uint8 if scale.unit == 1 else np.dtype("<u8")
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        parts, base, at, core, last = [], [], 0, 256, None
-        for high, low, left, right, *_ in rows:
-            core += (high, low) != last
-            last = (high, low)
-            own = np.empty(len(left) + len(right) + 2, dtype=np.int64)
-            own[: len(left)] = np.frombuffer(left, np.uint8)
-            own[len(left) + 1 : -1] = np.frombuffer(right, np.uint8)
-            own += 1
-            own[len(left)], own[-1] = core + 1, 0
-            parts.append(own)
-            base.append(at)
-            at += len(own)
+        flanks = [np.frombuffer(x, kind) for row in rows for x in row[2:4]]
+        each = np.array([len(x) for x in flanks])
+        flat = np.concatenate(flanks)
+        symbols = flat.astype(np.int64) if scale.unit == 1 else np.unique(flat, return_inverse=True)[1].astype(np.int64)
+        core = np.cumsum([1] + [a[:2] != b[:2] for a, b in zip(rows[1:], rows, strict=False)]) + (int(symbols.max()) + 1 if len(symbols) else 0)
+        # left flank, core, right flank, end
+        edges = np.cumsum(each + 1)
+        text = np.zeros(edges[-1], dtype=np.int64)
+        inside = np.ones(len(text), dtype=bool)
+        inside[edges - 1] = False
+        text[inside] = symbols + 1
+        text[edges[::2] - 1] = core + 1
+        base = edges[::2] - 1 - each[::2]
         n = np.array([r[4] for r in rows])
         owner = np.repeat(np.arange(len(rows)), n)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         weights = np.minimum(np.array([r[5] for r in rows]), 2)[owner]
-        found = repeated_windows(np.concatenate(parts), np.array(base)[owner] + number, weights, BIN)
+        found = repeated_windows(text, base[owner] + number, weights, scale.bin)
         return _span_rows(np.array([r[6] for r in rows]), np.array([r[7] for r in rows]), owner[found], number[found])
 
     for batch in batches:
@@ -191,51 +200,58 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield settle(held)
                 held, size = [], 0
             held.append(row)
-            size += len(row[2]) + len(row[3]) + 2
+            size += (len(row[2]) + len(row[3])) // scale.unit + 2
     if held:
         yield settle(held)
 
 
-def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strings(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.RecordBatch]:
     """A row for every start of a bin, with a 128-bit hash of its string."""
     for batch in batches:
         out: tuple[list, ...] = ([], [], [], [], [])
         for high, low, left, right, n, m, id1, id2 in zip(*[_column(batch, c).to_pylist() for c in ("high", "low", "left", "right", "n", "m", "id1", "id2")], strict=True):
             for j in range(n):
-                head = left[j:]
-                string = hashlib.blake2b(head + right[: BIN - 1 - len(head)] + bytes([len(head)]) + high.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True), digest_size=16)
+                head = left[j * scale.unit :]
+                string = hashlib.blake2b(head + right[: (scale.bin - 1) * scale.unit - len(head)] + bytes([len(head) // scale.unit]) + high.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True), digest_size=16)
                 for column, value in zip(out, (string.digest(), id1, id2, j, min(m, 2)), strict=True):
                     column.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["string", "id1", "id2", "j", "m"])
 
 
-def _filter(keys: DataFrame) -> np.ndarray:
-    """A bit for every place that a key has; no more numbers come to the driver than there are bits."""
-    bits = np.zeros(FILTER_BITS, dtype=bool)
-    bits[[r[0] for r in keys.select(F.pmod("k1", F.lit(FILTER_BITS)).cast("int")).distinct().collect()]] = True
-    return np.packbits(bits)
+class Filter:
+    """Bits for the first halves of some keys: says no only of keys that are none of them."""
+
+    def __init__(self, keys: DataFrame):
+        count = keys.count()
+        self.size = min(MOST_BITS, max(1 << 16, 1 << int(BITS_A_TEXT * count).bit_length()))
+        at, bits = F.expr(f"pmod(k1, {self.size}) div 32"), F.expr(f"bit_or(shiftleft(1L, cast(pmod(k1, {self.size}) % 32 as int)))")
+        words = keys.groupBy(at.alias("at")).agg(bits.alias("bits")).toArrow()  # a row for 32 bits
+        self.bits = np.zeros(self.size // 32, dtype=np.uint32)
+        self.bits[words.column("at").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
 
+    def may_hold(self, k1: np.ndarray) -> np.ndarray:
+        place = k1.view(np.uint64) & np.uint64(self.size - 1)
+        return (self.bits[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(texts, verdicts). texts: the documents' columns with text never null, k1 and k2, which name the text, and place.
-    verdicts(k1, k2, whole, starts): texts with repeats; starts are intervals [from, to) of bytes that go, unless all do. With words, length and starts are in bytes of the word codes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = documents.withColumn("text", text).withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(41), text)}).withColumn("place", F.pmod("k1", F.lit(FILTER_BITS)).cast("int"))
-    source, kind = texts.select("k1", "k2", "place", "text"), "string"
+
+def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+    """verdicts(k1, k2, whole, spans): texts with repeats; spans are intervals [from, to) of bytes that go, unless all do. k1 and k2 name the text.
+    With words, length and spans are in words."""
+    scale = WORDS if words else BYTES
+    source, kind = documents.select(*text_keys("text"), F.coalesce("text", F.lit("")).alias("text")), "string"
     if words:
-        source, kind = source.mapInArrow(_word_codes, "k1 long, k2 long, place int, text binary"), "binary"
-    alone = source.select("k1", "k2", "text")
-    long_enough = alone.where(F.octet_length("text") >= length)
+        source, kind = source.mapInArrow(_word_codes, "k1 long, k2 long, text binary"), "binary"
+    long_enough = source.where(F.octet_length("text") >= length * scale.unit)
     whole = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
 
-    anchors = long_enough.mapInArrow(_anchors(length), "code long, k1 long, k2 long, c long")
+    anchors = long_enough.mapInArrow(_anchors(length, scale), "code long, k1 long, k2 long, c long")
     anchors = anchors.repartition("code").groupBy("code", "k1", "k2").agg(F.max("c").alias("c"))  # one shuffle serves both that follow
     several = anchors.groupBy("code").agg(F.sum("c").alias("times")).where("times > 1")
     needed = written(anchors.join(several, "code").groupBy("k1", "k2").agg(F.collect_list("code").alias("codes")), "anchors")
 
-    found = source.mapInArrow(_needed_texts(_filter(needed)), f"k1 long, k2 long, text {kind}")
+    found = source.mapInArrow(_needed_texts(Filter(needed)), f"k1 long, k2 long, text {kind}")
     found = found.join(needed, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
-    contexts = found.mapInArrow(_contexts(length), "high long, low long, left binary, right binary, k1 long, k2 long, first long, n long")
+    contexts = found.mapInArrow(_contexts(length, scale), "high long, low long, left binary, right binary, k1 long, k2 long, first long, n long")
     names = ("high", "low", "left", "right")
     contexts = contexts.withColumns({"id1": F.xxhash64(*names), "id2": F.xxhash64(F.lit(43), *names)})
     contexts = written(contexts, "bins")
@@ -245,8 +261,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = Fal
     cores = bins.groupBy("high", "low").agg(F.count("*").alias("different"), F.min("m").alias("fewest"), F.sum("m").alias("all"))
     mixed = bins.join(cores.where("different > 1 and fewest = 1"), ["high", "low"]).select(*names, "n", "m", "id1", "id2", "different")
     gathered = mixed.where(F.col("different") <= GROUP).drop("different").repartition("high", "low").sortWithinPartitions("high", "low")
-    spans = gathered.mapInArrow(_expand, _SPANS)
-    strings = mixed.where(F.col("different") > GROUP).drop("different").mapInArrow(_strings, "string binary, id1 long, id2 long, j long, m long")
+    spans = gathered.mapInArrow(partial(_expand, scale=scale), _SPANS)
+    strings = mixed.where(F.col("different") > GROUP).drop("different").mapInArrow(partial(_strings, scale=scale), "string binary, id1 long, id2 long, j long, m long")
     often = strings.groupBy("string").agg(F.sum("m").alias("times")).where("times > 1")
     counted = strings.join(often, "string").select("id1", "id2", F.col("j").alias("from_start"), F.col("j").alias("to_start"))
     everywhere = bins.where("m > 1").select("id1", "id2", F.lit(0).cast("long").alias("from_start"), (F.col("n") - 1).alias("to_start"))
@@ -255,7 +271,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = Fal
     placed = placed.select("k1", "k2", F.struct((F.col("first") + F.col("from_start")).alias("from"), (F.col("first") + F.col("to_start") + length).alias("to")).alias("span"))
     starts = placed.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))  # no more than the text has bytes
     verdicts = starts.join(whole.withColumn("whole", F.lit(True)), ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return texts, written(verdicts, "repeats")
+    return written(verdicts, "repeats")
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -283,14 +299,13 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _lighten(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _lighten(keys: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Digests of the texts that no verdict can be about, in their place; the others keep theirs for the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may = np.unpackbits(bits).astype(bool)
         for batch in batches:
             texts = _column(batch, "text").to_pylist()
-            open_ = may[_column(batch, "place").to_numpy()].tolist()
+            open_ = keys.may_hold(_column(batch, "k1").to_numpy()).tolist()
             raw = [t.encode() for t in texts]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -308,29 +323,49 @@ def _lighten(bits: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, count, digests = [], [], []
-        for text, digest, whole, spans in zip(*[_column(batch, c).to_pylist() for c in ("text", "digest", "whole", "spans")], strict=True):
+        removed, count, digests, passages, passage_words = [], [], [], [], []
+        for text, digest, whole, spans, whole_too, more in zip(*[_column(batch, c).to_pylist() for c in ("text", "digest", "whole", "spans", "whole_too", "passages")], strict=True):
+            found = merge_spans([(s["from"], s["to"]) for s in more or ()])
             if text is not None:
                 raw = text.encode()
                 cut = removed_spans(raw, whole, spans)
                 removed.append(sum(b - a for a, b in cut))
                 count.append(len(cut))
                 digests.append(hashlib.sha256(kept_bytes(raw, cut)).hexdigest())
+                if whole_too:
+                    found = [(0, len(find_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=False).doc))]
             else:
                 removed.append(0)
                 count.append(0)
                 digests.append(digest)
-        yield pa.RecordBatch.from_pydict(
-            {"doc_id": _column(batch, "doc_id"), "n_bytes": _column(batch, "n_bytes"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(count, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-        )
+            passages.append(len(found))
+            passage_words.append(sum(b - a for a, b in found))
+        numbers = {k: pa.array(v, pa.int64()) for k, v in {"n_removed": removed, "n_spans": count, "n_passages": passages, "n_passage_words": passage_words}.items()}
+        first = {c: _column(batch, c) for c in ("doc_id", "n_bytes")} | {c: numbers.pop(c) for c in ("n_removed", "n_spans")}
+        yield pa.RecordBatch.from_pydict(first | {"kept_sha256": pa.array(digests, pa.string())} | numbers)
+
 
+def removal_digests(documents: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document, with words also n_passages and n_passage_words. documents: doc_id, text.
+
+    Bytes go by strings of ``length`` bytes alone. n_passages counts the stretches of passages of ``words`` words that stand anywhere else too, however few
+    bytes they have, and n_passage_words the words in them; they stay in the text.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *text_keys("text"))
+    verdicts = _both_verdicts(docs, length, words)
+    light = docs.mapInArrow(_lighten(Filter(verdicts)), "doc_id long, k1 long, k2 long, n_bytes long, digest string, text string")
+    joined = light.join(verdicts, ["k1", "k2"], "left").select("doc_id", "n_bytes", "digest", "text", "whole", "spans", "whole_too", "passages")
+    out = joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
+    return out.drop("n_passages", "n_passage_words") if words is None else out
 
-def removal_digests(documents: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document. documents: doc_id, text."""
-    texts, verdicts = repeated_spans(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length)
-    light = texts.mapInArrow(_lighten(_filter(verdicts)), "doc_id long, k1 long, k2 long, n_bytes long, digest string, text string")
-    joined = light.join(verdicts, ["k1", "k2"], "left").select("doc_id", "n_bytes", "digest", "text", "whole", "spans")
-    return joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+def _both_verdicts(documents: DataFrame, length: int, words: int | None) -> DataFrame:
+    """(k1, k2, whole, spans, whole_too, passages): what goes by bytes, and what by words."""
+    by_bytes = repeated_spans(documents, length)
+    if words is None:
+        return by_bytes.withColumns({"whole_too": F.lit(False), "passages": F.lit(None).cast(by_bytes.schema["spans"].dataType)})
+    by_words = repeated_spans(documents, words, words=True).withColumnsRenamed({"whole": "whole_too", "spans": "passages"})
+    return written(by_bytes.join(by_words, ["k1", "k2"], "full"), "all-repeats")
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -347,14 +382,13 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def passage_bytes(text: bytes, spans: list[dict] | None) -> list[tuple[int, int]]:
-    """The bytes of spans of word codes, with the white space that follows them, and what stands before the first word."""
+    """The bytes of spans of words, with the white space that follows them, and what stands before the first word."""
     if not spans:
         return []
     words = find_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=False)
     edges = np.append(words.start, len(text)).tolist()
     edges[0] = 0
-    merged = merge_spans([(s["from"], s["to"]) for s in spans])
-    return [(edges[-(-low // WORD_BYTES)], edges[high // WORD_BYTES]) for low, high in merged]
+    return [(edges[low], edges[high]) for low, high in merge_spans([(s["from"], s["to"]) for s in spans])]
 
 
 def without_repeats(documents: DataFrame, length: int = LENGTH, words: int | None = None) -> DataFrame:
@@ -363,33 +397,28 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, words: int | Non
 
     words: passages of so many words that stand anywhere else too go as well, however few bytes they have.
     """
-    texts, verdicts = repeated_spans(documents, length)
-    if words is None:
-        verdicts = verdicts.withColumn("passages", F.lit(None).cast(verdicts.schema["spans"].dataType))
-    else:
-        _, passages = repeated_spans(documents, words * WORD_BYTES, words=True)
-        passages = passages.select("k1", "k2", F.col("whole").alias("whole_too"), F.col("spans").alias("passages"))
-        whole = F.coalesce("whole", F.lit(False)) | F.coalesce("whole_too", F.lit(False))
-        verdicts = verdicts.join(passages, ["k1", "k2"], "full").select("k1", "k2", whole.alias("whole"), "spans", "passages")
-    joined = texts.drop("place").join(verdicts, ["k1", "k2"], "left").drop("k1", "k2")
+    k1, k2 = text_keys("text")
+    verdicts = _both_verdicts(documents.select("text"), length, words).select("k1", "k2", (F.coalesce("whole", F.lit(False)) | F.coalesce("whole_too", F.lit(False))).alias("whole"), "spans", "passages")
+    # the documents' columns as one, so that none has the name of another
+    joined = documents.select(F.struct(*documents.columns).alias("row"), k1, k2).join(verdicts, ["k1", "k2"], "left").select("row", "whole", "spans", "passages")
     columns = documents.columns
     counts = "n_chars" in columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = dict(zip(columns, _column(batch, "row").flatten(), strict=True))
             out, keep = [], []
-            for text, whole, spans, passages in zip(*[_column(batch, c).to_pylist() for c in ("text", "whole", "spans", "passages")], strict=True):
-                if whole or spans or passages:
+            for text, whole, spans, passages in zip(rows["text"].to_pylist(), *[_column(batch, c).to_pylist() for c in ("whole", "spans", "passages")], strict=True):
+                left = text or ""
+                if text and (whole or spans or passages):
                     raw = text.encode()
                     gone = whole_characters(raw, removed_spans(raw, whole, spans))
                     left = kept_bytes(raw, merge_spans(gone + passage_bytes(raw, passages))).decode()
-                else:
-                    left = text
                 out.append(left)
                 keep.append(bool(left) or not text)
-            replaced = {c: _column(batch, c) for c in columns} | {"text": pa.array(out, pa.string())}
+            rows["text"] = pa.array(out, pa.string())
             if counts:
-                replaced["n_chars"] = pa.array([len(t) for t in out], pa.int64()).cast(_column(batch, "n_chars").type)
-            yield pa.RecordBatch.from_pydict(replaced).filter(pa.array(keep, pa.bool_()))
+                rows["n_chars"] = pa.array([len(t or "") for t in out], pa.int64()).cast(rows["n_chars"].type)
+            yield pa.RecordBatch.from_pydict(rows).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(cut, documents.schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm.bwt_dedup import removal_digests
+from accordant.llm.bwt_dedup import PASSAGE_WORDS, removal_digests
 from accordant.llm.license_scan import license_scan
 from accordant.llm import ngram_join
 from accordant.llm.ngram_join import ngram_components
@@ -60,7 +60,8 @@ def op7_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return removal_digests(table(spark, sf_dir, "documents"))
+    """Besides the removed bytes, the passages of over 50 words that stand elsewhere too are counted, for many of them have fewer than 400 bytes."""
+    return removal_digests(table(spark, sf_dir, "documents"), words=PASSAGE_WORDS)
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

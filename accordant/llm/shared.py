@@ -18,6 +18,9 @@ WORD_BREAKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 19
 
+#: Rows that go to Python at once.
+BATCH_ROWS = 1000
+
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[list(WORD_BREAKS)] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -154,14 +157,25 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a result once to the shared folder and reads it back, so that later steps don't make it again."""
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Writes in batches of at most ``BATCH_ROWS`` rows where Python is part of the plan, as texts may be long."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a result once to the shared folder and reads it back, so that later steps don't make it again."""
+    return _write(df, new_folder(df.sparkSession, name))
+
+
 class Tables:
     """Tables that steps write to the shared folder and that go as soon as nothing reads them any more."""
 
@@ -170,9 +184,8 @@ class Tables:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = new_folder(self.spark, name)
-        df.write.parquet(path)
         self.paths.setdefault(name, []).append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return _write(df, path)
 
     def drop(self, *names: str) -> None:
         """Drops the tables of these names, or all of them."""

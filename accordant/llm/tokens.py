@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 #: White space for which a cut before it might not be one for the tokenizer's pattern.
 _RARE_BLANK = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -‏    　﻿]"
 #: Distinct pieces that a process remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes of text encoded at once; a single longer text is encoded alone.
 ENCODE_BYTES = 4 << 20
 
