@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,27 @@ def evolve(spark: SparkSession, contract_id: str, previous: dict[str, Any] | Non
     return evolution.analyze(spark, contract_id, previous, current, subscriptions)[1] | {"notes": notes}
 
 
+def versions(spark: SparkSession, contract_id: str, root: str, previous: str | None = None, current: str | None = None) -> tuple[dict[str, Any] | None, dict[str, Any] | None, list[str]]:
+    """(previous, current, notes): documents of the named files; the previous version is by default the last one of different content under root/contract/."""
+    notes: list[str] = []
+    if previous is None:
+        try:
+            found = readers.different_snapshots(readers.snapshot_files(spark, f"{root.rstrip('/')}/{contract_id}")).select("path").collect()  # the versions of one contract
+        except AnalysisException:  # no such folder
+            found = []
+        if not found:
+            notes.append("There is no earlier version of the contract.")
+        elif len(found) == 1:
+            notes.append("There is one version of the contract; it counts as the previous one.")
+        previous = found[-1][0] if found else None
+    return readers.read_yaml(spark, previous) if previous else None, readers.read_yaml(spark, current) if current else None, notes
+
+
+def fact_count(records: DataFrame, facts: str = "extracted_facts") -> int:
+    """Facts of all records; a record without a list has none."""
+    return records.agg(F.coalesce(F.sum(F.greatest(F.size(facts), F.lit(0))), F.lit(0))).first()[0] if facts in records.columns else 0
+
+
 def attribute(results: DataFrame, contract: Contract, subscriptions: DataFrame, files: DataFrame, blame: DataFrame, recent: DataFrame, log: DataFrame, system_id: str) -> DataFrame:
     """A row for each failure with its ranked files, subscribers and earlier violations."""
     spark = results.sparkSession

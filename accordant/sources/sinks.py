@@ -55,6 +55,18 @@ def append_violations(results: DataFrame, path: str, **fixed: str) -> None:
     violation_rows(results, **fixed).write.mode("append").json(path)
 
 
+def append_findings(metrics: DataFrame, path: str) -> None:
+    """Adds what AI metrics found to the log."""
+    from accordant.operators.traces import findings
+
+    findings(metrics).coalesce(1).write.mode("append").json(path)
+
+
+def write_drift_baseline(kept: dict[str, Any], path: str | Path) -> None:
+    """The baseline that text_drift.drift_metric gave back."""
+    write_json(path, {"written_at": now_iso()} | kept)
+
+
 def write_records(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
