@@ -52,9 +52,12 @@ def _column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def _symbols(column: pa.Array, scale: Scale) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """text_chunks in symbols."""
+    """text_chunks in symbols: the bytes, or a hash for each word and nothing for what is between words."""
     for at, to, data, offsets in text_chunks(column):
-        yield at, to, data if scale.unit == 1 else data.view("<u8"), offsets // scale.unit
+        if scale == WORDS:
+            words = find_words(data, offsets, lower=False)
+            data, offsets = words.code, np.searchsorted(words.doc, np.arange(len(offsets)))
+        yield at, to, data, offsets
 
 
 def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -65,16 +68,6 @@ def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer((edges * data.itemsize).astype(np.int32)), pa.py_buffer(data[at])])
 
 
-def _word_codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts with eight bytes in place of each word and none for what is between words."""
-    for batch in batches:
-        for at, to, data, offsets in text_chunks(_column(batch, "text")):
-            words = find_words(data, offsets, lower=False)
-            edges = (np.searchsorted(words.doc, np.arange(len(offsets))) * WORDS.unit).astype(np.int32)
-            codes = pa.Array.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(edges), pa.py_buffer(words.code.astype("<u8"))])
-            yield pa.RecordBatch.from_pydict({c: _column(batch, c).slice(at, to - at) for c in ("k1", "k2")} | {"text": codes})
-
-
 def _anchors(length: int, scale: Scale) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(code, k1, k2, c): how often the text k1, k2 has the anchor. A task tells of equal texts once, as far as it remembers them."""
 
@@ -236,12 +229,10 @@ class Filter:
 
 def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
     """verdicts(k1, k2, whole, spans): texts with repeats; spans are intervals [from, to) of bytes that go, unless all do. k1 and k2 name the text.
-    With words, length and spans are in words."""
+    With words, length and spans are in words, and whole tells of a text that several rows have, be it long enough or not."""
     scale = WORDS if words else BYTES
-    source, kind = documents.select(*text_keys("text"), F.coalesce("text", F.lit("")).alias("text")), "string"
-    if words:
-        source, kind = source.mapInArrow(_word_codes, "k1 long, k2 long, text binary"), "binary"
-    long_enough = source.where(F.octet_length("text") >= length * scale.unit)
+    source = documents.select(*text_keys("text"), F.coalesce("text", F.lit("")).alias("text"))
+    long_enough = source.where(F.octet_length("text") >= (2 * length - 1 if words else length))
     whole = long_enough.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
 
     anchors = long_enough.mapInArrow(_anchors(length, scale), "code long, k1 long, k2 long, c long")
@@ -249,7 +240,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = Fal
     several = anchors.groupBy("code").agg(F.sum("c").alias("times")).where("times > 1")
     needed = written(anchors.join(several, "code").groupBy("k1", "k2").agg(F.collect_list("code").alias("codes")), "anchors")
 
-    found = source.mapInArrow(_needed_texts(Filter(needed)), f"k1 long, k2 long, text {kind}")
+    found = source.mapInArrow(_needed_texts(Filter(needed)), "k1 long, k2 long, text string")
     found = found.join(needed, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     contexts = found.mapInArrow(_contexts(length, scale), "high long, low long, left binary, right binary, k1 long, k2 long, first long, n long")
     names = ("high", "low", "left", "right")
@@ -321,7 +312,11 @@ def _lighten(keys: Filter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def word_count(text: bytes) -> int:
+    return len(find_words(np.frombuffer(text, np.uint8), np.array([0, len(text)]), lower=False).doc)
+
+
+def _digest(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, count, digests, passages, passage_words = [], [], [], [], []
         for text, digest, whole, spans, whole_too, more in zip(*[_column(batch, c).to_pylist() for c in ("text", "digest", "whole", "spans", "whole_too", "passages")], strict=True):
@@ -332,8 +327,8 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 removed.append(sum(b - a for a, b in cut))
                 count.append(len(cut))
                 digests.append(hashlib.sha256(kept_bytes(raw, cut)).hexdigest())
-                if whole_too:
-                    found = [(0, len(find_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=False).doc))]
+                if whole_too and (n := word_count(raw)) >= words:
+                    found = [(0, n)]
             else:
                 removed.append(0)
                 count.append(0)
@@ -355,7 +350,7 @@ def removal_digests(documents: DataFrame, length: int = LENGTH, words: int | Non
     verdicts = _both_verdicts(docs, length, words)
     light = docs.mapInArrow(_lighten(Filter(verdicts)), "doc_id long, k1 long, k2 long, n_bytes long, digest string, text string")
     joined = light.join(verdicts, ["k1", "k2"], "left").select("doc_id", "n_bytes", "digest", "text", "whole", "spans", "whole_too", "passages")
-    out = joined.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
+    out = joined.mapInArrow(partial(_digest, words=words or 0), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, n_passage_words long")
     return out.drop("n_passages", "n_passage_words") if words is None else out
 
 
@@ -398,9 +393,9 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, words: int | Non
     words: passages of so many words that stand anywhere else too go as well, however few bytes they have.
     """
     k1, k2 = text_keys("text")
-    verdicts = _both_verdicts(documents.select("text"), length, words).select("k1", "k2", (F.coalesce("whole", F.lit(False)) | F.coalesce("whole_too", F.lit(False))).alias("whole"), "spans", "passages")
+    verdicts = _both_verdicts(documents.select("text"), length, words)
     # the documents' columns as one, so that none has the name of another
-    joined = documents.select(F.struct(*documents.columns).alias("row"), k1, k2).join(verdicts, ["k1", "k2"], "left").select("row", "whole", "spans", "passages")
+    joined = documents.select(F.struct(*documents.columns).alias("row"), k1, k2).join(verdicts, ["k1", "k2"], "left").select("row", "whole", "spans", "whole_too", "passages")
     columns = documents.columns
     counts = "n_chars" in columns
 
@@ -408,11 +403,11 @@ def without_repeats(documents: DataFrame, length: int = LENGTH, words: int | Non
         for batch in batches:
             rows = dict(zip(columns, _column(batch, "row").flatten(), strict=True))
             out, keep = [], []
-            for text, whole, spans, passages in zip(rows["text"].to_pylist(), *[_column(batch, c).to_pylist() for c in ("whole", "spans", "passages")], strict=True):
+            for text, whole, spans, whole_too, passages in zip(rows["text"].to_pylist(), *[_column(batch, c).to_pylist() for c in ("whole", "spans", "whole_too", "passages")], strict=True):
                 left = text or ""
-                if text and (whole or spans or passages):
+                if text and (whole or spans or whole_too or passages):
                     raw = text.encode()
-                    gone = whole_characters(raw, removed_spans(raw, whole, spans))
+                    gone = whole_characters(raw, removed_spans(raw, whole or whole_too and word_count(raw) >= words, spans))
                     left = kept_bytes(raw, merge_spans(gone + passage_bytes(raw, passages))).decode()
                 out.append(left)
                 keep.append(bool(left) or not text)

@@ -1,8 +1,8 @@
 """Hashed word and character n-gram features of texts, and sums of learned weights over them.
 
 Words are taken as they are written, alone and in pairs of neighbours (a word twice in a row is the same pair
-whichever word it is); the character n-grams are those of 3 and 4 bytes whose inner bytes are
-not white space, so a white-space byte at either end marks the edge of a word. Words, pairs, 3-grams and
+whichever word it is); the character n-grams are those of 3 and 4 code points whose inner ones are
+not white space, so white space at either end marks the edge of a word. Words, pairs, 3-grams and
 4-grams each have a quarter of the table of ``2 ** BITS`` buckets.
 """
 
@@ -26,23 +26,26 @@ def buckets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.
     left, right = words.code[first], words.code[first + 1]
     pair = np.where(left == right, np.uint64(0), mix(left * np.uint64(0x9FB21C651E98DF25) + right))
     out.append(((pair >> np.uint64(66 - BITS)).astype(np.int32) + size, np.searchsorted(words.start[first], offsets)))
-    blank = IS_BREAK[data]
-    byte = np.where(blank, np.uint8(32), data).astype(np.uint32)
+    # code points and where each text begins among them
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), dtype=np.uint32)
+    edges_of = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    blank = (points <= 32) & IS_BREAK[np.minimum(points, 255)]
+    points = np.where(blank, np.uint32(32), points)
     for n in (3, 4):
-        count = max(0, len(data) - n + 1)
+        count = max(0, len(points) - n + 1)
         code = np.zeros(count, dtype=np.uint32)
         inner = np.ones(count, dtype=bool)
         for k in range(n):
-            code = (code << np.uint32(8)) | byte[k : k + count]
+            code = code * np.uint32(0x01000193) + points[k : k + count]
             if 0 < k < n - 1:
                 inner &= ~blank[k : k + count]
-        for edge in offsets[1:-1]:  # none may reach into the next text
+        for edge in edges_of[1:-1]:  # none may reach into the next text
             inner[max(0, edge - n + 1) : edge] = False
         at = np.flatnonzero(inner)
         hashed = code[at] * _SPREAD
         hashed ^= hashed >> np.uint32(15)
         hashed *= np.uint32(0x85EBCA77)
-        out.append(((hashed >> np.uint32(34 - BITS)).astype(np.int32) + (size * (n - 1)), np.searchsorted(at, offsets)))
+        out.append(((hashed >> np.uint32(34 - BITS)).astype(np.int32) + (size * (n - 1)), np.searchsorted(at, edges_of)))
     return out
 
 

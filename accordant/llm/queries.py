@@ -27,10 +27,14 @@ def tokenizer_file() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path; each stands for a file in a directory of its source, and every hundredth for that directory's licence file."""
-    group, name = F.floor(F.col("doc_id") / 1000).cast("string"), F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise("text.md")
-    path = F.concat_ws("/", "source", group, F.floor(F.col("doc_id") / 100).cast("string"), name)
-    return license_scan(table(spark, sf_dir, "documents").withColumn("path", path))
+    """Documents have no path. A hundred make up a directory, ten of these another one above; a document that speaks of a licence is its directory's
+    licence file, so that the others of the directory, and of those below without one, inherit what is found in it."""
+    documents = table(spark, sf_dir, "documents")
+    upper, lower = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100 % 10).cast("string")
+    speaks = F.coalesce(F.lower("text").contains("licen"), F.lit(False))
+    directory = F.when(lower == "0", F.concat_ws("/", F.lit("files"), upper)).otherwise(F.concat_ws("/", F.lit("files"), upper, lower))
+    name = F.when(speaks, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    return license_scan(documents.withColumn("path", F.concat_ws("/", directory, name)))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

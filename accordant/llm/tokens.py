@@ -9,7 +9,6 @@ difference is encoded whole, and so are all texts if the tokenizer file says any
 from __future__ import annotations
 
 import itertools
-import json
 import os
 import re
 from collections.abc import Iterator
@@ -61,12 +60,13 @@ class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            said = json.load(file)
-        before, model = said.get("pre_tokenizer") or {}, said["model"]
-        self.cuts = (model.get("type", "BPE"), before.get("type"), before.get("use_regex", True), before.get("add_prefix_space"), said.get("normalizer"), model.get("dropout")) == ("BPE", "ByteLevel", True, False, None, None)
+        model, before = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = isinstance(model, BPE) and model.dropout is None and self.tokenizer.normalizer is None
+        self.cuts = plain and isinstance(before, ByteLevel) and before.use_regex and not before.add_prefix_space
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = "|".join(["  ", "\n ", "[ \n]$", _RARE_BLANK, *special])
         #: Bytes that each id of a byte-level BPE stands for: its name has a character for each.
