@@ -318,7 +318,8 @@ def _entries(tables: Tables, sets: DataFrame, named: DataFrame, percent: int) ->
     """(key, id, n, c, hard, rare, early) of list entries that several sets have. c: entries of the list; hard: too few of what the set has listed isn't frequent;
     rare: among the first of the set in the order that has frequent n-grams last, unless it is hard; early: among the first in the order of hashes."""
     keys = sets.select("name", "own").mapInArrow(partial(_lists, percent=percent), "key long, name long, at int")
-    keys = keys.repartition("key")  # one shuffle serves all that follows
+    # one shuffle serves all that follows; its partitions hold twice as many hash tables as others
+    keys = keys.repartition(2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
     several = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key", "c")
     lists = tables.write(keys.join(several.hint("shuffle_hash"), "key").distinct(), "lists")
     lists = lists.join(named.select("name", "id", "n"), "name")

@@ -125,6 +125,18 @@ def plan_rows(plan: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[int,
     return rows
 
 
+def slot_blocks(slots: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int, int, int, int]]]:
+    """(widths, rows): ranks of a length are cut into blocks of its width, about as many as it has slots; a slot has a row for each block that it reaches into, so that
+    a rank finds its slot among about two."""
+    ranks: dict[int, int] = {}
+    many: dict[int, int] = {}
+    for length, _, high, _, _ in slots:
+        ranks[length] = max(ranks.get(length, 0), high)
+        many[length] = many.get(length, 0) + 1
+    width = {length: max(1, ranks[length] // many[length]) for length in ranks}
+    return list(width.items()), [(s[0], block, *s[1:]) for s in slots for block in range(s[1] // width[s[0]], (s[2] - 1) // width[s[0]] + 1)]
+
+
 def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], np.uint32)
@@ -140,6 +152,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int) -> Callable[[Iterator[pa
                             column.append(value)
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder(tokenizer).forget()
 
     return run
 
@@ -156,7 +169,9 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, capacity:
     histogram = np.zeros(capacity + 1, dtype=np.int64)
     for r in counted:
         histogram[r["length"]] = r["count"]
-    slots = spark.createDataFrame(plan_rows(plan_packing(histogram, capacity)), "length long, low long, high long, first_sequence long, offset long")
+    widths, rows = slot_blocks(plan_rows(plan_packing(histogram, capacity)))
+    width_of = spark.createDataFrame(widths, "length long, width long")  # at most capacity - 1 rows
+    slots = spark.createDataFrame(rows, "length long, block long, low long, high long, first_sequence long, offset long")
 
     full = pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.lit(FULL_FROM) + F.col("row"), "offset": F.lit(0).cast("long")})
     buckets = 1 + int(histogram.max()) // RANKED_AT_ONCE
@@ -166,7 +181,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, end_id: int, capacity:
     before = before.withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0))).drop("count")
     rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
     ranked = partial.withColumn("own", rank).join(before, ["length", "bucket"]).withColumn("rank", F.col("own") + F.col("before"))
-    placed = ranked.join(F.broadcast(slots), "length").where("rank >= low and rank < high")  # slots: bounded by capacity squared
+    ranked = ranked.join(F.broadcast(width_of), "length").withColumn("block", F.floor(F.col("rank") / F.col("width")))
+    placed = ranked.join(F.broadcast(slots), ["length", "block"]).where("rank >= low and rank < high")  # slots: bounded by capacity squared
     placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.col("rank") - F.col("low"))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return full.select(columns).union(placed.select(columns))

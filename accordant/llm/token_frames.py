@@ -173,6 +173,7 @@ def _file_writer(folder: str, tokenizer: str, end_id: int) -> Callable[[Iterator
                     writer.add(NULL_ID if doc_id is None else doc_id, np.concatenate([ids, end]))
                     documents += 1
                     tokens += len(ids) + 1
+        encoder(tokenizer).forget()
         if writer is not None:
             writer.finish()
             out.close()

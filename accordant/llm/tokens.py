@@ -74,9 +74,10 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         for name, i in vocabulary.items():
             self.bytes_of[i] = len(name)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Gives up what is remembered; a task does so at its end, for its process may go on with other work."""
         self.after_space: dict[str, int] = {}
         self.at_start: dict[str, int] = {}
         self.spaced, self.first = _Table(), _Table()
@@ -115,7 +116,7 @@ class Encoder:
         if not len(cut):
             return out
         if len(self.after_space) > REMEMBERED:
-            self._forget()
+            self.forget()
         words = pc.split_pattern(texts.take(pa.array(cut)), " ")
         edges = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
