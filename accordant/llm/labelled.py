@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.llm.ngram_features import sparse_rows
-from accordant.llm.shared import text_chunks
+from accordant.llm.shared import small_batches, text_chunks
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("label", pa.int32()), ("bucket", pa.binary()), ("weight", pa.binary())])
 
@@ -33,6 +33,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, bound:
     An id labelled more than once counts once, with its largest label; of documents that share an id, one
     text counts. Rows with a null id or label are left out; a null text is an empty one.
     """
+    small_batches(documents.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
         .where("doc_id is not null and label is not null")

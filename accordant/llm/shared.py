@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Bytes that end a word: space and 0x09 to 0x0D.
 WORD_BREAKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes of text handled at once; a single longer text is handled alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 #: Rows that go to Python at once.
 BATCH_ROWS = 1000
@@ -154,21 +154,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
+    small_batches(spark)
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    """Writes in batches of at most ``BATCH_ROWS`` rows where Python is part of the plan, as texts may be long."""
-    spark = df.sparkSession
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python have at most ``BATCH_ROWS`` rows at once in this session, as texts may be long, unless the user has set another number than Spark's own."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    if not 0 < int(before) <= BATCH_ROWS:
+    if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, str(BATCH_ROWS))
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(setting, before)
-    return spark.read.schema(df.schema).parquet(path)
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
