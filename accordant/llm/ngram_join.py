@@ -320,7 +320,8 @@ def _entries(tables: Tables, sets: DataFrame, named: DataFrame, percent: int) ->
     keys = sets.select("name", "own").mapInArrow(partial(_lists, percent=percent), "key long, name long, at int")
     # one shuffle serves all that follows; its partitions hold twice as many hash tables as others
     keys = keys.repartition(2 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
-    several = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("key", "c")
+    several = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("name").alias("lo"), F.max("name").alias("hi"), F.max("at").alias("last"))
+    several = several.where("lo < hi and last >= 0").select("key", "c")  # reads all columns, so that both sides of the join share the shuffle
     lists = tables.write(keys.join(several.hint("shuffle_hash"), "key").distinct(), "lists")
     lists = lists.join(named.select("name", "id", "n"), "name")
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
