@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.llm import chat_format, code_compression, merkle_manifest
 from accordant.llm.bwt_dedup import PASSAGE_WORDS, removal_digests
 from accordant.llm.license_scan import license_scan
 from accordant.llm import ngram_join
@@ -76,6 +77,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fifth document, by the crc32 of its id, is claimed to have its text in lower case."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return merkle_manifest.merkle_manifest(table(spark, sf_dir, "documents"), "doc_id", "source", ("doc_id", "source", "lang", "n_chars", "text"), claimed={"text": lowered}, where=id_fold(F.col("doc_id")) == 0)
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.code_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digests(chat_format.format_conversations(chat_format.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_ngram_join": op2_ngram_join,
@@ -87,9 +102,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_rules": op10_quality_rules,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_code_compression": op12_code_compression,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_join": ngram_join.oracle_sql(n=4, percent=85),
     "op7_spaced_seed_decontamination": spaced_seed.oracle_sql(),
+    "op11_merkle_manifest": merkle_manifest.oracle_sql(),
+    "op12_code_compression": code_compression.oracle_sql(),
+    "op13_chat_format": chat_format.oracle_sql(),
 }
