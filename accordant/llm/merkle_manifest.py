@@ -26,8 +26,8 @@ FANOUT = 16
 #: Levels that DuckDB folds within a bucket, and the leaves of a bucket.
 BUCKET_LEVELS = 3
 BUCKET = FANOUT**BUCKET_LEVELS
-#: Rows that one DuckDB query takes, and its memory.
-BLOCK_ROWS = 4 * BUCKET
+#: Rows that one DuckDB query takes unless a bucket and its header have more, and its memory.
+BLOCK_ROWS = BUCKET
 MEMORY = "256MB"
 HEX = 64
 #: Bits of monotonically_increasing_id that number the rows of a partition.
@@ -62,20 +62,20 @@ def _offsets(laid: DataFrame, group: Sequence[str]) -> DataFrame:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Some whole buckets at a time, from rows in the order of their buckets."""
     held: list[pa.RecordBatch] = []
-    rows = 0
     for batch in batches:
         held.append(batch)
-        rows += batch.num_rows
-        if rows < BLOCK_ROWS:
+        if sum(b.num_rows for b in held) < BLOCK_ROWS:
             continue
-        block = pa.Table.from_batches(held)
-        keys = [block.column(c).to_numpy() for c in ("sid", "bucket")]
-        cut = int(np.argmax((keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1])))  # the last bucket may go on
-        if cut:
-            yield block.slice(0, cut)
-            held = block.slice(cut).to_batches()
-            rows -= cut
-    if rows:
+        rows = pa.Table.from_batches(held)
+        keys = [rows.column(c).to_numpy() for c in ("sid", "bucket")]
+        ends = (np.flatnonzero((np.diff(keys[0]) != 0) | (np.diff(keys[1]) != 0)) + 1).tolist()  # the last bucket may go on
+        at = 0
+        while ends and ends[-1] > at:
+            to = max([e for e in ends if at < e <= at + BLOCK_ROWS], default=next((e for e in ends if e > at), at))
+            yield rows.slice(at, to - at)
+            at = to
+        held = rows.slice(at).to_batches()
+    if held:
         yield pa.Table.from_batches(held)
 
 
