@@ -14,9 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accordant.functions import values as V
+from accordant.operators import firsts
 from accordant.operators.contract import Clause, Contract
 
 SAMPLES = 5
+#: Stands for a failing null among samples until they are put together.
+GAP = "\x00null"
 RESULT = "check_id string, column_name string, check_type string, status string, actual_value string, expected string, severity string, records_failing long, message string"
 
 
@@ -211,17 +214,19 @@ def guarded(df: DataFrame, contract: Contract, baselines: Mapping[str, tuple[flo
 
 
 def with_samples(df: DataFrame, contract: Contract, results: DataFrame, order_by: str | None = None) -> DataFrame:
-    """Adds sample_failing: at most five failing values of each failing check, first in ``order_by``."""
-    spark = df.sparkSession
-    failing = {r.check_id for r in results.where("status = 'FAIL'").select("check_id").collect()}
+    """Adds sample_failing: at most five failing values of each failing check, first in ``order_by``. One more pass over the data, whatever the number of failing checks."""
+    failing = {r.check_id for r in results.where("status = 'FAIL'").select("check_id").distinct().collect()}  # a row a check
     types = {f.name: f.dataType for f in df.schema.fields}
-    parts = []
-    for rule in (r for part in compile_checks(df, contract) for r in part if isinstance(r, Rule) and r.check_id in failing):
-        rows = df.where(rule.fails)
-        rows = rows.orderBy(order_by) if order_by else rows
-        parts.append((rule.check_id, [r[0] for r in rows.select(V.text(F.col(f"`{rule.column}`"), types[rule.column])).limit(SAMPLES).collect()]))
-    samples = spark.createDataFrame(parts, "check_id string, sample_failing array<string>")
-    return results.join(F.broadcast(samples), "check_id", "left").withColumn("sample_failing", F.coalesce("sample_failing", F.array().cast("array<string>")))
+    rules = [r for part in compile_checks(df, contract) for r in part if isinstance(r, Rule) and r.check_id in failing]
+    none = F.array().cast("array<string>")
+    if not rules:
+        return results.withColumn("sample_failing", none)
+    fields = {r.check_id: F.when(r.fails, F.coalesce(V.text(F.col(f"`{r.column}`"), types[r.column]), F.lit(GAP))) for r in rules}
+    found = firsts.first_values(df, fields, SAMPLES, F.col(order_by) if order_by else None, distinct=False)
+    listed = F.array_sort(F.collect_list(F.struct("rank", "value")))
+    shown = F.transform(listed, lambda x: F.when(x["value"] != GAP, x["value"]))
+    samples = found.groupBy(F.col("field").alias("check_id")).agg(shown.alias("sample_failing"))
+    return results.join(F.broadcast(samples), "check_id", "left").withColumn("sample_failing", F.coalesce("sample_failing", none))
 
 
 def numeric_baseline(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -1,20 +1,25 @@
 """Profiles of columns and the clauses that they suggest.
 
-Two plans whatever the number of columns: one wide aggregation, and one count of distinct rendered values that serves
-cardinalities, enums and samples of all columns, so no plan expands rows per distinct aggregate.
+Two passes whatever the number of columns: a wide aggregation, with a sketch of each column's values, and one that keeps the first different values of
+all columns. Neither expands or shuffles rows. Percentiles are counted, see ``firsts``.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from accordant.functions import values as V
+from accordant.operators import firsts
 from accordant.operators.checks import logical_type
 from accordant.operators.contract import Clause, Contract
 
 ENUM_LIMIT = 8
 SAMPLES = 5
+#: Bits of a sketch's size, and lanes in which sketches meet.
+SKETCH, LANES = 16, 16
 #: Columns of running text and addresses, for which the values seen say nothing of the values allowed.
 NO_ENUM = frozenset(["source_path", "source_hash", "fact_text", "fact_source_excerpt", "fact_entity_refs"])
 CONFIDENCE = "Confidence value for the extracted fact. This must remain in the 0.0-1.0 range."
@@ -24,62 +29,82 @@ def describe_field(name: str, known: dict[str, str] | None = None) -> str:
     return (known or {}).get(name, f"Observed field for {name.replace('_', ' ')} in the source dataset.")
 
 
-def column_values(df: DataFrame, order_by: str | None = None) -> DataFrame:
-    """(column, value, ord, n): distinct rendered values of every column with the least place and how often they stand."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    ordinal = F.col(order_by).cast("long") if order_by else F.monotonically_increasing_id()
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.when(V.present(F.col(f"`{c}`"), types[c]), V.text(F.col(f"`{c}`"), types[c])).alias("value")) for c in df.columns])
-    rows = df.select(ordinal.alias("ord"), F.inline(cells)).where("value is not null")
-    return rows.groupBy("column", "value").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
-
-
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, min, max, mean, stddev, p50, p95) of numeric columns, rounded to six places; deviation 0 for a single value."""
+    """(column, min, max, mean, stddev, p50, p95) of numeric columns, rounded to six places; deviation 0 for a single value. Percentiles are exact."""
     types = {f.name: f.dataType for f in df.schema.fields}
     chosen = [c for c in (columns or df.columns) if isinstance(types[c], V.NUMERIC)]
-    aggregates, rows = [], []
-    for i, c in enumerate(chosen):
-        x = V.number(F.col(f"`{c}`"), types[c])
-        aggregates += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"s{i}"), F.percentile(x, F.array(F.lit(0.5), F.lit(0.95))).alias(f"p{i}")]
-        named = {"observed_min": F.col(f"a{i}"), "observed_max": F.col(f"b{i}"), "observed_mean": F.col(f"m{i}"), "observed_stddev": F.col(f"s{i}"), "observed_p50": F.col(f"p{i}")[0], "observed_p95": F.col(f"p{i}")[1]}
-        rows.append(F.struct(F.lit(c).alias("column"), *[V.round_half_even(v, 6).alias(k) for k, v in named.items()]))
-    return df.agg(*aggregates).select(F.inline(F.array(*rows))).where("observed_min is not null")
+    shape = "column string, observed_min double, observed_max double, observed_mean double, observed_stddev double, observed_p50 double, observed_p95 double"
+    if not chosen:
+        return df.sparkSession.createDataFrame([], shape)
+    numbers = {c: V.number(F.col(f"`{c}`"), types[c]) for c in chosen}
+    aggregates = []
+    for i, x in enumerate(numbers.values()):
+        aggregates += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}"), F.avg(x).alias(f"m{i}"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias(f"s{i}")]
+    seen = df.agg(*aggregates).first()
+    counts = {c: seen[f"n{i}"] for i, c in enumerate(chosen)}
+    parts = firsts.quantiles(df, numbers, counts, (0.5, 0.95))
+    rows = [(c, *(seen[f"{k}{i}"] for k in "abms"), *parts[c]) for i, c in enumerate(chosen) if counts[c]]
+    out = df.sparkSession.createDataFrame(rows, shape)  # a row a column
+    return out.select("column", *[V.round_half_even(F.col(c), 6).alias(c) for c in out.columns[1:]])
 
 
 def column_facts(df: DataFrame) -> DataFrame:
-    """(column, ordinal, dtype, rows, nulls, null_fraction, all_uuid, all_sha256, all_datetime) of every column, in one aggregation."""
-    aggregates, rows = [F.count("*").alias("_rows")], []
+    """(column, ordinal, dtype, rows, nulls, null_fraction, cardinality_estimate, all_uuid, all_sha256, all_datetime) of every column, in one pass.
+
+    A column's different values are counted by a sketch, exactly up to 2**16 of them, from there on within 0.4 % (a standard error). Tasks' sketches meet
+    in lanes first, so that no task gathers those of all.
+    """
+    aggregates, rows = {"_rows": F.count("*")}, []
+    sketches = {}
     for i, f in enumerate(df.schema.fields):
         c = F.col(f"`{f.name}`")
         there, shown = V.present(c, f.dataType), V.text(c, f.dataType)
-        aggregates += [F.count_if(~there).alias(f"n{i}")]
+        aggregates[f"n{i}"] = F.count_if(~there)
+        sketches[f"c{i}"] = F.theta_sketch_agg(F.when(there, shown), SKETCH)
         tests = {"u": shown.rlike(V.UUID_STRICT) if f.name.endswith("_id") else None, "h": shown.rlike(V.SHA256) if f.name == "source_hash" else None, "d": V.is_iso_datetime(shown) if f.name.endswith("_at") else None}
-        aggregates += [F.count_if(there & ~t).alias(f"{k}{i}") for k, t in tests.items() if t is not None]
+        aggregates |= {f"{k}{i}": F.count_if(there & ~t) for k, t in tests.items() if t is not None}
         bad = {k: F.col(f"{k}{i}") == 0 if t is not None else F.lit(False) for k, t in tests.items()}
         filled = F.col("_rows") > F.col(f"n{i}")
         rows.append(
             F.struct(
                 F.lit(f.name).alias("column"), F.lit(i).alias("ordinal"), logical_type(f.dataType, F.col(f"n{i}"), F.col("_rows")).alias("dtype"), F.col("_rows").alias("rows"), F.col(f"n{i}").alias("nulls"),
-                V.round_half_even(F.coalesce(F.try_divide(F.col(f"n{i}"), F.col("_rows")), F.lit(0.0)), 6).alias("null_fraction"), (bad["u"] & filled).alias("all_uuid"), (bad["h"] & filled).alias("all_sha256"), bad["d"].alias("all_datetime"),
+                V.round_half_even(F.coalesce(F.try_divide(F.col(f"n{i}"), F.col("_rows")), F.lit(0.0)), 6).alias("null_fraction"), F.col(f"c{i}").alias("cardinality_estimate"), (bad["u"] & filled).alias("all_uuid"), (bad["h"] & filled).alias("all_sha256"), bad["d"].alias("all_datetime"),
             )
         )
-    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
+    lanes = df.withColumn("_lane", F.spark_partition_id() % LANES).groupBy("_lane").agg(*[v.alias(k) for k, v in (aggregates | sketches).items()])
+    whole = lanes.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in aggregates], *[F.coalesce(F.theta_sketch_estimate(F.theta_union_agg(k, SKETCH)), F.lit(0)).alias(k) for k in sketches])
+    return whole.select(F.inline(F.array(*rows)))
+
+
+def first_facts(df: DataFrame, order_by: str | None = None) -> DataFrame:
+    """(column, sample_values, enum_values): the first different values, and all of them in order where there are few."""
+    fields = {f.name: F.when(V.present(F.col(f"`{f.name}`"), f.dataType), V.text(F.col(f"`{f.name}`"), f.dataType)) for f in df.schema.fields}
+    found = firsts.first_values(df, fields, ENUM_LIMIT + 1, F.col(order_by).cast("long") if order_by else None)
+    few = F.count("*") <= ENUM_LIMIT
+    sample = F.array_sort(F.collect_list(F.when(F.col("rank") <= SAMPLES, F.struct("rank", "value"))))
+    return found.groupBy(F.col("field").alias("column")).agg(F.transform(sample, lambda x: x["value"]).alias("sample_values"), F.when(few, F.array_sort(F.collect_set("value"))).alias("enum_values"))
+
+
+class Values(NamedTuple):
+    """Rows whose columns' values are looked at, and the column that orders them, by default as they are read."""
+
+    df: DataFrame
+    order_by: str | None = None
+
 
+def column_values(df: DataFrame, order_by: str | None = None) -> Values:
+    return Values(df, order_by)
 
-def value_facts(values: DataFrame) -> DataFrame:
-    """(column, cardinality_estimate, sample_values, enum_values) from ``column_values``; enum values where there are few."""
-    from pyspark.sql.window import Window
 
-    place = F.row_number().over(Window.partitionBy("column").orderBy("ord", "value"))
-    counted = values.groupBy("column").agg(F.count("*").alias("cardinality_estimate"))
-    first = values.withColumn("place", place).where(F.col("place") <= ENUM_LIMIT)  # a limit on ranks, which Spark applies before it sorts whole columns
-    shown = first.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("place") <= SAMPLES, F.struct("place", "value")))), lambda x: x["value"]).alias("sample_values"), F.array_sort(F.collect_set("value")).alias("v"))
-    return counted.join(shown, "column").select("column", "cardinality_estimate", "sample_values", F.when(F.col("cardinality_estimate") <= ENUM_LIMIT, F.col("v")).alias("enum_values"))
+def value_facts(values: Values) -> DataFrame:
+    """(column, cardinality_estimate, sample_values, enum_values) of every column that has a value."""
+    df, order_by = values
+    return column_facts(df).select("column", "cardinality_estimate").join(F.broadcast(first_facts(df, order_by)), "column")  # a row a column
 
 
 def clause_frame(df: DataFrame, order_by: str | None = None) -> DataFrame:
     """A row for each column: its facts, and the clause that they suggest."""
-    facts = column_facts(df).join(F.broadcast(value_facts(column_values(df, order_by))), "column", "left")  # a row a column
+    facts = column_facts(df).join(F.broadcast(first_facts(df, order_by)), "column", "left")  # a row a column
     name = F.col("column")
     format_ = F.when(name.endswith("_at") & F.col("all_datetime"), "date-time").when(name.endswith("_id") & F.col("all_uuid"), "uuid")
     confidence = name.contains("confidence")
@@ -92,7 +117,6 @@ def clause_frame(df: DataFrame, order_by: str | None = None) -> DataFrame:
             "enum": F.when(enum, F.col("enum_values")),
             "minimum": F.when(confidence, 0.0),
             "maximum": F.when(confidence, 1.0),
-            "cardinality_estimate": F.coalesce("cardinality_estimate", F.lit(0)),
         }
     )
 
