@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
 import json
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from accordant.sources import scratch
+
 NODES = "node_id string, node_type string, label string, metadata map<string,string>"
 EDGES = "source string, target string, relationship string"
 SEEDS = 8
-#: Walks write what they have reached to the shared folder every so many steps.
-CHECKPOINT_EVERY = 5
+#: Edges of a node from which on it is a hub, and of each of its parts.
+HUB_EDGES = 100_000
+#: A walk takes so many steps in one job at most, and only while a job reaches few nodes; what it has reached lies in so many tables at most.
+STEPS, FEW_NODES, TABLES = 8, 1_000_000, 8
 
 
 def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[DataFrame, DataFrame]:
@@ -37,32 +40,66 @@ def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[D
     return spark.createDataFrame(list(nodes.values()), NODES), spark.createDataFrame(edges, EDGES)
 
 
+def _dealt(edges: DataFrame, direction: str, tables: scratch.Tables) -> tuple[DataFrame, DataFrame | None]:
+    """(at, salt, to, relation) of every usable edge, dealt by at and salt, and (hub, salts) of nodes with many edges, None if there are none."""
+    start, end = ("source", "target") if direction == "downstream" else ("target", "source")
+    usable = edges.where("source is not null and target is not null and source <> '' and target <> ''")
+    steps = usable.select(F.col(start).alias("at"), F.col(end).alias("to"), F.coalesce("relationship", F.lit("RELATED")).alias("relation"))
+    hubs = tables.write(steps.groupBy("at").count().where(F.col("count") > HUB_EDGES).select(F.col("at").alias("hub"), F.ceil(F.col("count") / HUB_EDGES).cast("int").alias("salts")), "walk-hubs")
+    if hubs.isEmpty():
+        return steps.withColumn("salt", F.lit(0)).repartition("at", "salt"), None
+    salted = steps.join(hubs, F.col("at") == F.col("hub"), "left").withColumn("salt", F.pmod(F.xxhash64("to"), F.coalesce("salts", F.lit(1))).cast("int"))
+    return salted.select("at", "salt", "to", "relation").repartition("at", "salt"), hubs
+
+
+def _one_step(here: DataFrame, steps: DataFrame, hubs: DataFrame | None, distance: int) -> DataFrame:
+    """What is one edge away from here(node_id); a hub stands once for each part of its edges."""
+    if hubs is None:
+        from_ = here.select("node_id", F.lit(0).alias("own"))
+    else:
+        from_ = here.select("node_id").join(hubs, F.col("node_id") == F.col("hub"), "left").select("node_id", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("own"))
+    met = from_.join(steps, (F.col("node_id") == F.col("at")) & (F.col("own") == F.col("salt")))
+    return met.groupBy(F.col("to").alias("node_id")).agg(F.min("relation").alias("relationship")).select("node_id", F.lit(distance).alias("distance"), "relationship")
+
+
 def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", max_depth: int | None = None) -> DataFrame:
     """(node_id, distance, relationship) of all nodes reached from seeds(node_id), in max_depth steps if given; the seeds are left out.
 
-    One join a step: the frontier with the edges, less what was reached before; edges are dealt by their start once and read again.
+    Edges are dealt by their start once, those of a hub in parts. A job takes one step, later up to ``STEPS`` at once, and writes what it
+    reaches anew to the shared folder; from time to time these tables become one. So plans and a step's time don't grow with the depth.
     """
     spark = edges.sparkSession
-    start, end = ("source", "target") if direction == "downstream" else ("target", "source")
-    usable = edges.where("source is not null and target is not null and source <> '' and target <> ''")
-    steps = usable.select(F.col(start).alias("at"), F.col(end).alias("to"), F.coalesce("relationship", F.lit("RELATED")).alias("relation")).repartition("at").persist()
-    reached = frontier = seeds.select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("relationship")).distinct()
-    safe = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    tables = scratch.Tables(spark)
+    steps, hubs = _dealt(edges, direction, tables)
+    steps = steps.persist()
+    tables.write(seeds.select("node_id", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("relationship")).distinct(), "walk-0")
+    names, depth, at_once = ["walk-0"], 0, 1
     try:
-        for distance in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-            new = frontier.join(steps, F.col("node_id") == F.col("at")).groupBy("to").agg(F.min("relation").alias("r"))
-            new = new.join(reached.select("node_id"), F.col("to") == F.col("node_id"), "left_anti").select(F.col("to").alias("node_id"), F.lit(distance).alias("distance"), F.col("r").alias("relationship"))
-            new = new.persist()
-            if new.isEmpty():
+        while at_once := min(at_once, max_depth - depth) if max_depth is not None else at_once:
+            here, found = tables.read(names[-1]).where(F.col("distance") == depth), []
+            for k in range(1, at_once + 1):
+                here = _one_step(here, steps, hubs, depth + k)
+                found.append(here)
+            every = found[0]
+            for f in found[1:]:
+                every = every.union(f)
+            nearest = every.groupBy("node_id").agg(F.min(F.struct("distance", "relationship")).alias("n")).select("node_id", "n.distance", "n.relationship")
+            new = nearest.join(tables.read(*names).select("node_id"), "node_id", "left_anti")
+            depth += at_once
+            seen = Observation()
+            tables.write(new.observe(seen, F.count("*").alias("new"), F.count_if(F.col("distance") == depth).alias("last")), f"walk-{depth}")
+            names.append(f"walk-{depth}")
+            if not seen.get["last"]:
                 break
-            reached, frontier = reached.union(new), new
-            if distance % CHECKPOINT_EVERY == 0:  # or the plan would grow with the depth
-                reached = reached.repartition("node_id")
-                reached = reached.checkpoint() if safe else reached.localCheckpoint()
-                frontier = reached.where(F.col("distance") == distance)
-        return reached.where("distance > 0")
+            if len(names) > TABLES:
+                tables.write(tables.read(*names[:-1]), f"walk-to-{depth}")
+                tables.drop(*names[:-1])
+                names = [f"walk-to-{depth}", names[-1]]
+            at_once = min(2 * at_once, STEPS) if seen.get["new"] <= FEW_NODES else 1
+        return tables.read(*names).where("distance > 0")
     finally:
         steps.unpersist()
+        tables.drop("walk-hubs")
 
 
 def walk_query(edges_view: str, seeds_view: str, direction: str = "downstream", max_depth: int = 10) -> str:
