@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accordant.functions import values as V
-from accordant.operators import policy
+from accordant.operators import ordering, policy
+from accordant.sources import scratch
 
 DIMENSIONS = 128
 WARN_ABOVE, FAIL_ABOVE = 0.18, 0.35
@@ -142,13 +143,16 @@ def drift_metric(spark, texts: DataFrame, key: str, baseline: dict | None, refre
 
 
 def midpoint_windows(df: DataFrame, order_by: str) -> tuple[DataFrame, DataFrame]:
-    """First and second half of time-ordered rows; a single row is both."""
-    total = df.count()
-    cut = max(total // 2, 1)
-    ranked = df.orderBy(order_by)
-    first = ranked.limit(cut)
-    second = ranked.offset(cut) if total > cut else first
-    return first, second
+    """First and second half of time-ordered rows; a single row is both. Rows of one time are ordered by a hash of all their columns.
+
+    Both halves are filters on rows that were numbered by range and written, so either is read in parallel.
+    """
+    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if isinstance(t, T.MapType) else F.col(f"`{c}`") for c, t in ((f.name, f.dataType) for f in df.schema.fields)])
+    placed = ordering.numbered(df.withColumn("_tie", tie), [order_by, "_tie"], scratch.Tables(df.sparkSession), "midpoint").drop("_tie")
+    cut = F.greatest(F.floor(F.col("rows") / 2), F.lit(1))
+    first = placed.where(F.col("number") < cut)
+    second = placed.where((F.col("number") >= cut) | (F.col("rows") == 1))
+    return first.select(*df.columns), second.select(*df.columns)
 
 
 def fact_texts(records: DataFrame, time_column: str, facts: str = "extracted_facts") -> DataFrame:

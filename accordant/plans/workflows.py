@@ -77,11 +77,11 @@ def fact_count(records: DataFrame, facts: str = "extracted_facts") -> int:
 
 
 def attribute(results: DataFrame, contract: Contract, subscriptions: DataFrame, files: DataFrame, blame: DataFrame, recent: DataFrame, log: DataFrame, system_id: str) -> DataFrame:
-    """A row for each failure with its ranked files, subscribers and earlier violations."""
-    spark = results.sparkSession
+    """A row for each failure with its ranked files, subscribers and earlier violations. The files are read once for all failures."""
     failures = attribution.earlier_violations(attribution.failures_of(results, system_id, None), log)
-    parts = [(r.check_id, c.path, c.score) for r in failures.select("check_id", "field", "message").collect() for c in attribution.candidate_files(files, attribution.search_tokens(r.field, r.message)).collect()]  # five a failure
-    ranked = attribution.rank_candidates(failures, spark.createDataFrame(parts, "check_id string, path string, score double"), attribution.blame_counts(blame), recent)
+    tokens = {r.check_id: attribution.search_tokens(r.field, r.message) for r in failures.select("check_id", "field", "message").distinct().collect()}  # a row a check
+    candidates = attribution.failure_candidates(files, tokens).select("check_id", "path", "score")
+    ranked = attribution.rank_candidates(failures, candidates, attribution.blame_counts(blame), recent)
     chain = ranked.groupBy("check_id").agg(F.array_sort(F.collect_list(F.struct("rank", "file_path", "commit_hash", "confidence_score"))).alias("blame_chain"))
     radius = registry.blast_summary(subscriptions, failures.select(F.lit(contract.id).alias("contract_id"), "field")).drop("contract_id")
     return failures.join(chain, "check_id", "left").join(radius, "field", "left")

@@ -579,6 +579,18 @@ def vector_cosine_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a.label").alias("label"), F.col("b.label").alias("other"), F.round(V.cosine_distance(F.col("a.centroid"), F.col("b.centroid")), 6).alias("distance"))
 
 
+
+@query("""with n as (select event_id, ts, row_number() over (order by ts, event_id) - 1 as number, count(*) over () as total from (select event_id, ts + to_microseconds(event_id) as ts from events)),
+    h as (select *, case when number < greatest(total // 2, 1) then 'first' else 'second' end as half from n)
+    select half, count(*) as events, min(event_id) as least, max(event_id) as most, epoch_us(min(ts)) as began, epoch_us(max(ts)) as ended from h group by half""")
+def midpoint_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events are split at the middle of their times, which a microsecond for each id tells apart."""
+    events = table(spark, sf_dir, "events").select("event_id", (F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id")).alias("at"))
+    told = lambda half, name: half.agg(F.lit(name).alias("half"), F.count("*").alias("events"), F.min("event_id").alias("least"), F.max("event_id").alias("most"), F.min("at").alias("began"), F.max("at").alias("ended"))
+    first, second = text_drift.midpoint_windows(events, "at")
+    return told(first, "first").union(told(second, "second"))
+
+
 # -- attribution ----------------------------------------------------------------------------------------------------
 
 
