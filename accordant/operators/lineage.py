@@ -40,6 +40,49 @@ def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[D
     return spark.createDataFrame(list(nodes.values()), NODES), spark.createDataFrame(edges, EDGES)
 
 
+def snapshot_tables(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of snapshots(ord, doc: variant) of both shapes, each with its ord; a node id that comes again in a snapshot replaces the one before.
+
+    Nodes have ``own_file`` and ``repo`` too, by which a snapshot is found. The rules are those of ``normalize_snapshot``.
+    """
+    spark = snapshots.sparkSession
+    text = lambda path: f"nullif(try_variant_get(e.value, '$.{path}', 'string'), '')"
+    part = lambda name, other="": spark.sql(
+        f"select s.ord, s.doc, e.pos, e.key, e.value from {{s}} s, lateral variant_explode(try_variant_get(s.doc, '$.{name}', 'variant')) e where try_variant_get(s.doc, '$.edges', 'variant') is not null {other}", s=snapshots
+    )
+    dataset_shape = "and try_variant_get(s.doc, '$.nodes', 'variant') is null and try_variant_get(s.doc, '$.datasets', 'variant') is not null"
+    listed, sets, steps = part("nodes"), part("datasets", dataset_shape), part("transformations", dataset_shape)
+    get = lambda path: F.expr(text(path).replace("e.value", "value"))
+    kept = lambda m: F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda _, v: v.isNotNull())
+    own_id = F.coalesce(get("node_id"), get("id"))
+    metadata = F.expr("try_variant_get(value, '$.metadata', 'map<string,string>')")
+    repo = F.concat_ws(" ", get("metadata.codebase_root"), get("metadata.repo_name"))
+    nodes = listed.select("ord", F.lit(0).alias("kind"), "pos", own_id.alias("node_id"), F.coalesce(get("type"), get("node_type"), F.lit("UNKNOWN")).alias("node_type"), F.coalesce(get("label"), get("name"), own_id).alias("label"), kept(metadata).alias("metadata"), get("source_file").alias("own_file"), repo.alias("repo"))
+    of_set = F.create_map(F.lit("path"), get("source_file"), F.lit("description"), get("description"))
+    nodes = nodes.union(sets.select("ord", F.lit(0), "pos", F.col("key"), F.coalesce(get("dataset_type"), F.lit("dataset")), F.coalesce(get("name"), F.col("key")), kept(of_set), get("source_file"), F.lit("")))
+    nodes = nodes.union(steps.select("ord", F.lit(1), "pos", F.col("key"), F.coalesce(get("transformation_type"), F.lit("transformation")), F.col("key"), kept(F.create_map(F.lit("path"), get("source_file"))), get("source_file"), F.lit("")))
+    fields = ("node_type", "label", "metadata", "own_file", "repo")
+    last = nodes.where("node_id is not null").groupBy("ord", "node_id").agg(F.max_by(F.struct(*fields), F.struct("kind", "pos")).alias("n")).select("ord", "node_id", "n.*")
+    known = "and (try_variant_get(s.doc, '$.nodes', 'variant') is not null or try_variant_get(s.doc, '$.datasets', 'variant') is not null)"
+    edges = part("edges", known).select("ord", get("source").alias("source"), get("target").alias("target"), F.coalesce(get("relationship"), get("edge_type"), get("type"), F.lit("RELATED")).alias("relationship"))
+    return last, edges
+
+
+def chosen_snapshot(spark: SparkSession, snapshots: DataFrame, roots: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, str]:
+    """(nodes, edges, label) of the snapshot that fits roots(path, name) best, or of the last one. A snapshot is judged by its root and by each of its nodes, in a join."""
+    nodes, edges = snapshot_tables(snapshots)
+    root = snapshots.select("ord", F.expr("try_variant_get(doc, '$.codebase_root', 'string')").alias("codebase_root"))
+    meta = lambda k: F.col("metadata")[k]
+    told = nodes.select("ord", F.concat_ws(" ", "node_id", "label", "own_file", meta("source_file"), meta("source_file_abs"), "repo").alias("haystack"))
+    judged = root.join(told, "ord", "left").select("ord", "codebase_root", F.coalesce("haystack", F.lit("")).alias("haystack"))
+    if roots:
+        best = select_snapshot(judged, spark.createDataFrame(roots, "root string, name string"))
+    else:
+        best = snapshots.agg(F.max("ord").alias("ord")).select("ord", F.lit("fallback-last").alias("label"))
+    ord_, label = best.select("ord", F.col("label")).first()
+    return nodes.where(F.col("ord") == ord_).select("node_id", "node_type", "label", "metadata"), edges.where(F.col("ord") == ord_).select("source", "target", "relationship"), label
+
+
 def _dealt(edges: DataFrame, direction: str, tables: scratch.Tables) -> tuple[DataFrame, DataFrame | None]:
     """(at, salt, to, relation) of every usable edge, dealt by at and salt, and (hub, salts) of nodes with many edges, None if there are none."""
     start, end = ("source", "target") if direction == "downstream" else ("target", "source")

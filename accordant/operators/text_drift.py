@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from accordant.functions import values as V
 from accordant.operators import ordering, policy
-from accordant.sources import scratch
+from accordant.sources import embeddings, scratch, token_baseline
 
 DIMENSIONS = 128
 WARN_ABOVE, FAIL_ABOVE = 0.18, 0.35
@@ -123,23 +124,33 @@ def baseline_action(exists: bool, refresh: bool, same_shape: bool) -> str:
     return "used_existing" if same_shape else "recreated_due_to_shape_mismatch"
 
 
-def drift_metric(spark, texts: DataFrame, key: str, baseline: dict | None, refresh: bool = False) -> tuple[dict, dict]:
-    """(metric, baseline to keep) of texts(key, text) against a stored baseline {centroid, token_counts, text_count}."""
-    current = text_centroid(texts, key)
-    vector = [r["weight"] for r in current.orderBy("bucket").collect()]
+def drift_metric(
+    spark, texts: DataFrame, key: str, baseline: dict | None, refresh: bool = False, store: str | None = None, provider: embeddings.Provider | None = None, cache: str | None = None
+) -> tuple[dict, dict]:
+    """(metric, baseline to keep) of texts(key, text) against a stored baseline, by default the one in ``store``.
+
+    Vectors come from the provider, or are hashed ones if there is none or it fails. Token counts stay in a table, in ``store`` or the shared folder; only
+    the centroid and the few most shifted tokens come to the driver.
+    """
+    found = embeddings.centroid(texts.select(key, "text"), provider, cache) if provider is not None else None
+    if found is None or found.vector is None:
+        vector = [r["weight"] for r in text_centroid(texts, key).orderBy("bucket").collect()]  # as many as dimensions
+        source = {"metric_source": "hashed_tokens", "fallback_reason": found.problem if found else "There is no provider."}
+    else:
+        vector, source = found.vector, {"metric_source": "provider", "fallback_reason": None}
+    baseline = token_baseline.load(spark, store) if baseline is None and store else baseline
     counts = token_counts(texts)
     what = baseline_action(baseline is not None, refresh, bool(baseline) and len(baseline.get("centroid") or []) == len(vector))
     shifted, distance = [], 0.0
     if what == "used_existing":
-        old = spark.createDataFrame(list(enumerate(baseline["centroid"])), "bucket int, weight double")
-        distance = drift(old, current).first()["distance"]
-        before = spark.createDataFrame(list((baseline.get("token_counts") or {}).items()), "token string, n long")
-        shifted = [r.asDict() for r in top_shifted(before, counts).collect()]
+        rows = lambda v: spark.createDataFrame(list(enumerate(v)), "bucket int, weight double")
+        distance = drift(rows(baseline["centroid"]), rows(vector)).first()["distance"]
+        shifted = [r.asDict() for r in top_shifted(token_baseline.counts_of(spark, baseline), counts).collect()]
         kept = baseline
     else:
-        kept = {"text_count": texts.count(), "centroid": vector, "token_counts": {r.token: r.n for r in counts.collect()}}  # the baseline is a histogram that has to be kept as one
+        kept = token_baseline.save(store or f"{scratch.folder(spark)}/token-baseline-{uuid.uuid4().hex}", counts, vector, texts.count())
     status = "FAIL" if distance > FAIL_ABOVE else "WARN" if distance > WARN_ABOVE else "PASS"
-    return {"metric": "embedding_drift", "value": distance, "status": status, "baseline_action": what, "top_shifted_tokens": shifted}, kept
+    return {"metric": "embedding_drift", "value": distance, "status": status, "baseline_action": what, "top_shifted_tokens": shifted} | source, kept
 
 
 def midpoint_windows(df: DataFrame, order_by: str) -> tuple[DataFrame, DataFrame]:

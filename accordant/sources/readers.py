@@ -105,6 +105,37 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[list[dict[str, Any]]
     raise ValueError(f"no lineage snapshot in {path}")
 
 
+def read_snapshot_rows(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """((ord, doc: variant) of lineage snapshots, how they were found): JSON lines, one document, or an array of them; entries of an array that aren't objects go.
+
+    Documents are parsed on the executors. A snapshot is a value of Spark's variant type, which bounds its size; JSON lines hold any number of them.
+    """
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    parsed = F.try_parse_json(F.regexp_replace("value", "^\ufeff", ""))
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT"), F.lit(False))
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("ord"), parsed.alias("doc"))
+    rows, odd = lines.agg(F.count("*"), F.count_if(~is_object)).first()
+    if rows and not odd:
+        return lines, "jsonl"
+    whole = spark.read.text(path, wholetext=True).select(parsed.alias("doc"))
+    entries = spark.sql("select cast(e.pos as long) as ord, e.value as doc from {whole} w, lateral variant_explode(w.doc) e where schema_of_variant(w.doc) like 'ARRAY%'", whole=whole).where(is_object)
+    documents = whole.where(is_object).select(F.lit(0).cast("long").alias("ord"), "doc")
+    for found, label in ((documents, "whole-file-json"), (entries, "json-array")):
+        if not found.isEmpty():
+            return found, label
+    raise ValueError(f"no lineage snapshot in {path}")
+
+
+def contract_roots(spark: SparkSession, document: dict[str, Any], workspace: str = "") -> list[Path]:
+    """Git roots of the files that the first records of a contract's data set name; none if it isn't there."""
+    place = ((document.get("servers") or {}).get("local") or {}).get("path")
+    if not place:
+        return []
+    path = place if "://" in place or place.startswith("/") or not workspace else f"{workspace.rstrip('/')}/{place}"
+    return repo_roots(spark.read.json(path)) if _exists(spark, path) else []
+
+
 def read_violation_log(spark: SparkSession, path: str) -> DataFrame:
     """The log; empty if there is none. Older entries lack newer fields."""
     return spark.read.schema(LOG).json(path) if _exists(spark, path) else spark.createDataFrame([], LOG)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 from typing import Any
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from accordant.operators.contract import Contract, model_document
+from accordant.sources import files
 
 #: Fields of a log entry, in order, and the result column that each comes from.
 LOGGED = {
@@ -29,8 +31,7 @@ def timestamp_slug() -> str:
 
 
 def _write(path: str | Path, text: str) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(text, encoding="utf-8")
+    files.write_text(path, text)
 
 
 def write_json(path: str | Path, value: Any) -> None:
@@ -52,14 +53,18 @@ def violation_rows(results: DataFrame, **fixed: str) -> DataFrame:
 
 
 def append_violations(results: DataFrame, path: str, **fixed: str) -> None:
-    violation_rows(results, **fixed).write.mode("append").json(path)
+    """Adds the entries of a report to the log, once however often it is called."""
+    files.append_run(violation_rows(results, **fixed), path, f"violations-{fixed.get('report_id') or uuid.uuid4()}")
 
 
-def append_findings(metrics: DataFrame, path: str) -> None:
-    """Adds what AI metrics found to the log."""
+def append_findings(metrics: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Adds what AI metrics found to the log, once for a run."""
     from accordant.operators.traces import findings
 
-    findings(metrics).coalesce(1).write.mode("append").json(path)
+    run = run_id or str(uuid.uuid4())
+    message = F.concat(F.col("metric"), F.lit(" is "), F.col("value").cast("string"), F.lit("."))
+    entries = findings(metrics).select("*", F.lit(run).alias("report_id"), F.lit(now_iso()).alias("run_timestamp"), F.col("metric").alias("check_id"), F.col("failing").alias("records_failing"), F.col("checked").alias("records_total"), message.alias("message"), F.lit("ai_extensions").alias("source_component"))
+    files.append_run(entries, path, f"findings-{run}")
 
 
 def write_drift_baseline(kept: dict[str, Any], path: str | Path) -> None:
@@ -82,12 +87,15 @@ def write_contract(document: dict[str, Any], path: str | Path, snapshots: str |
 
 
 def write_baselines(baseline: DataFrame, path: str | Path, existing: dict[str, Any]) -> bool:
-    """Writes numeric baselines unless there are some already."""
+    """Writes numeric baselines unless there are some already; of several runs at once the first one writes them."""
     if existing.get("written_at") and existing.get("columns"):
         return False
     columns = {r["column"]: {"mean": r["mean"], "stddev": r["stddev"]} for r in baseline.collect()}  # a row a column
-    write_json(path, {"written_at": now_iso(), "columns": columns})
-    return True
+    text = json.dumps({"written_at": now_iso(), "columns": columns}, indent=2)
+    if existing.get("written_at") is None and files.exists(path) and not existing.get("columns"):  # broken, or without columns
+        files.write_text(path, text)
+        return True
+    return files.write_once(path, text)
 
 
 def seed_columns(df: DataFrame, columns: list[str]) -> DataFrame:
