@@ -27,6 +27,16 @@ def contract_title(source: str) -> str:
     return " ".join([*(x.replace("_", " ").title() for x in _place(source)), "Contract"])
 
 
+def contract_info(source: str) -> dict[str, str]:
+    """Title, description and usage of a contract document."""
+    folder, stem = _place(source)
+    return {
+        "title": contract_title(source),
+        "description": f"Inferred from the records of {folder}/{stem} as they are now.",
+        "usage": f"Between the systems that write and read {source.replace(chr(92), '/')}.",
+    }
+
+
 def source_terms(source: str, more: dict[str, list[str]] | None = None) -> list[str]:
     """Terms by which a lineage names the data set: folder, file, and what ``more`` has for the folder."""
     folder, stem = (x.lower() for x in _place(source))

@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.operators import attribution, checks, evolution, flatten, health, policy, profile, registry, text_drift, traces
-from accordant.operators.contract import Contract
-from accordant.sources import readers, sinks
+from accordant.functions import naming
+from accordant.operators import attribution, checks, evolution, flatten, health, lineage, policy, profile, registry, text_drift, traces
+from accordant.operators.contract import Contract, sql_tests
+from accordant.sources import embeddings, readers, sinks
 
+#: Nodes that an attribution lists on either side.
+NEAREST = 20
 CONTEXT = {"enforcement_boundary": "consumer", "blast_radius_primary_source": "contract_registry", "lineage_role": "enrichment_only"}
 
 
@@ -20,7 +25,7 @@ def generate(spark: SparkSession, source: str, contract_id: str, registry_path:
     """(contract, document) of a JSON lines file: flattened, profiled, and named subscribers from a registry; lineage_nodes: of the lineage that stands behind it, if any."""
     flat, meta = flatten.flatten_for_profile(readers.read_records(spark, source))
     contract = profile.infer_contract(flat, contract_id)
-    more: dict[str, Any] = {"servers": {"local": {"path": source}}, "observations": meta | {"profiled_row_count": contract.profiled_rows}}
+    more: dict[str, Any] = {"info": naming.contract_info(source), "servers": {"local": {"path": source}}, "observations": meta | {"profiled_row_count": contract.profiled_rows}}
     if registry_path:
         document = readers.read_registry(spark, registry_path)
         context = registry.registry_context(registry.subscriptions_frame(spark, document), contract_id, document.get("notes"))
@@ -87,10 +92,77 @@ def attribute(results: DataFrame, contract: Contract, subscriptions: DataFrame,
     return failures.join(chain, "check_id", "left").join(radius, "field", "left")
 
 
-def ai_metrics(spark: SparkSession, texts: DataFrame, trace_rows: DataFrame, verdicts: DataFrame, baseline: dict | None) -> dict[str, Any]:
+def attribute_report(spark: SparkSession, validation: dict[str, Any], document: dict[str, Any], subscriptions: DataFrame, roots: list[str], log: DataFrame, lineage_path: str | None = None, days: int = 14) -> dict[str, Any]:
+    """The document of a whole attribution: files are read and scored once for all failures, git is asked about the few best of each, lineage enriches."""
+    contract = Contract.of(document)
+    known = "check_id string, column_name string, check_type string, status string, severity string, message string, records_failing long"
+    names = [c.split()[0] for c in known.split(", ")]
+    results = spark.createDataFrame([tuple(r.get(n) for n in names) for r in validation.get("results", [])], known)
+    failing = results.where("status = 'FAIL'").select("check_id", F.col("column_name").alias("field"), "message").collect()  # a row a check
+    system = contract.id.lower() or "unknown-system"
+    files = readers.read_files(spark, roots[0])
+    candidates = attribution.failure_candidates(files, {r.check_id: attribution.search_tokens(r.field, r.message) for r in failing}).select("check_id", "path", "score").collect() if failing else []  # five a failure
+    fields = {r.check_id: r.field for r in failing}
+    wanted: dict[str, set[str]] = {}
+    for c in candidates:
+        wanted.setdefault(c.path, set()).update(attribution.line_patterns(fields[c.check_id]))
+    few = files.where(F.col("path").isin(*wanted)) if wanted else files.limit(0)
+    ranges = {}
+    for patterns in {tuple(sorted(p)) for p in wanted.values()}:
+        own = [p for p, w in wanted.items() if tuple(sorted(w)) == patterns]
+        for r in attribution.line_ranges(few.where(F.col("path").isin(*own)), list(patterns)).orderBy("path", "place").collect():  # three a file
+            ranges.setdefault(r.path, []).append((r["first"], r["last"]))
+    blame = attribution.parse_blame(_all([readers.git_lines(spark, roots[0], p, r) for p, r in ranges.items()], spark, "file_path string, ord long, line string"))
+    recent = _all([readers.git_recent(spark, roots[0], p, days) for p in wanted], spark, "file_path string, commit_hash string, author string, email string, commit_ts string, summary string")
+    done = attribute(results, contract, subscriptions, files, blame, recent, log, system).collect()  # a row a failure
+    lineage_part = lineage_enrichment(spark, lineage_path, roots, fields.values(), system, subscriptions, contract.id) if lineage_path else {"confidence": "low", "notes": ["No lineage was given."]}
+    return {"generated_at": sinks.now_iso(), "architecture_context": CONTEXT, "contract_id": contract.id, "repo_roots": roots, "violation_log_entry_count": log.count(), "lineage": lineage_part, "attributions": [r.asDict(recursive=True) for r in done]}
+
+
+def lineage_enrichment(spark: SparkSession, path: str, roots: list[str], fields: Iterable[str], system: str, subscriptions: DataFrame, contract_id: str) -> dict[str, Any]:
+    """What stands before and after the failing fields in the snapshot that fits the roots best: counts by distance, the nearest nodes, and how far to trust them."""
+    snapshots, how = readers.read_snapshot_rows(spark, path)
+    nodes, edges, label = lineage.chosen_snapshot(spark, snapshots, [(r.lower(), r.rstrip("/").rpartition("/")[2].lower()) for r in roots])
+    tokens = sorted({t for f in fields for t in lineage.field_tokens(f)})
+    seeds = lineage.score_seeds(nodes, tokens, lineage.context_tokens(system)).select("node_id")
+    out: dict[str, Any] = {"load_mode": f"{how}:{label}", "seeds": sorted(r.node_id for r in seeds.collect())}
+    for direction in ("downstream", "upstream"):
+        reached = lineage.walk(edges, seeds, direction)
+        nearest = reached.orderBy("distance", "node_id").limit(NEAREST).collect()
+        out[direction] = {"count": reached.count(), "nearest": [r.asDict() for r in nearest]}
+    own = registry.contract_subscriptions(subscriptions, spark.createDataFrame([(contract_id,)], "contract_id string"))
+    text = F.lower(F.concat_ws(" ", "node_id", "label"))
+    aligned = own.select(F.lower("subscriber_id").alias("subscriber")).join(nodes.select(text.alias("text")), F.col("text").contains(F.col("subscriber"))).select("subscriber").distinct().count()  # the subscribers of one contract
+    out["confidence"] = spark.range(1).select(lineage.enrichment_confidence(F.lit(out["downstream"]["count"]), F.lit(aligned))).first()[0]
+    return out
+
+
+def _all(frames: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.union, frames, spark.createDataFrame([], schema))
+
+
+def run_sql_tests(df: DataFrame, contract: Contract) -> list[dict[str, Any]]:
+    """(column, test, arguments, failures) of every SQL test of the contract."""
+    return [
+        {"column": c.name, "test": test, "arguments": arguments, "failures": checks.sql_test_failures(df, c.name, test, **arguments).count()}
+        for c in contract.clauses if c.name in df.columns for test, arguments in sql_tests(c, contract.profiled_rows)
+    ]
+
+
+def snapshot_totals(spark: SparkSession, root: str) -> dict[str, int]:
+    """Versions of each contract; none if there is no such folder."""
+    try:
+        return {r.contract_id: r.n for r in readers.snapshot_counts(readers.snapshot_files(spark, root)).collect()}  # a row a contract
+    except AnalysisException:
+        return {}
+
+
+def ai_metrics(
+    spark: SparkSession, texts: DataFrame, trace_rows: DataFrame, verdicts: DataFrame, baseline: dict | None, store: str | None = None, refresh: bool = False, provider: embeddings.Provider | None = None, cache: str | None = None
+) -> dict[str, Any]:
     """Drift, shapes of prompts and verdicts, and traces, with the worst status; prompts are judged by their rows as given."""
     canonical = traces.canonicalize(trace_rows)
-    drift, kept = text_drift.drift_metric(spark, texts, texts.columns[0], baseline)
+    drift, kept = text_drift.drift_metric(spark, texts, texts.columns[0], baseline, refresh, store, provider, cache)
     found = {m["metric"]: m for df in (traces.prompt_metric(trace_rows), traces.verdict_metric(verdicts), traces.trace_metric(canonical)) for m in [df.first().asDict()]}
     found["embedding_drift"] = drift
     return {"checks": found, "status": max((m["status"] for m in found.values()), key=policy.RANKS.__getitem__), "baseline": kept}

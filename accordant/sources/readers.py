@@ -105,6 +105,20 @@ def read_snapshots(spark: SparkSession, path: str) -> tuple[list[dict[str, Any]]
     raise ValueError(f"no lineage snapshot in {path}")
 
 
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of a trace: run_type, times, tokens, metadata, and inputs as JSON texts by name; metadata may stand under ``extra``."""
+    shape = "run_type string, start_time string, end_time string, prompt_tokens long, completion_tokens long, total_tokens long, metadata map<string,string>, extra struct<metadata: map<string,string>>, inputs map<string,variant>"
+    rows = read_records(spark, path, shape)
+    inputs = F.transform_values("inputs", lambda _, v: F.to_json(v))
+    return rows.withColumns({"metadata": F.coalesce("metadata", "extra.metadata"), "inputs": inputs}).drop("extra")
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """Verdicts: their fields as text, and scores by criterion."""
+    names = ("verdict_id", "target_ref", "rubric_id", "rubric_version", "overall_verdict", "overall_score", "confidence", "evaluated_at")
+    return read_records(spark, path, ", ".join(f"{n} string" for n in names) + ", scores map<string,struct<score: string, evidence: string, notes: string>>")
+
+
 def read_snapshot_rows(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """((ord, doc: variant) of lineage snapshots, how they were found): JSON lines, one document, or an array of them; entries of an array that aren't objects go.
 
