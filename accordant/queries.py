@@ -410,12 +410,6 @@ def _failing_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FIELDS_SQL = f"""(select 'lineitem' as contract_id, split_part(check_id, '.', 2) as field from ({_LINEITEM_SQL}) where status = 'FAIL' union all select * from (values ('documents', 'fact_confidence'), ('lineitem', 'l_tax'), ('nothing', 'x')))"""
 
 
-@query(f"select contract_id as wanted_contract, subscriber_id from {_SUBSCRIPTION_VALUES} where contract_id = 'lineitem'")
-def registry_contract_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.createDataFrame([("lineitem",)], "contract_id string")
-    return registry.contract_subscriptions(_subscriptions(spark), wanted).select("wanted_contract", "subscriber_id")
-
-
 @query(f"select f.contract_id, f.field, s.subscriber_id from {_FIELDS_SQL} f join {_SUBSCRIPTION_VALUES} on f.contract_id = s.contract_id and list_contains(s.aliases, f.field)")
 def registry_field_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.field_matches(_subscriptions(spark), _failing_fields(spark, sf_dir))
@@ -441,42 +435,92 @@ def blast_radius_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- schema evolution -----------------------------------------------------------------------------------------
 
-OLD = [Clause("a", "integer", True), Clause("b", "string", False, enum=("x", "y")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=1.0), Clause("d", "string"), Clause("l_discount", "number", True, minimum=0.0, maximum=0.1)]
-NEW = [Clause("a", "string", True), Clause("b", "string", True, enum=("x", "y", "z")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=100.0), Clause("e", "string", True), Clause("l_discount", "number", True, minimum=0.0, maximum=0.05)]
-_CHANGES = [
-    ("a", "type_changed", "breaking"), ("b", "enum_changed", "backward-compatible"), ("b", "nullability_changed", "breaking"), ("fact_confidence", "range_changed", "breaking"), ("d", "field_removed", "breaking"),
-    ("e", "field_added", "backward-compatible"), ("l_discount", "range_changed", "breaking"),
-]
-_CHANGES_SQL = "(values " + ", ".join(f"('lineitem', '{f}', '{k}', '{c}')" for f, k, c in _CHANGES) + ") c(contract_id, field, change_type, classification)"
+#: A contract for each supplier, a clause for each line number; the version before is seen on even orders, the present one on odd ones.
+_VERSION = {"before": "l_orderkey % 2 = 0 and not (l_linenumber = 2 and l_suppkey % 3 = 0)", "now": "l_orderkey % 2 = 1 and not (l_linenumber = 5 and l_suppkey % 4 = 0)"}
+
+
+def _version(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """The clauses that the lines of a version suggest; the seventh is a confidence in percent where quantities are large."""
+    seen = table(spark, sf_dir, "lineitem").where(_VERSION[which])
+    seventh, large = F.col("l_linenumber") == 7, F.max("l_quantity") > 49
+    grouped = seen.groupBy("l_suppkey", "l_linenumber").agg(
+        F.when(large, "number").otherwise("integer").alias("type"), (F.count_if(F.col("l_returnflag") == "R") < 10).alias("required"), F.array_sort(F.collect_set(F.when(F.col("l_discount") > 0.09, F.col("l_returnflag")))).alias("enum"),
+        F.min("l_quantity").cast("double").alias("minimum"), F.when(F.first(seventh), F.when(large, 100.0).otherwise(1.0)).otherwise(F.max("l_discount").cast("double")).alias("maximum"),
+    )
+    name = F.when(seventh, F.concat(F.lit("confidence_"), F.col("l_linenumber").cast("string"))).otherwise(F.concat(F.lit("line_"), F.col("l_linenumber").cast("string")))
+    return grouped.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("contract_id"), name.alias("column_name"), "type", "required", F.when(F.size("enum") > 0, F.col("enum")).alias("enum"), "minimum", "maximum", F.lit("").alias("description"))
+
+
+def _supplier_subscriptions(spark: SparkSession, sf_dir: str, to_the_letter: bool = False) -> DataFrame:
+    """Two subscriptions of each supplier's contract but every fifth: its nation reads one line, and a service names another as breaking."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 <> 0")
+    own = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    line = F.concat(F.lit("line_"), (F.col("s_suppkey") % 6 + 1).cast("string"))
+    reader = F.struct(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("subscriber_id"), F.array(line).alias("fields_consumed"), F.array().alias("breaking_fields"))
+    service = F.struct(F.lit("service").alias("subscriber_id"), F.array().alias("fields_consumed"), F.array(F.struct(F.lit("Confidence 7").alias("field"), F.lit("sums").alias("reason"))).alias("breaking_fields"))
+    types = dict(part.split(" ", 1) for part in ("subscriber_id string", "fields_consumed array<string>", "breaking_fields array<struct<field: string, reason: string>>"))
+    shape = f"struct<{', '.join(f'{k}: {v}' for k, v in types.items())}>"
+    rows = s.select((own if to_the_letter else F.concat(F.upper(own), F.lit(" "))).alias("contract_id"), F.inline(F.array(reader.cast(shape), service.cast(shape))))
+    more = {"validation_mode": F.lit("AUDIT"), "registered_at": F.lit(None).cast("string"), "contact": F.struct(F.lit("team").alias("owner"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("email"))}
+    return rows.withColumns(more)
 
 
-def _changes(spark: SparkSession) -> DataFrame:
-    return evolution.compare_clauses(evolution.clauses_frame(spark, "lineitem", OLD), evolution.clauses_frame(spark, "lineitem", NEW))
+def _version_sql(which: str) -> str:
+    return f"""select 's' || l_suppkey as contract_id, case when l_linenumber = 7 then 'confidence_7' else 'line_' || l_linenumber end as field, case when max(l_quantity) > 49 then 'number' else 'integer' end as type, count(*) filter (where l_returnflag = 'R') < 10 as required,
+      coalesce(list(distinct l_returnflag order by l_returnflag) filter (where l_discount > 0.09), []) as enum, min(l_quantity)::double as least, case when l_linenumber = 7 then case when max(l_quantity) > 49 then 100.0 else 1.0 end else max(l_discount) end::double as most
+      from lineitem where {_VERSION[which]} group by l_suppkey, l_linenumber"""
 
 
-@query(f"select * from {_CHANGES_SQL}")
+_CHANGES_SQL = f"""b as ({_version_sql("before")}), a as ({_version_sql("now")}),
+    j as (select coalesce(b.contract_id, a.contract_id) as contract_id, coalesce(b.field, a.field) as field, b.field is not null as had, a.field is not null as has, b.type as bt, a.type as nt, b.required as br, a.required as ar, b.enum as be, a.enum as ae, b.least as bl, a.least as al, b.most as bm, a.most as am from b full join a on a.contract_id = b.contract_id and a.field = b.field),
+    c as (select contract_id, field, 'field_removed' as change_type, 'breaking' as classification from j where had and not has
+      union all select contract_id, field, 'field_added', 'backward-compatible' from j where has and not had
+      union all select contract_id, field, 'type_changed', 'breaking' from j where had and has and bt <> nt
+      union all select contract_id, field, 'nullability_changed', case when ar then 'breaking' else 'backward-compatible' end from j where had and has and br <> ar
+      union all select contract_id, field, 'enum_changed', case when list_has_all(ae, be) then 'backward-compatible' else 'breaking' end from j where had and has and be <> ae
+      union all select contract_id, field, 'range_changed', case when (field like '%confidence%' and bm = 1.0 and am > 1.0) or al > bl or am < bm then 'breaking' else 'backward-compatible' end from j where had and has and (bl <> al or bm <> am)),
+    u as (select 's' || s_suppkey as contract_id, 'n' || s_nationkey as subscriber_id, 'line_' || (s_suppkey % 6 + 1) as field from supplier where s_suppkey % 5 <> 0 union all select 's' || s_suppkey, 'service', 'confidence_7' from supplier where s_suppkey % 5 <> 0),
+    i as (select c.*, list(distinct u.subscriber_id order by u.subscriber_id) filter (where u.field = c.field) as named, list(distinct u.subscriber_id order by u.subscriber_id) filter (where u.subscriber_id is not null) as every from c left join u on u.contract_id = c.contract_id group by all),
+    k as (select contract_id, field, change_type, classification, named is not null as matched, coalesce(named, every, []) as hit from i)"""
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evolution.compare_clauses(_version(spark, sf_dir, "before"), _version(spark, sf_dir, "now"))
+
+
+@query(f"with {_CHANGES_SQL} select contract_id, field, change_type, classification from c")
 def schema_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _changes(spark).select("contract_id", "field", "change_type", "classification")
+    return _changes(spark, sf_dir).select("contract_id", "field", "change_type", "classification")
 
 
-@query(f"""select field, change_type, case when classification = 'breaking' and field = 'l_discount' then 'HIGH' when classification = 'breaking' then 'MEDIUM' else 'LOW' end as impact_level,
-    case when field = 'l_discount' then 'billing' else 'billing|returns' end as affected, field = 'l_discount' as matched_field_subscriptions from {_CHANGES_SQL}""")
+@query(f"""with {_CHANGES_SQL} select contract_id, field, change_type, case when classification = 'breaking' and matched then 'HIGH' when classification = 'breaking' and len(hit) > 0 then 'MEDIUM' when classification = 'breaking' or len(hit) > 0 then 'LOW' else 'NONE' end as impact_level,
+    array_to_string(hit, '|') as affected, matched as matched_field_subscriptions from k""")
 def schema_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = registry.change_impact(_subscriptions(spark), _changes(spark))
-    return found.select("field", "change_type", "impact_level", F.array_join(F.transform("affected_consumers", lambda c: c["subscriber_id"]), "|").alias("affected"), "matched_field_subscriptions")
+    found = registry.change_impact(_supplier_subscriptions(spark, sf_dir), _changes(spark, sf_dir))
+    return found.select("contract_id", "field", "change_type", "impact_level", F.array_join(F.array_sort(F.transform("affected_consumers", lambda c: c["subscriber_id"])), "|").alias("affected"), "matched_field_subscriptions")
 
 
-@query(f"""select count(*) as total_changes, count(*) filter (where classification = 'breaking') as breaking_changes, count(*) filter (where classification <> 'breaking') as backward_compatible_changes,
-    'billing|returns' as impacted, 'FAIL' as decision, true as ci_gate_blocking from {_CHANGES_SQL}""")
+@query(f"""with {_CHANGES_SQL} select count(*) as total_changes, count(*) filter (where classification = 'breaking') as breaking_changes, count(*) filter (where classification <> 'breaking') as backward_compatible_changes,
+    (select string_agg(s, '|' order by s) from (select distinct unnest(hit) as s from k)) as impacted, case when bool_or(classification = 'breaking' and len(hit) > 0) then 'FAIL' when bool_or(classification = 'breaking') then 'WARN' else 'PASS' end as decision,
+    bool_or(classification = 'breaking' and len(hit) > 0) as ci_gate_blocking from k""")
 def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolution.gate(registry.change_impact(_subscriptions(spark), _changes(spark))).withColumn("impacted", F.array_join("impacted_systems", "|")).drop("impacted_systems")
+    return evolution.gate(registry.change_impact(_supplier_subscriptions(spark, sf_dir), _changes(spark, sf_dir))).withColumn("impacted", F.array_join("impacted_systems", "|")).drop("impacted_systems")
+
+
+@query("select 's' || s_suppkey as wanted_contract, unnest(['n' || s_nationkey, 'service']) as subscriber_id from supplier where s_suppkey % 5 <> 0 and s_suppkey in (select l_suppkey from lineitem)")
+def registry_contract_subs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("contract_id")).distinct()
+    return registry.contract_subscriptions(_supplier_subscriptions(spark, sf_dir), wanted).select("wanted_contract", "subscriber_id")
 
 
 @query()
 def schema_rename_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = Clause("fact_confidence", "number", True, description="Confidence value for the extracted fact.")
-    new = Clause("fact_confidence_score", "number", True, description="Renamed confidence.")
-    return spark.createDataFrame(evolution.renames([old, Clause("other", "string")], [new, Clause("more", "integer")]), "old string, new string, score double")
+    """Kinds of parts as fields: those of even sizes before, those of odd sizes, with a version in their names, after."""
+    parts = table(spark, sf_dir, "part").groupBy(F.replace(F.lower("p_type"), F.lit(" "), F.lit("_")).alias("name")).agg(F.bool_or(F.col("p_size") % 2 == 0).alias("even"), F.bool_or(F.col("p_size") % 2 == 1).alias("odd"))
+    kinds = parts.collect()  # the fields of a schema
+    old = [Clause(r.name, "string", True, description="before") for r in kinds if r.even]
+    new = [Clause(f"{r.name}_v2", "string", True, description="after") for r in kinds if r.odd]
+    return spark.createDataFrame(evolution.renames(old, new), "old string, new string, score double")
 
 
 # -- lineage ----------------------------------------------------------------------------------------------------
@@ -667,10 +711,10 @@ def dash_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.report_totals(table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("failed"), (F.col("l_returnflag") == "R").alias("blocking")))
 
 
-@query("select 'lineitem' as contract_id, 3 as clause_count, 'l_discount|l_returnflag' as risky, 1 as subscriber_count")
+@query(f"""with v as ({_version_sql("before")}) select contract_id, count(*) as clause_count, string_agg(field, '|' order by field) as risky, case when substr(contract_id, 2)::int % 5 <> 0 then 2 else 0 end as subscriber_count from v group by contract_id""")
 def dash_risky_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids have to be equal to the letter here, so one of two subscribers counts."""
-    overview = dashboard.contract_overview(evolution.clauses_frame(spark, "lineitem", list(LINEITEM.clauses)), _subscriptions(spark))
+    """Ids have to be equal to the letter here; all fields have bounds, so all are risky."""
+    overview = dashboard.contract_overview(_version(spark, sf_dir, "before"), _supplier_subscriptions(spark, sf_dir, to_the_letter=True))
     return overview.select("contract_id", "clause_count", F.array_join("risky_fields", "|").alias("risky"), "subscriber_count")
 
 

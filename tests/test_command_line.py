@@ -109,3 +109,13 @@ def test_fact_count_and_log(spark, tmp_path):
     assert workflows.fact_count(df) == 2 and workflows.fact_count(df.select(F.lit(1).alias("x"))) == 0
     sinks.write_drift_baseline({"centroid": [1.0]}, tmp_path / "b.json")
     assert json.loads((tmp_path / "b.json").read_text())["centroid"] == [1.0]
+
+
+def test_each_kind_of_change(spark):
+    old = [Clause("a", "integer", True), Clause("b", "string", False, enum=("x", "y")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=1.0), Clause("d", "string"), Clause("x", "number", True, minimum=0.0, maximum=0.1)]
+    new = [Clause("a", "string", True), Clause("b", "string", True, enum=("x", "y", "z")), Clause("fact_confidence", "number", True, minimum=0.0, maximum=100.0), Clause("e", "string", True), Clause("x", "number", True, minimum=0.0, maximum=0.05)]
+    changes = evolution.compare_clauses(evolution.clauses_frame(spark, "c", old), evolution.clauses_frame(spark, "c", new))
+    assert {(r.field, r.change_type, r.classification) for r in changes.collect()} == {
+        ("a", "type_changed", "breaking"), ("b", "enum_changed", "backward-compatible"), ("b", "nullability_changed", "breaking"), ("fact_confidence", "range_changed", "breaking"), ("d", "field_removed", "breaking"),
+        ("e", "field_added", "backward-compatible"), ("x", "range_changed", "breaking"),
+    }
