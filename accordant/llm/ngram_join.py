@@ -17,8 +17,9 @@ and hashed once: the sets are written, and everything later reads them.
 For components, groups of near copies are drawn together before lists are joined with themselves: a few leaders of a list and size band
 (the set that stands in the longest lists, and the first ones by hash) are proposed to the others of the list, and the partners that most of a set's lists propose to it are checked. Sets that are
 connected by then aren't paired again: lists of a single component go, and pairs within one are not made. That
-leaves the components as they are, and the links between different components. A leader that a set doesn't link with is nothing to it: texts that share
-a leader but no link, such as those with one footer, meet in the lists of what isn't frequent alone.
+leaves the components as they are, and the links between different components. Sets of which nearly all is frequent meet others with their
+leader by this leader, once, and not in every list that they share. All other sets meet in the lists of what isn't frequent alone, so texts that share a
+footer bring no pairs together.
 
 Counts, orders and lists are distributed: nothing of them goes to the driver, and nothing is capped.
 
@@ -235,7 +236,7 @@ def _checked(tables: Tables, members: DataFrame, pairs: DataFrame, percent: int)
 
 
 def _proposed(tables: Tables, entries: DataFrame, percent: int) -> DataFrame:
-    """(id, n, leader, leader_n): sets and the partners of their band that lead many of their lists.
+    """(id, n, shared, kind, leader, leader_n): sets and the partners of their band that lead many of their lists.
 
     Of a group of near copies, the set that stands in the longest lists is the one that most of it looks like.
     """
@@ -248,7 +249,7 @@ def _proposed(tables: Tables, entries: DataFrame, percent: int) -> DataFrame:
     met = met.groupBy("id", "n", "lists", "leader").agg(F.count("*").alias("shared"))
     # most of the lists of a near copy have the leader, unless it differs as much as it may; no more than 100 / SHARED_FROM partners of a kind
     likely = met.where(100 * F.col("shared") >= SHARED_FROM * F.col("lists"))
-    proposals = tables.write(likely.select("id", "n", F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
+    proposals = tables.write(likely.select("id", "n", "shared", F.col("leader.kind").alias("kind"), F.col("leader.set.id").alias("leader"), F.col("leader.set.n").alias("leader_n")), "proposals")
     tables.drop("list-standings")
     return proposals
 
@@ -293,7 +294,8 @@ def _members_and_edges(tables: Tables, documents: DataFrame, n: int, percent: in
         proposed = proposals.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"), (F.col("n") + F.col("leader_n")).alias("size"))
         near = tables.write(_near(members, proposed, percent), "near-pairs")
         early = tables.write(connected_components(_checked(tables, members, near, percent)), "early-components")
-        places = early.withColumnRenamed("node", "id")
+        leaders = proposals.where("kind = 0").groupBy("id").agg(F.max_by("leader", F.struct("shared", "leader")).alias("leader"))
+        places = tables.write(early.withColumnRenamed("node", "id").join(leaders, "id", "full"), "places")
         tables.drop("proposals", "near-pairs", "links")
     entries = tables.write(_placed(entries.drop("c"), places), "placed-entries")
     tables.drop("list-entries")
@@ -303,9 +305,11 @@ def _members_and_edges(tables: Tables, documents: DataFrame, n: int, percent: in
         tables.write(_by_rare_lists(entries, members, light, percent), "pairs"),
         tables.write(_by_hard_lists(entries, members, light, percent).distinct(), "pairs"),
     ]
+    if not every:
+        found.append(tables.write(_by_leaders(entries, members, light, percent), "pairs"))
     tables.drop("placed-entries", "subsets")
     links = _checked(tables, members, reduce(DataFrame.union, found).distinct(), percent)
-    tables.drop("pairs")
+    tables.drop("pairs", "places")
     if early is not None:
         links = links.union(early.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")))
     return members, named, links
@@ -335,10 +339,10 @@ def _entries(tables: Tables, sets: DataFrame, named: DataFrame, percent: int) ->
 
 
 def _placed(entries: DataFrame, places: DataFrame | None) -> DataFrame:
-    """The entries with the early component of their sets; one that has none is its own."""
+    """The entries with early component and leader of their sets; sets without a leader have one that no other set has."""
     if places is None:
-        return entries.withColumn("component", F.col("id"))
-    return entries.join(places, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        return entries.withColumns({"component": F.col("id"), "leader": -1 - F.col("id")})
+    return entries.join(places, "id", "left").withColumns({"component": F.coalesce("component", "id"), "leader": F.coalesce("leader", -1 - F.col("id"))})
 
 
 def _mixed(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -371,13 +375,26 @@ def _by_rare_lists(entries: DataFrame, members: DataFrame, light: int, percent:
 
 
 def _by_hard_lists(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs of a hard set and those of its lists that are in its size band or the next ones, and may link."""
+    """(a, b) of the pairs of a hard set and those of its lists that are in its size band or the next ones, have not the same leader, and may link."""
     sketches = members.select(F.col("row").alias("id"), *SKETCHES, "wide")
     early = entries.where("early").drop("rare", "early").withColumn("band", _band(F.col("n"), percent))
     hard = early.where("hard").drop("hard")
     beside = early.withColumn("band", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).join(hard.select("key", "band").distinct(), ["key", "band"])
     met = _side(hard.join(sketches, "id"), ["key", "band"], "_x").join(_side(beside.join(sketches, "id"), ["key", "band"], "_y"), ["key", "band"])
-    met = met.where((F.col("id_x") < F.col("id_y")) | (~F.col("hard_y") & (F.col("id_x") != F.col("id_y"))))
+    met = met.where((F.col("leader_x") != F.col("leader_y")) & _once())
+    return _near_pairs(met, light, percent)
+
+
+def _once() -> Column:
+    """Of a hard set and another one the pair in this order, of two hard ones either."""
+    return (F.col("id_x") < F.col("id_y")) | (~F.col("hard_y") & (F.col("id_x") != F.col("id_y")))
+
+
+def _by_leaders(entries: DataFrame, members: DataFrame, light: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs of a hard set and another one that have the same leader and may link; those of other sets meet in rare lists."""
+    sets = _mixed(entries.where("leader >= 0").select("leader", "id", "n", "component", "hard").distinct(), ["leader"])
+    sets = sets.join(sets.where("hard").select("leader").distinct(), "leader", "left_semi").join(members.select(F.col("row").alias("id"), *SKETCHES, "wide"), "id")
+    met = _side(sets.where("hard").drop("hard"), ["leader"], "_x").join(_side(sets, ["leader"], "_y"), "leader").where(_once())
     return _near_pairs(met, light, percent)
 
 
@@ -389,7 +406,7 @@ def _subset_entries(tables: Tables, members: DataFrame, named: DataFrame, light:
 
 def _by_subsets(entries: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the light pairs that have a subset of the size that they need in common."""
-    entries = _mixed(entries, ["key", "subset"])
+    entries = _mixed(entries.drop("leader"), ["key", "subset"])
     found = _side(entries, ["key", "subset"], "_x").join(_side(entries, ["key", "subset"], "_y"), ["key", "subset"])
     found = found.where((F.col("id_x") < F.col("id_y")) & (F.col("component_x") != F.col("component_y")))
     return found.where(F.col("subset") == F.expr(f"ceil({percent} * (n_x + n_y) / {100 + percent})")).select(F.col("id_x").alias("a"), F.col("id_y").alias("b"))
