@@ -7,7 +7,7 @@ it are counted in Spark, and subtrees on at least ``MIN_PAGES`` pages are delete
 Inside an article, that goes for subtrees with a class or an id. Those without that stand first or last in
 the article may be prose that articles share: they go if they are on ``HIGH_SHARE`` of the host's pages. Other unnamed parts of an article stay.
 
-Counts are combined before the shuffle, so a host with most pages weighs no more than its different subtrees; the pages of such a
+Pages of the same article count once, so an article that stands at several addresses is no template. Counts are combined before the shuffle, so a host with most pages weighs no more than its different subtrees; the pages of such a
 host are dealt to several tasks by Spark's skew join when the host's templates are joined to them.
 
 Defined results: null or empty html gives empty text; a page without markup is its own text; every input row gives one row;
@@ -63,7 +63,7 @@ TABLE_LIMIT = frozenset(["table", "body", "html"])
 MARKS = frozenset(
     "nav navbar navigation menu sidebar side footer contentinfo complementary ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice "
     "notices alert newsletter subscribe subscription popup modal overlay comment comments disqus discussion replies reply respond related recommended share sharing social breadcrumb breadcrumbs pagination pager widget toolbar login "
-    "signup signin search form masthead skip hidden toc tags".split()
+    "signup signin search form masthead skip hidden".split()
 )
 #: Words of layout that may stand beside them.
 LAYOUT = frozenset(
@@ -71,7 +71,7 @@ LAYOUT = frozenset(
     "user reader readers header head title text body slot unit group panel buttons button icon icons message msg us to the and of".split()
 )
 _TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
-_TAG_END = re.compile(r"""(?>[^>"']+|"[^"]*"|'[^']*')*+>""")
+_TO_QUOTE = re.compile("""[^>"']*""")
 _MARKED = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id)\s*=""", re.I)
@@ -97,15 +97,33 @@ _ENDS = {tag: frozenset(k for k, by in ENDED_BY.items() if tag in by) for tag in
 _STOPS = LIMITS["p"] | {"ul", "ol", "dl", "select"}
 
 
+def _tag_end(source: str, at: int, last_quotes: tuple[int, int]) -> int:
+    """The place after the tag's end, 0 if it has none. A quote that isn't closed is a character like others; whether it is, is known from the last one of its kind."""
+    while True:
+        at = _TO_QUOTE.match(source, at).end()
+        if at >= len(source):
+            return 0
+        if source[at] == ">":
+            return at + 1
+        last = last_quotes[source[at] == "'"]
+        at = source.find(source[at], at + 1) + 1 if last > at else at + 1
+
+
 def parse(source: str) -> Node:
     """The element tree, whatever the source; end tags that are missing are put where a browser would."""
     root = Node("", "", 0)
     stack, is_open = [root], Counter()
-    at, n, quotes_close = 0, len(source), True
+    places: dict[str, list[int]] = {}  # of each tag, where its open elements stand
+    at, n, last_quotes = 0, len(source), (source.rfind('"'), source.rfind("'"))
 
     def close(depth: int) -> None:
         while len(stack) > depth:
-            is_open[stack.pop().tag] -= 1
+            tag = stack.pop().tag
+            is_open[tag] -= 1
+            places[tag].pop()
+
+    def innermost(tags) -> int:
+        return max((places[t][-1] for t in tags if is_open[t]), default=0)
 
     while at < n:
         found = _TAG.search(source, at)
@@ -116,6 +134,9 @@ def parse(source: str) -> Node:
             stack[-1].children.append(source[at:begin])
         comment, other, slash, tag = found.groups()
         if comment:
+            if source.startswith((">", "->"), found.end()):  # an empty comment
+                at = source.find(">", found.end()) + 1
+                continue
             end = source.find("-->", found.end())
             at = n if end < 0 else end + 3
             continue
@@ -123,31 +144,20 @@ def parse(source: str) -> Node:
             end = source.find(">", found.end())
             at = n if end < 0 else end + 1
             continue
-        whole = _TAG_END.match(source, found.end()) if quotes_close else None
-        quotes_close = whole is not None  # a quote that is open to the end is looked for once
-        end = whole.end() if whole else source.find(">", found.end()) + 1
+        end = _tag_end(source, found.end(), last_quotes)
         if end <= 0:
             at = n
             continue
         at, tag = end, tag.lower()
         if slash:
-            if is_open[tag]:
-                limit = LIMITS.get(tag, TABLE_LIMIT if tag in ("tr", "td", "th") else ())
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag == tag:
-                        close(depth)
-                        break
-                    if stack[depth].tag in limit:
-                        break
+            own = innermost((tag,))
+            if own and own > innermost(LIMITS.get(tag, TABLE_LIMIT if tag in ("tr", "td", "th") else frozenset()) - {tag}):
+                close(own)
             continue
         ends = _ENDS.get(tag, ())
-        if any(is_open[x] for x in ends):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag in ends:
-                    close(depth)
-                    break
-                if stack[depth].tag in _STOPS:
-                    break
+        own = innermost(ends)
+        if own and own > innermost(_STOPS - ends if ends else ()):
+            close(own)
         attributes = source[found.end() : end - 1]
         node = Node(tag, attributes, begin)
         stack[-1].children.append(node)
@@ -160,6 +170,7 @@ def parse(source: str) -> Node:
             if stop:
                 at = source.find(">", at) + 1 or n
             continue
+        places.setdefault(tag, []).append(len(stack))
         stack.append(node)
         is_open[tag] += 1
     if at < n:
@@ -225,12 +236,27 @@ def _find(node: Node, tag: str) -> list[Node]:
 
 def main_parts(root: Node) -> tuple[list[Node], bool]:
     """Elements that hold the article, and whether the page says so itself."""
-    for tag in ARTICLES:
-        if found := _find(root, tag):
-            return found, True
+    articles, mains = _find(root, "article"), _find(root, "main")
+    if mains and articles:
+        whole, own = (sum(_letters(x) for x in part) for part in (mains, articles))
+        return (articles if 2 * own >= whole else mains), True  # or the article is what the main part holds beside a few teasers
+    if articles or mains:
+        return articles or mains, True
     return (_find(root, "body") or [root]), False
 
 
+def _letters(top: Node) -> int:
+    """Characters of text below a node that may be part of an article."""
+    out, todo = 0, [top]
+    while todo:
+        for child in todo.pop().children:
+            if isinstance(child, str):
+                out += len(child.strip())
+            elif child.tag not in DROPPED and not _marked(child):
+                todo.append(child)
+    return out
+
+
 def prune(top: Node, inside: bool) -> None:
     """Drops what isn't part of the article."""
     todo = [top]
@@ -298,15 +324,17 @@ def _code(node: Node, prose: bool) -> int:
     return (node.code ^ (0x9E3779B97F4A7C15 if prose else 0)) - (1 << 63)
 
 
-def templates_of(source: str) -> dict[int, bool]:
-    """Hashes of the subtrees that may belong to the site, and whether they may be prose."""
+def article_of(source: str) -> list[tuple[Node, bool]]:
+    """The parts of the article, without what isn't, and whether the page says where it is."""
     parts, inside = main_parts(parse(source))
-    out = {}
     for part in parts:
         prune(part, inside)
-        for node, prose in _candidates(part, inside):
-            out[_code(node, prose)] = prose
-    return out
+    return [(p, inside) for p in parts]
+
+
+def templates_of(source: str) -> dict[int, bool]:
+    """Hashes of the subtrees that may belong to the site, and whether they may be prose."""
+    return {_code(node, prose): prose for part, inside in article_of(source) for node, prose in _candidates(part, inside)}
 
 
 def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset()) -> str:
@@ -326,14 +354,16 @@ def extract(source: str | None, templates: frozenset[int] | set[int] = frozenset
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, subtrees) of every page: a hash of its article, by which copies are told, and what may belong to the site."""
     for batch in batches:
-        hosts, codes, may_be_prose = [], [], []
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            for code, prose in (templates_of(source) if source else {}).items():
-                hosts.append(host)
-                codes.append(code)
-                may_be_prose.append(prose)
-        yield pa.RecordBatch.from_pydict({"host": pa.array(hosts, pa.string()), "code": pa.array(codes, pa.int64()), "prose": pa.array(may_be_prose, pa.bool_())})
+        pages, subtrees = [], []
+        for source in batch.column("html").to_pylist():
+            parts = article_of(source) if source else []
+            pages.append(xxhash.xxh64(b"".join(p.code.to_bytes(8, "little") for p, _ in parts)).intdigest() - (1 << 63))
+            own = {_code(node, prose): prose for part, inside in parts for node, prose in _candidates(part, inside)}
+            subtrees.append([{"code": code, "prose": prose} for code, prose in own.items()])
+        kind = pa.list_(pa.struct([("code", pa.int64()), ("prose", pa.bool_())]))
+        yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "page": pa.array(pages, pa.int64()), "subtrees": pa.array(subtrees, kind)})
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +377,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, codes): hashes of the subtrees that recur on a host. pages: host, html."""
     sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = pages.select("host", "html").mapInArrow(_subtrees, "host string, code long, prose boolean").groupBy("host", "code", "prose").agg(F.count("*").alias("on"))
+    found = pages.select("host", "html").mapInArrow(_subtrees, "host string, page long, subtrees array<struct<code: long, prose: boolean>>")
+    different = found.groupBy("host", "page").agg(F.first("subtrees").alias("subtrees"))  # copies of an article are one
+    counts = different.select("host", F.inline("subtrees")).groupBy("host", "code", "prose").agg(F.count("*").alias("on"))
     enough = F.when(F.col("prose"), HIGH_SHARE * F.col("pages")).otherwise(F.least(F.lit(float(MANY_PAGES)), min_share * F.col("pages")))
     recurring = counts.where(F.col("on") >= min_pages).join(sizes, "host").where(F.col("on") >= enough)
     return written(recurring.groupBy("host").agg(F.collect_list("code").alias("codes")), "templates")  # at most subtrees of the host's pages / min_pages
