@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from accordant.functions import values as V
 
@@ -62,7 +61,8 @@ def _radius(subscriptions: DataFrame, failures: DataFrame) -> DataFrame:
     fields = F.concat(F.coalesce("fields_consumed", none), F.coalesce(F.transform("breaking_fields", lambda b: b["field"]), none))
     own = subscriptions.select(contract_key(F.col("contract_id")).alias("_key"), *[c for c in subscriptions.columns if c != "contract_id"], F.flatten(F.transform(fields, V.field_aliases)).alias("_aliases"))
     met = wanted.join(own, "_key").withColumn("_hit", F.coalesce(F.arrays_overlap("_names", "_aliases"), F.lit(False)))
-    met = met.withColumn("_any", F.max("_hit").over(Window.partitionBy("contract_id", "field")))
+    named = met.groupBy("contract_id", "field").agg(F.max("_hit").alias("_any"))  # counted in the tasks first, so that no task holds a contract's subscribers
+    met = met.join(named, ["contract_id", "field"])
     mode = F.coalesce("validation_mode", F.lit("AUDIT"))
     return met.where(F.col("_hit") | ~F.col("_any")).withColumns({"validation_mode": mode, "match_type": F.when(F.col("_any"), "field_match").otherwise("contract_fallback")}).drop("_key", "_names", "_aliases", "_hit", "_any")
 
