@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from accordant.functions import values as V
 from accordant.operators import attribution, checks, dashboard, evolution, flatten, health, lineage, policy, profile, registry, text_drift, traces
@@ -293,6 +294,15 @@ def infer_contract_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.clause_frame(df, "p_partkey").select("column", "ordinal", "dtype", "null_fraction", "required", "format", F.when(F.col("enum").isNotNull(), F.size("enum")).alias("enum_size"))
 
 
+@query("""select 'lineitem.l_returnflag.enum' as check_id, (select string_agg(v, '|' order by k, v) from (select l_orderkey as k, l_returnflag as v from lineitem where l_returnflag not in ('A', 'N') order by k, v limit 5)) as samples
+    union all select 'lineitem.l_discount.range', (select string_agg(v, '|' order by k, v) from (select l_orderkey as k, l_discount::varchar as v from lineitem where l_discount < 0 or l_discount > 0.05 order by k, v limit 5))""")
+def failing_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five failing values of every failing check, from one more pass over the lines."""
+    lines = table(spark, sf_dir, "lineitem")
+    sampled = checks.with_samples(lines, LINEITEM, checks.run_checks(lines, LINEITEM), "l_orderkey")
+    return sampled.where("status = 'FAIL'").select("check_id", F.array_join("sample_failing", "|").alias("samples"))
+
+
 # -- flattening -------------------------------------------------------------------------------------------------
 
 
@@ -671,6 +681,17 @@ def blame_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.rank_candidates(failures.drop("score"), candidates, attribution.blame_counts(lines), recent).select("check_id", "rank", "file_path", "commit_hash", "confidence_score", "line_blame_hits")
 
 
+@query("select 'f' || (o_orderkey % 3) as file_path, lpad((o_custkey % 40)::varchar, 40, '0') as commit_hash, count(*) as line_hits, lpad((o_custkey % 40)::varchar, 40, '0') || ' said it' as summary from orders group by 1, 2, 4")
+def blame_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as entries of blame output in three files; a commit's first entry tells what it is about, the others go by that."""
+    commit = F.lpad((F.col("o_custkey") % 40).cast("string"), 40, "0")
+    tells = F.row_number().over(Window.partitionBy(commit).orderBy(F.col("o_orderkey") % 3, "o_orderkey")) == 1
+    entry = F.array(F.concat(commit, F.lit(" 1 1 1")), F.when(tells, F.concat(F.lit("summary "), commit, F.lit(" said it"))), F.lit("\tcode"))
+    lines = table(spark, sf_dir, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")).alias("file_path"), "o_orderkey", entry.alias("entry"))
+    lines = lines.select("file_path", "o_orderkey", F.posexplode("entry").alias("k", "line")).where("line is not null")
+    return attribution.blame_counts(attribution.parse_blame(lines.select("file_path", (F.col("o_orderkey") * 3 + F.col("k")).alias("ord"), "line"))).select("file_path", "commit_hash", "line_hits", "summary")
+
+
 @query("select sha256(text) as sha, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
 def content_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("sha", F.sha2("text", 256))
