@@ -28,13 +28,14 @@ def tokenizer_file() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents have no path. A hundred make up a directory, ten of these another one above; a document that speaks of a licence is its directory's
-    licence file, so that the others of the directory, and of those below without one, inherit what is found in it."""
+    """Documents have no path. 256 make up a directory with 15 others below it, 16 in each and 16 in itself; a document that speaks of a licence is a
+    licence file, from which the others of its directory, and of those below without one, inherit. Many a directory has none."""
     documents = table(spark, sf_dir, "documents")
-    upper, lower = F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100 % 10).cast("string")
+    doc_id = F.coalesce(F.col("doc_id"), F.lit(0))
+    upper, lower = F.floor(doc_id / 256).cast("string"), (F.floor(doc_id / 16) % 16).cast("string")
     speaks = F.coalesce(F.lower("text").contains("licen"), F.lit(False))
-    directory = F.when(lower == "0", F.concat_ws("/", F.lit("files"), upper)).otherwise(F.concat_ws("/", F.lit("files"), upper, lower))
-    name = F.when(speaks, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+    directory = F.concat_ws("/", F.lit("files"), upper, F.when(lower != "0", lower))
+    name = F.concat(F.when(speaks, F.lit("LICENSE.")).otherwise(F.lit("text.")), doc_id.cast("string"))
     return license_scan(documents.withColumn("path", F.concat_ws("/", directory, name)))
 
 
