@@ -12,7 +12,8 @@ meetings picked by a hash table of the same bound or else by a shuffle, and the
 ``contaminated`` judges an item as a whole, at one shift, as its SQL does. ``without_contaminated`` takes out more documents: the words in place in
 stretches of ``SPAN`` words of which ``DENSE`` are equal also count at shifts up to ``NEAR`` from a meeting. A document holds an item, too, if
 ``PASSAGE`` of its words, less ``GAP`` for every word between them that is missing, are in place at shifts within ``NEAR``, however long the item is; if its
-stretches at all shifts add up to ``share`` of the item; or if it quotes an item of fewer than ``SPAN`` words whole.
+stretches at all shifts add up to ``share`` of the item; or if it quotes an item of ``QUOTE`` words or more, but fewer than ``SPAN``, whole. Items of fewer words are
+common speech, such as "yes": they have to fill a line or a sentence, and an item of one word the whole text.
 
 Defined results: for ``contaminated``, items with fewer than ``SPAN`` words have no window and are never found; null or empty texts and items hold nothing;
 rows that share a doc_id count as one document, and rows with a null one too; items that share an id count as one; other columns are ignored.
@@ -34,6 +35,9 @@ PASSAGE = 13
 GAP = 2
 DENSE = 7
 NEAR = 4
+QUOTE = 5
+#: Where a sentence or a line ends.
+_ENDS = r"\n|[.!?…。！？]+(?=\s|$)"
 
 
 def words_of(text: Column) -> Column:
@@ -120,8 +124,8 @@ def _stretches(both: DataFrame) -> DataFrame:
 
 
 def _quoted(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id) of the documents that quote whole an item of fewer than ``SPAN`` words."""
-    short = items.where((F.size("hashes") > 0) & (F.size("hashes") < SPAN)).select(F.size("hashes").alias("n"), "hashes")
+    """(doc_id) of the documents that quote whole an item of ``QUOTE`` to ``SPAN`` - 1 words."""
+    short = items.where((F.size("hashes") >= QUOTE) & (F.size("hashes") < SPAN)).select(F.size("hashes").alias("n"), "hashes")
     lengths = sorted(r[0] for r in short.select("n").distinct().collect())  # fewer than SPAN
     if not lengths:
         return documents.select("doc_id").where("false")
@@ -148,6 +152,36 @@ def _quoted(documents: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(wanted, "code", "left_semi").select("doc_id").distinct()
 
 
+def _filled(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id) of the documents in which an item of fewer than ``QUOTE`` words fills lines or sentences; one word has to be all there is."""
+
+    def parts(text: Column) -> Column:
+        """Words of each line or sentence, joined."""
+        return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), _ENDS), lambda x: F.array_join(words_of(x), " ")), lambda x: x != "")
+
+    def code(parts: Column) -> Column:
+        return F.xxhash64(F.array_join(parts, " "))
+
+    short = benchmark.select(parts(F.col("text")).alias("parts")).withColumn("n_words", F.size(F.split(F.array_join("parts", " "), " ")))
+    short = short.where((F.size("parts") > 0) & (F.col("n_words") < QUOTE)).select(F.size("parts").alias("n"), (F.col("n_words") == 1).alias("alone"), code(F.col("parts")).alias("code")).distinct()
+    sizes = sorted(r[0] for r in short.select("n").distinct().collect())  # fewer than QUOTE
+    if not sizes:
+        return documents.select("doc_id").where("false")
+    wanted = short.select("code", "alone").distinct()
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    texts = documents.select("doc_id", parts(F.col("text")).alias("parts"))
+
+    def codes_of(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size("parts")), lambda j: j <= F.size("parts") - (n - 1))
+        return F.transform(starts, lambda j: code(F.slice("parts", j, n)))
+
+    codes = F.flatten(F.array(*[codes_of(n) for n in sizes]))
+    rows = texts.select("doc_id", F.when(F.size("parts") > 0, F.array_distinct(codes)).alias("codes"), code(F.col("parts")).alias("whole"))
+    rows = rows.select("doc_id", "whole", F.explode_outer("codes").alias("code")).where("code is not null")
+    return rows.join(wanted, "code").where(~F.col("alone") | (F.col("code") == F.col("whole"))).select("doc_id").distinct()
+
+
 def passages(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id) of the documents that hold an item, a passage of one, pieces that add up to its share, or a short one whole."""
     items = benchmark.select("item_id", _hashed(F.col("text")).alias("hashes"))
@@ -167,7 +201,7 @@ def passages(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -
 
     start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("now"), F.lit(0).alias("most"))
     runs = close.where(F.aggregate("places", start, longer, lambda x: x["most"]) >= PASSAGE)
-    return whole.union(pieces.select("doc_id")).union(runs.select("doc_id")).union(_quoted(documents, items)).distinct()
+    return whole.union(pieces.select("doc_id")).union(runs.select("doc_id")).union(_quoted(documents, items)).union(_filled(documents, benchmark)).distinct()
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
