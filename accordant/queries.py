@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from accordant.functions import values as V
 from accordant.operators import attribution, checks, dashboard, evolution, flatten, health, lineage, policy, profile, registry, text_drift, traces
-from accordant.operators.contract import Clause, Contract
+from accordant.operators.contract import Clause, Contract, sql_tests
 from accordant.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -747,6 +747,174 @@ def dash_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("select 'ERROR' as status, 'CRITICAL' as severity, count(l_returnflag) as records_failing from lineitem")
+def check_drift_non_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of letters against a numeric baseline."""
+    found = checks.run_checks(table(spark, sf_dir, "lineitem").select("l_returnflag"), Contract("x", (Clause("l_returnflag"),)), {"l_returnflag": (1.0, 0.5)})
+    return found.where("check_type = 'drift'").select("status", "severity", "records_failing")
+
+
+# -- more of traces -------------------------------------------------------------------------------------------------
+
+
+@query("""select family, count(*) as n, count(*) filter (where ok) as valid from (select
+    case conv_id % 4 when 0 then 'document_page_text' when 1 then 'section_prompt' when 2 then 'task_prompt' else 'unrecognized_prompt_shape' end as family,
+    case conv_id % 4 when 0 then turn >= 1 and length(trim(text)) >= 20 when 1 then length(trim(text)) >= 20
+      when 2 then length(trim(text)) >= 20 and length(role || ' speaks') >= 10 and 60 >= length(text) * 0.5 and turn % 3 <> 0 else false end as ok from conversations) group by family""")
+def prompt_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as prompt inputs of each family: how many there are of each, and how many are valid."""
+    quoted = lambda c: F.regexp_replace(F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'^\{"v":', ""), r"\}$", "")
+    as_map = lambda **values: F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    k, text, role = F.col("conv_id") % 4, quoted(F.col("text")), quoted(F.col("role"))
+    page = as_map(document_id=quoted(F.col("conv_id").cast("string")), page=F.col("turn").cast("string"), section=role, text=text)
+    section = as_map(numeric_dense=F.lit("1"), section_text=text, section_title=role)
+    system = F.concat("role", F.lit(" speaks"))
+    in_json = F.when(F.col("turn") % 3 != 0, "true").otherwise('"true"')
+    task = as_map(task=role, prompt=text, system=quoted(system), prompt_chars=F.lit("60"), system_chars=F.length(system).cast("string"), format_json=in_json)
+    df = table(spark, sf_dir, "conversations").select(F.when(k == 0, page).when(k == 1, section).when(k == 2, task).otherwise(as_map(text=text)).alias("inputs"))
+    valid = df.where(traces.prompt_family(F.col("inputs"))["valid"])
+    joined = traces.family_counts(df).join(traces.family_counts(valid).withColumnRenamed("n", "valid"), "family", "left")
+    return joined.select("family", "n", F.coalesce("valid", F.lit(0)).alias("valid"))
+
+
+@query(f"select trim(t) as run_type, count(*) as n from (select {_RUN_TYPE} as t from events) where trim(t) in ('prompt', 'parser') group by 1")
+def trace_normalizations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.normalization_counts(_traces(spark, sf_dir))
+
+
+# -- statuses, tiers and logs ---------------------------------------------------------------------------------------
+
+
+@query("""select l_suppkey, case max(case l_returnflag when 'R' then 2 when 'A' then 1 else 0 end) when 2 then 'FAIL' when 1 then 'WARN' else 'PASS' end as worst,
+    round(sum(case l_returnflag when 'R' then 2 when 'A' then 6 else 10 end) / (10.0 * count(*)), 6) as score from lineitem group by l_suppkey""")
+def status_worst_and_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Returned lines as failures, others by their flag, for each supplier."""
+    status = F.when(F.col("l_returnflag") == "R", "FAIL").when(F.col("l_returnflag") == "A", "WARN").otherwise("PASS")
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", status.alias("status"))
+    return lines.groupBy("l_suppkey").agg(policy.worst_status(F.col("status")).alias("worst"), F.round(F.avg(policy.status_score(F.col("status"))), 6).alias("score"))
+
+
+@query("""select case when r and l then 'tier_1_registry_plus_lineage' when r then 'tier_2_registry_primary' else 'tier_3_lineage_only_fallback' end as trust_tier, count(*) as customers
+    from (select c_custkey in (select o_custkey from orders) as r, c_nationkey in (select s_nationkey from supplier where s_acctbal > 5000) as l from customer) group by 1""")
+def trust_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with orders are in the registry, those of a nation with a rich supplier in the lineage."""
+    known = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("in_registry", F.lit(True))
+    nations = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("c_nationkey")).distinct().withColumn("in_lineage", F.lit(True))
+    customers = table(spark, sf_dir, "customer").join(known, "c_custkey", "left").join(nations, "c_nationkey", "left")
+    tier = policy.trust_tier(F.coalesce("in_registry", F.lit(False)), F.coalesce("in_lineage", F.lit(False)))
+    return customers.groupBy(tier.alias("trust_tier")).agg(F.count("*").alias("customers"))
+
+
+@query("select count(*) as findings, arg_max(event_type || ' of ' || user_id, event_id) as latest from events where event_type in ('click', 'purchase')")
+def log_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    component = F.when(F.col("event_type").isin("click", "purchase"), "ai_extensions").otherwise("runner")
+    log = table(spark, sf_dir, "events").select(F.col("event_id").alias("ord"), component.alias("source_component"), F.concat("event_type", F.lit(" of "), F.col("user_id").cast("string")).alias("message"))
+    return health.logged_findings(log)
+
+
+@query("""select 'o' || o_orderkey as check_id, o_orderpriority as field, 'orders' as dataset_system, coalesce(n, 0) as violation_count from orders
+    left join (select l_orderkey, count(*) as n from lineitem where l_returnflag = 'R' group by 1) on o_orderkey = l_orderkey where o_orderstatus = 'F'""")
+def attribution_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished orders as failed checks, and how often a log of returned lines has them already."""
+    key = lambda c: F.concat(F.lit("o"), F.col(c).cast("string")).alias("check_id")
+    status = F.when(F.col("o_orderstatus") == "F", "FAIL").when(F.col("o_orderstatus") == "P", "WARN").otherwise("PASS")
+    results = table(spark, sf_dir, "orders").select(
+        key("o_orderkey"), F.col("o_orderpriority").alias("column_name"), F.lit("range").alias("check_type"), status.alias("status"), F.lit("HIGH").alias("severity"), F.lit("out of range").alias("message"), F.lit(1).alias("records_failing")
+    )
+    log = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(key("l_orderkey"))
+    return attribution.earlier_violations(attribution.failures_of(results, "orders", None), log).select("check_id", "field", "dataset_system", "violation_count")
+
+
+@query("""select case when contains(lower(p_type), 'brass') then 'foundry' when contains(lower(p_type), 'steel') then 'mill' when p_type = '' then 'unknown-system' else lower(p_type) end as system, count(*) as n
+    from (select case when p_partkey % 50 = 0 then '' else p_type end as p_type from part) group by 1""")
+def systems_of_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of parts as ids of contracts, some of them empty."""
+    named = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 50 != 0, F.col("p_type")).alias("id"))
+    return named.groupBy(attribution.system_of(F.col("id"), {"brass": "foundry", "steel": "mill"}).alias("system")).agg(F.count("*").alias("n"))
+
+
+@query("""with m as (select r_name as subscriber_id, p_brand as snapshot_root, p_partkey, row_number() over (partition by r_name, p_brand order by p_partkey) as k from region join part
+    on contains(lower(p_brand), '#' || (r_regionkey + 1)) and contains(lower(p_type), (array['brass', 'steel', 'tin', 'copper', 'gold'])[r_regionkey + 1])),
+    a as (select subscriber_id, snapshot_root, string_agg(lpad(p_partkey::varchar, 9, '0'), '|' order by p_partkey) as nodes, count(*) as n from m where k <= 5 group by 1, 2)
+    select r_name as subscriber_id, snapshot_root, nodes, case when r_regionkey = 0 then 'high' when coalesce(n, 0) > 0 then 'medium' else 'low' end as confidence from region left join a on r_name = subscriber_id""")
+def lineage_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes of a snapshot for each brand, regions as subscribers that look for a metal in some brands, and how far to trust what they find."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("snapshot_root"), F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("node_id"), F.col("p_type").alias("haystack"))
+    metals = F.array(*map(F.lit, ("brass", "steel", "tin", "copper", "gold")))
+    regions = table(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("subscriber_id"))
+    patterns = regions.select("subscriber_id", F.array(F.concat(F.lit("#"), (F.col("r_regionkey") + 1).cast("string"))).alias("repo_patterns"), F.array(F.get(metals, F.col("r_regionkey").cast("int"))).alias("file_patterns"))
+    found = regions.join(lineage.aligned_consumers(parts, patterns), "subscriber_id", "left")
+    direct, aligned = F.when(F.col("r_regionkey") == 0, 1).otherwise(0), F.greatest(F.coalesce(F.size("nodes"), F.lit(0)), F.lit(0))
+    return found.select("subscriber_id", "snapshot_root", F.array_join("nodes", "|").alias("nodes"), lineage.enrichment_confidence(direct, aligned).alias("confidence"))
+
+
+@query("""select doc_id, count(*) as facts, sum(length(t))::bigint as chars, arg_min(t, k) as first_fact from (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as k from documents)
+    where t <> '' group by doc_id""")
+def facts_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents as facts of records, each of which is a second later than the one before."""
+    records = table(spark, sf_dir, "documents").select(
+        F.timestamp_seconds("doc_id").cast("string").alias("at"), F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"))).alias("extracted_facts"))
+    facts = text_drift.fact_texts(records, "at").groupBy(F.unix_seconds("at").alias("doc_id"))
+    return facts.agg(F.count("*").alias("facts"), F.sum(F.length("text")).alias("chars"), F.min_by("text", "ord").alias("first_fact"))
+
+
+# -- more of the dashboard ------------------------------------------------------------------------------------------
+
+
+@query("select o_orderpriority as severity, 'o' || o_custkey as contract_id, count(*) as n from orders where o_orderpriority = '1-URGENT' group by 1, 2")
+def dash_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    violations = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("severity"), F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("contract_id"), F.lit("Unknown").alias("source_kind"))
+    return dashboard.filtered_violations(violations, severity="1-URGENT").groupBy("severity", "contract_id").agg(F.count("*").alias("n"))
+
+
+@query(f"select check_id, status, records_failing from ({_LINEITEM_SQL}) where status <> 'PASS'")
+def dash_failing_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dashboard.failing_checks(checks.run_checks(table(spark, sf_dir, "lineitem"), LINEITEM)).select("check_id", "status", "records_failing")
+
+
+@query("select o_orderkey as check_id, 'p' || l_partkey as file_path from orders left join lineitem on l_orderkey = o_orderkey and l_linenumber = 1")
+def dash_top_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as violations, their lines as ranked files."""
+    ranked = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("check_id"), F.col("l_linenumber").alias("rank"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("file_path"))
+    return dashboard.with_top_file(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("check_id")), ranked)
+
+
+@query("""select contract_id, count(*) as versions, min(path) as earliest, coalesce(max(path) filter (where name = 'latest.yaml'), max(path)) as latest from (select 'o' || o_custkey as contract_id,
+    case when o_orderstatus = 'F' then 'latest.yaml' else 'v.yaml' end as name, o_custkey || '/' || o_orderkey || '.yaml' as path from orders) group by contract_id""")
+def dash_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as snapshot files of their customers."""
+    text = lambda c: F.col(c).cast("string")
+    name = F.when(F.col("o_orderstatus") == "F", "latest.yaml").otherwise("v.yaml")
+    files = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), text("o_custkey")).alias("contract_id"), name.alias("name"), F.concat(text("o_custkey"), F.lit("/"), text("o_orderkey"), F.lit(".yaml")).alias("path"))
+    return dashboard.snapshot_inventory(files).select("contract_id", "versions", F.get("paths", F.lit(0)).alias("earliest"), "latest")
+
+
+@query("""select l_orderkey, l_linenumber, strftime(l_shipdate::timestamp, '%b %-d, %Y, %-I:%M %p') as shipped, case when l_linenumber = 7 then '--' else printf('%.1f%%', l_quantity::double) end as share,
+    replace(l_returnflag || chr(92) || l_linenumber, chr(92), '/') as path, case l_returnflag when 'R' then 'danger' when 'A' then 'info' else 'neutral' end as tone,
+    'http://h' || l_linenumber as service from lineitem""")
+def dash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, shares, paths, tones and addresses as they are shown."""
+    flag, line = F.col("l_returnflag"), F.col("l_linenumber").cast("string")
+    severity = F.when(flag == "R", "critical").when(flag == "A", "Medium")
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", V.formatted_date(F.col("l_shipdate").cast("timestamp")).alias("shipped"), V.formatted_percent(F.when(F.col("l_linenumber") != 7, F.col("l_quantity"))).alias("share"),
+        V.normalized_path(F.concat(flag, F.lit("\\"), line)).alias("path"), V.severity_tone(severity).alias("tone"), V.service_base_url(F.concat(F.lit(" http://h"), line, F.lit("/v1// "))).alias("service"),
+    )
+
+
+@query("""with c as (select c_custkey as customer_id, c_name, c_mktsegment, c_nationkey from customer)
+    select 'customer_id' as "column", unnest(['not_null', 'unique']) as test from (select count(*) as n, count(customer_id) as k, count(distinct customer_id) as d from c) where n = k and n = d
+    union all select 'c_name', 'not_null' from (select count(*) as n, count(c_name) as k from c) where n = k union all select 'c_mktsegment', 'not_null' from (select count(*) as n, count(c_mktsegment) as k from c) where n = k
+    union all select 'c_nationkey', 'not_null' from (select count(*) as n, count(c_nationkey) as k from c) where n = k
+    union all select 'c_mktsegment', 'accepted_values' from (select count(distinct c_mktsegment) as d from c) where d between 1 and 8""")
+def contract_sql_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL tests that a contract inferred from the customers suggests. Ids count as unique while a sketch of them is exact, up to 65,536."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_name", "c_mktsegment", "c_nationkey")
+    contract = profile.infer_contract(customers, "customers")
+    rows = [(c.name, test) for c in contract.clauses for test, _ in sql_tests(c, contract.profiled_rows)]  # a few a column
+    return spark.createDataFrame(rows, "column string, test string")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract on lineitem under the strictest mode."""
     return policy.decorate(checks.run_checks(table(spark, sf_dir, "lineitem"), LINEITEM), "ENFORCE")
