@@ -24,6 +24,8 @@ def parser() -> argparse.ArgumentParser:
     generate.add_argument("--contract-id", default=None)
     generate.add_argument("--output", required=True)
     generate.add_argument("--snapshot-root", default="schema_snapshots/contracts")
+    generate.add_argument("--lineage", default=None, help="lineage snapshots that name consumers of the data")
+    generate.add_argument("--hints", default=None, help="YAML: columns, markers, terms, fields, descriptions")
     validate.add_argument("--contract", required=True)
     validate.add_argument("--data", required=True)
     validate.add_argument("--output", required=True)
@@ -36,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     evolve.add_argument("--current", default=None)
     evolve.add_argument("--simulate", default="rename_confidence_field", choices=["none", "rename_confidence_field", "confidence_scale_shift"])
     evolve.add_argument("--output", required=True)
+    evolve.add_argument("--compatibility-output", default=None, help="a report with every change beside the summary")
     attribute = commands.add_parser("attribute", help="say which files, commits and consumers stand behind the failures of a report")
     attribute.add_argument("--report", required=True)
     attribute.add_argument("--contract", required=True)
@@ -80,7 +83,8 @@ def main(argv: list[str] | None = None, spark=None) -> int:
 def _generate(args, spark) -> int:
     from accordant.functions.naming import contract_slug
 
-    _, document = workflows.generate(spark, args.source, contract_slug(args.source, args.contract_id), args.registry)
+    hints = workflows.Hints.of(readers.read_yaml(spark, args.hints)) if args.hints else workflows.Hints()
+    _, document = workflows.generate(spark, args.source, contract_slug(args.source, args.contract_id), args.registry, lineage_path=args.lineage, hints=hints)
     sinks.write_contract(document, args.output, args.snapshot_root)
     return 0
 
@@ -105,9 +109,11 @@ def _validate(args, spark) -> int:
 def _evolve(args, spark) -> int:
     subscriptions = registry.subscriptions_frame(spark, readers.read_registry(spark, args.registry))
     previous, current, notes = workflows.versions(spark, args.contract_id, args.snapshot_root, args.previous, args.current)
-    summary = workflows.evolve(spark, args.contract_id, previous, current, subscriptions, args.simulate)
-    summary["notes"] = notes + summary["notes"]
+    details, summary = workflows.compatibility(spark, args.contract_id, previous, current, subscriptions, args.simulate)
+    summary["notes"] = details["notes"] = notes + summary["notes"]
     sinks.write_json(args.output, summary)
+    if args.compatibility_output:
+        sinks.write_json(args.compatibility_output, details)
     print(json.dumps({k: summary.get(k) for k in ("contract_id", "decision", "ci_gate_blocking", "total_changes")}, indent=2))
     return 2 if summary["ci_gate_blocking"] else 0
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from accordant.functions import values as V
+from accordant.functions.naming import ordered_columns
 
 PREFERRED_REPEATED = "extracted_facts"
 
@@ -59,14 +60,13 @@ def flatten(df: DataFrame, repeated: str | None = None, first: list[str] | None
                 pairs |= dict(flat_columns(f"fact_{f.name}", F.col("_item").getField(f.name), f.dataType))
         else:
             pairs[f"fact_{repeated.rstrip('s')}"] = F.col("_item")
-    names = [c for c in first or [] if c in pairs]
-    names += [c for c in pairs if c not in names]
+    names = ordered_columns(list(pairs), first or [])
     return source.select(*[pairs[n].alias(n) for n in names])
 
 
-def flatten_for_profile(df: DataFrame) -> tuple[DataFrame, dict[str, str | None]]:
+def flatten_for_profile(df: DataFrame, first: list[str] | None = None) -> tuple[DataFrame, dict[str, str | None]]:
     repeated = choose_repeated_field(df)
-    return flatten(df, repeated), {"flatten_mode": "exploded_repeated_items" if repeated else "record_level_fallback", "repeated_field": repeated}
+    return flatten(df, repeated, first), {"flatten_mode": "exploded_repeated_items" if repeated else "record_level_fallback", "repeated_field": repeated}
 
 
 def missing_markers(df: DataFrame, markers: list[str]) -> list[str]:

@@ -40,7 +40,7 @@ def normalize_snapshot(spark: SparkSession, snapshot: dict[str, Any]) -> tuple[D
     return spark.createDataFrame(list(nodes.values()), NODES), spark.createDataFrame(edges, EDGES)
 
 
-def snapshot_tables(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
+def snapshot_tables(snapshots: DataFrame, otherwise: str = "RELATED") -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of snapshots(ord, doc: variant) of both shapes, each with its ord; a node id that comes again in a snapshot replaces the one before.
 
     Nodes have ``own_file`` and ``repo`` too, by which a snapshot is found. The rules are those of ``normalize_snapshot``.
@@ -64,13 +64,13 @@ def snapshot_tables(snapshots: DataFrame) -> tuple[DataFrame, DataFrame]:
     fields = ("node_type", "label", "metadata", "own_file", "repo")
     last = nodes.where("node_id is not null").groupBy("ord", "node_id").agg(F.max_by(F.struct(*fields), F.struct("kind", "pos")).alias("n")).select("ord", "node_id", "n.*")
     known = "and (try_variant_get(s.doc, '$.nodes', 'variant') is not null or try_variant_get(s.doc, '$.datasets', 'variant') is not null)"
-    edges = part("edges", known).select("ord", get("source").alias("source"), get("target").alias("target"), F.coalesce(get("relationship"), get("edge_type"), get("type"), F.lit("RELATED")).alias("relationship"))
+    edges = part("edges", known).select("ord", get("source").alias("source"), get("target").alias("target"), F.coalesce(get("relationship"), get("edge_type"), get("type"), F.lit(otherwise)).alias("relationship"))
     return last, edges
 
 
-def chosen_snapshot(spark: SparkSession, snapshots: DataFrame, roots: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame, str]:
-    """(nodes, edges, label) of the snapshot that fits roots(path, name) best, or of the last one. A snapshot is judged by its root and by each of its nodes, in a join."""
-    nodes, edges = snapshot_tables(snapshots)
+def chosen_snapshot(spark: SparkSession, snapshots: DataFrame, roots: list[tuple[str, str]], otherwise: str = "RELATED") -> tuple[DataFrame, DataFrame, str]:
+    """(nodes, edges, label) of the snapshot that fits roots(path, name) best, or of the last one; otherwise: what an edge without a kind is. A snapshot is judged by its root and by each of its nodes, in a join."""
+    nodes, edges = snapshot_tables(snapshots, otherwise)
     root = snapshots.select("ord", F.expr("try_variant_get(doc, '$.codebase_root', 'string')").alias("codebase_root"))
     meta = lambda k: F.col("metadata")[k]
     told = nodes.select("ord", F.concat_ws(" ", "node_id", "label", "own_file", meta("source_file"), meta("source_file_abs"), "repo").alias("haystack"))

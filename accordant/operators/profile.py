@@ -22,6 +22,7 @@ SAMPLES = 5
 SKETCH, LANES = 16, 16
 #: Columns of running text and addresses, for which the values seen say nothing of the values allowed.
 NO_ENUM = frozenset(["source_path", "source_hash", "fact_text", "fact_source_excerpt", "fact_entity_refs"])
+#: Fixed value: what a contract says of confidences.
 CONFIDENCE = "Confidence value for the extracted fact. This must remain in the 0.0-1.0 range."
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
-from typing import Any
+from types import MappingProxyType
+from typing import Any, NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -21,20 +22,59 @@ NEAREST = 20
 CONTEXT = {"enforcement_boundary": "consumer", "blast_radius_primary_source": "contract_registry", "lineage_role": "enrichment_only"}
 
 
-def generate(spark: SparkSession, source: str, contract_id: str, registry_path: str | None = None, lineage_nodes: DataFrame | None = None) -> tuple[Contract, dict[str, Any]]:
-    """(contract, document) of a JSON lines file: flattened, profiled, and named subscribers from a registry; lineage_nodes: of the lineage that stands behind it, if any."""
-    flat, meta = flatten.flatten_for_profile(readers.read_records(spark, source))
-    contract = profile.infer_contract(flat, contract_id)
-    more: dict[str, Any] = {"info": naming.contract_info(source), "servers": {"local": {"path": source}}, "observations": meta | {"profiled_row_count": contract.profiled_rows}}
+class Hints(NamedTuple):
+    """What is known of a data set beforehand: columns that come first, names that its records should have, terms by which a lineage names its
+    folder, fields that its consumers read, and descriptions of fields."""
+
+    columns: tuple[str, ...] = ()
+    markers: tuple[str, ...] = ()
+    terms: tuple[str, ...] = ()
+    fields: tuple[str, ...] = ("record_id",)
+    descriptions: Mapping[str, str] = MappingProxyType({})
+
+    @classmethod
+    def of(cls, document: Mapping[str, Any]) -> Hints:
+        lists = {k: tuple(map(str, document[k])) for k in ("columns", "markers", "terms", "fields") if document.get(k)}
+        return cls(**lists, descriptions=dict(document.get("descriptions") or {}))
+
+
+def generate(
+    spark: SparkSession, source: str, contract_id: str, registry_path: str | None = None, lineage_nodes: DataFrame | None = None, lineage_path: str | None = None, hints: Hints = Hints()
+) -> tuple[Contract, dict[str, Any]]:
+    """(contract, document) of a JSON lines file: flattened, profiled, with subscribers named by a registry and consumers by a lineage snapshot.
+
+    lineage_nodes: of the lineage that stands behind the data, if it is at hand; lineage_path: snapshots, of which the one that fits the data's folder is read.
+    """
+    records = readers.read_records(spark, source)
+    flat, meta = flatten.flatten_for_profile(records, list(hints.columns))
+    contract = profile.infer_contract(flat, contract_id, descriptions=dict(hints.descriptions))
+    observations = meta | {"profiled_row_count": contract.profiled_rows}
+    if missing := flatten.missing_markers(records, list(hints.markers)):
+        observations["warnings"] = ["The records lack fields that they should have: " + ", ".join(missing)]
+    more: dict[str, Any] = {"info": naming.contract_info(source), "servers": {"local": {"path": source}}, "observations": observations}
+    found = lineage_nodes is not None and not lineage_nodes.isEmpty()
+    if lineage_path:
+        more["lineage"] = source_lineage(spark, lineage_path, source, hints)
+        found = found or bool(more["lineage"]["downstream"])
     if registry_path:
         document = readers.read_registry(spark, registry_path)
         context = registry.registry_context(registry.subscriptions_frame(spark, document), contract_id, document.get("notes"))
-        lineage = lineage_nodes is not None and not lineage_nodes.isEmpty()
-        tier = policy.TIERS[(0 if lineage else 1) if context["subscriber_count"] else 2]
+        tier = policy.TIERS[(0 if found else 1) if context["subscriber_count"] else 2]
         more |= {"registry": context, "trust_tier": tier}
     return contract, contract.document(**more)
 
 
+def source_lineage(spark: SparkSession, path: str, source: str, hints: Hints = Hints()) -> dict[str, Any]:
+    """What reads a data set, by the snapshot that fits its folder best; each consumer once, by id."""
+    snapshots, how = readers.read_snapshot_rows(spark, path)
+    folder = source.replace("\\", "/").lower().rpartition("/")[0]
+    nodes, edges, label = lineage.chosen_snapshot(spark, snapshots, [(folder, folder.rpartition("/")[2])], "CONSUMES")
+    terms = naming.source_terms(source, {folder.rpartition("/")[2]: list(hints.terms)})
+    consumers = lineage.downstream_consumers(nodes, edges, terms, list(hints.fields)).groupBy("id").agg(F.min(F.struct("label", "relationship", "fields_consumed")).alias("c"))
+    rows = consumers.select("id", "c.*").orderBy("id").collect()  # the consumers of one data set
+    return {"role": "enrichment_only", "snapshot": f"{how}:{label}", "downstream": [r.asDict() for r in rows]}
+
+
 def validate(
     df: DataFrame, contract: Contract, mode: str = "AUDIT", baselines: dict[str, tuple[float, float]] | None = None, subscriptions: DataFrame | None = None, snapshot_id: str = "", order_by: str | None = None
 ) -> tuple[dict[str, Any], DataFrame]:
@@ -51,13 +91,26 @@ def validate(
 
 def evolve(spark: SparkSession, contract_id: str, previous: dict[str, Any] | None, current: dict[str, Any] | None, subscriptions: DataFrame, simulation: str = "none") -> dict[str, Any]:
     """Summary of a comparison; a simulated change stands in for a current version that isn't given. Without both, a warning that doesn't block."""
+    return compatibility(spark, contract_id, previous, current, subscriptions, simulation)[1]
+
+
+def compatibility(
+    spark: SparkSession, contract_id: str, previous: dict[str, Any] | None, current: dict[str, Any] | None, subscriptions: DataFrame, simulation: str = "none"
+) -> tuple[dict[str, Any], dict[str, Any]]:
+    """(report, summary) of a comparison, as ``evolve`` makes it; the report also has each change with the subscribers that it hits."""
     notes = []
+    roles = {"role": "producer_side_ci_gate", "registry_role": "primary_impact_source", "lineage_role": "optional_enrichment_only"}  # fixed values
+    head = {"generated_at": sinks.now_iso(), "contract_id": contract_id} | roles
     if current is None and previous is not None and simulation != "none":
         current = evolution.simulate(previous, simulation)
         notes.append(f"No current version was given, so a simulated '{simulation}' change was compared.")
     if previous is None or current is None:
-        return {"contract_id": contract_id, "decision": "WARN", "ci_gate_blocking": False, "total_changes": 0, "notes": [*notes, "Two versions are needed for a comparison."]}
-    return evolution.analyze(spark, contract_id, previous, current, subscriptions)[1] | {"notes": notes}
+        summary = {"contract_id": contract_id, "decision": "WARN", "ci_gate_blocking": False, "total_changes": 0, "notes": [*notes, "Two versions are needed for a comparison."]}
+        return head | {k: summary[k] for k in ("decision", "notes")} | {"changes": []}, summary
+    changes, summary = evolution.analyze(spark, contract_id, previous, current, subscriptions)
+    rows = [r.asDict(recursive=True) for r in changes.collect()]  # a row a changed field
+    report = head | {k: summary[k] for k in ("decision", "recommendation", "producer_next_actions")} | {"notes": notes, "changes": sorted(rows, key=lambda r: (str(r.get("field")), str(r.get("change_type"))))}
+    return report, summary | {"notes": notes}
 
 
 def versions(spark: SparkSession, contract_id: str, root: str, previous: str | None = None, current: str | None = None) -> tuple[dict[str, Any] | None, dict[str, Any] | None, list[str]]:
