@@ -9,8 +9,9 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
    shuffled of a bin are hashes of the core and the at most 63 bytes on either side. Equal bins are counted
    together before the shuffle, so a group of copies weighs no more than one text.
 4. Bins with equal cores but unequal flanks are joined into one text, each core a symbol of its own, and the intervals
-   of its Burrows-Wheeler transform are expanded up to the length at which a core and its flanks make a whole string. Groups of more than ``GROUP``
-   different flanks aren't gathered in a task: their strings are counted by hash, a row each, in an aggregate.
+   of its Burrows-Wheeler transform are expanded up to the length at which a core and its flanks make a whole string. A core with more than
+   ``GROUP`` different flanks isn't gathered in a task: the half of each string's flanks next to the core joins it, which deals the group by
+   longer cores; equal ones are counted together again, and the same step follows. After six steps no flank is left, so that a core has one.
 5. The repeated starts, as intervals, are joined back to the texts, and the digests or the remaining text are made.
 
 Passages can be counted in words instead of bytes: every word becomes its 64-bit hash, a symbol like a byte, and strings of so many symbols are looked for.
@@ -159,8 +160,8 @@ def _span_rows(id1: np.ndarray, id2: np.ndarray, owner: np.ndarray, number: np.n
     )
 
 
-def _expand(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.RecordBatch]:
-    """Repeated starts of bins, whose rows come sorted by core: (id1, id2, first start, last start), counted within the bin."""
+def _expand(batches: Iterator[pa.RecordBatch], scale: Scale, depth: int) -> Iterator[pa.RecordBatch]:
+    """Repeated starts of bins, whose rows come sorted by core: (id1, id2, first start, last start), counted within the bin. depth: symbols of a string, its core as one."""
     held: list[tuple] = []
     size = 0
     kind = np.uint8 if scale.unit == 1 else np.dtype("<u8")
@@ -183,7 +184,7 @@ def _expand(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.Reco
         owner = np.repeat(np.arange(len(rows)), n)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         weights = np.minimum(np.array([r[5] for r in rows]), 2)[owner]
-        found = repeated_windows(text, base[owner] + number, weights, scale.bin)
+        found = repeated_windows(text, base[owner] + number, weights, depth)
         return _span_rows(np.array([r[6] for r in rows]), np.array([r[7] for r in rows]), owner[found], number[found])
 
     for batch in batches:
@@ -198,17 +199,48 @@ def _expand(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.Reco
         yield settle(held)
 
 
-def _strings(batches: Iterator[pa.RecordBatch], scale: Scale) -> Iterator[pa.RecordBatch]:
-    """A row for every start of a bin, with a 128-bit hash of its string."""
-    for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for high, low, left, right, n, m, id1, id2 in zip(*[_column(batch, c).to_pylist() for c in ("high", "low", "left", "right", "n", "m", "id1", "id2")], strict=True):
-            for j in range(n):
-                head = left[j * scale.unit :]
-                string = hashlib.blake2b(head + right[: (scale.bin - 1) * scale.unit - len(head)] + bytes([len(head) // scale.unit]) + high.to_bytes(8, "little", signed=True) + low.to_bytes(8, "little", signed=True), digest_size=16)
-                for column, value in zip(out, (string.digest(), id1, id2, j, min(m, 2)), strict=True):
-                    column.append(value)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), *(pa.array(c, pa.int64()) for c in out[1:])], names=["string", "id1", "id2", "j", "m"])
+def _halved(bins: DataFrame, flank: int, unit: int) -> DataFrame:
+    """Every bin as at most two with larger cores. flank: symbols of each string beside the core, on either side together.
+
+    A string with half of them on the left has those next to the core added to it, any other one has as many on the right. Equal strings get
+    equal cores, and half of the flank is left. from_start: number of the first start in the bin that was dealt.
+    """
+    half = (flank + 1) // 2
+    left, right = F.octet_length("left") / unit, F.octet_length("right") / unit
+    cut = bins.withColumns({"l": left.cast("long"), "r": right.cast("long")}).withColumn("k", F.least("n", F.greatest(F.col("l") - half + 1, F.lit(0))))
+
+    def part(condition: str, side: int, left: str, inner: str, right: str, n: str, base: str) -> DataFrame:
+        key = [F.col("high"), F.col("low"), F.lit(side), F.expr(inner)]
+        return cut.where(condition).select(
+            F.xxhash64(*key).alias("high"), F.xxhash64(F.lit(47), *key).alias("low"), F.expr(left).alias("left"), F.expr(right).alias("right"),
+            F.expr(n).alias("n"), "m", "id1", "id2", F.expr(base).alias("from_start"),
+        )
+
+    symbols = lambda name, first, count: f"substring({name}, cast(({first}) * {unit} + 1 as int), cast(({count}) * {unit} as int))"
+    by_left = part("k > 0", 0, symbols("left", "0", f"l - {half}"), symbols("left", f"l - {half}", str(half)), symbols("right", "0", "r - n + k"), "k", "from_start")
+    by_right = part("k < n", 1, symbols("left", "k", "l - k"), symbols("right", "0", str(half)), symbols("right", str(half), f"r - {half}"), "n - k", "from_start + k")
+    return by_left.union(by_right)
+
+
+def _expanded(bins: DataFrame, scale: Scale, flank: int, names: tuple[str, ...]) -> DataFrame:
+    """Spans of starts of bins that occur elsewhere too. Cores with more than ``GROUP`` different flanks are made longer, again and again, until none has so many."""
+    cores = bins.groupBy("high", "low").agg(F.count("*").alias("different"), F.min("m").alias("fewest"))
+    cores = written(cores.where("different > 1 and fewest = 1").select("high", "low", "different"), "mixed-cores")
+    mixed = bins.join(cores.where(F.col("different") <= GROUP).drop("different"), ["high", "low"], "left_semi")
+    gathered = mixed.repartition("high", "low").sortWithinPartitions("high", "low")
+    spans = gathered.mapInArrow(partial(_expand, scale=scale, depth=flank + 1), _SPANS)
+    everywhere = bins.where("m > 1").select("id1", "id2", F.lit(0).cast("long").alias("from_start"), (F.col("n") - 1).alias("to_start"))
+    spans = spans.join(everywhere.select("id1", "id2"), ["id1", "id2"], "left_anti").union(everywhere)
+    large = cores.where(F.col("different") > GROUP)
+    if large.isEmpty():
+        return spans
+    most = bins.join(large.drop("different"), ["high", "low"], "left_semi").withColumn("from_start", F.lit(0).cast("long"))
+    parts = _halved(most, flank, scale.unit).withColumnsRenamed({"id1": "own1", "id2": "own2"})
+    parts = written(parts.withColumns({"id1": F.xxhash64(*names), "id2": F.xxhash64(F.lit(43), *names)}), "longer-cores")
+    again = written(parts.groupBy(*names, "id1", "id2", "n").agg(F.sum("m").alias("m")), "different-longer-cores")
+    found = _expanded(again, scale, flank - (flank + 1) // 2, names).withColumnRenamed("from_start", "first")
+    placed = parts.select("own1", "own2", "id1", "id2", "from_start").join(found, ["id1", "id2"])
+    return spans.union(placed.select(F.col("own1").alias("id1"), F.col("own2").alias("id2"), (F.col("from_start") + F.col("first")).alias("from_start"), (F.col("from_start") + F.col("to_start")).alias("to_start")))
 
 
 class Filter:
@@ -249,15 +281,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = Fal
 
     bins = contexts.groupBy(*names, "id1", "id2", "n").agg(F.count("*").alias("m"))
     bins = written(bins, "different-bins")
-    cores = bins.groupBy("high", "low").agg(F.count("*").alias("different"), F.min("m").alias("fewest"), F.sum("m").alias("all"))
-    mixed = bins.join(cores.where("different > 1 and fewest = 1"), ["high", "low"]).select(*names, "n", "m", "id1", "id2", "different")
-    gathered = mixed.where(F.col("different") <= GROUP).drop("different").repartition("high", "low").sortWithinPartitions("high", "low")
-    spans = gathered.mapInArrow(partial(_expand, scale=scale), _SPANS)
-    strings = mixed.where(F.col("different") > GROUP).drop("different").mapInArrow(partial(_strings, scale=scale), "string binary, id1 long, id2 long, j long, m long")
-    often = strings.groupBy("string").agg(F.sum("m").alias("times")).where("times > 1")
-    counted = strings.join(often, "string").select("id1", "id2", F.col("j").alias("from_start"), F.col("j").alias("to_start"))
-    everywhere = bins.where("m > 1").select("id1", "id2", F.lit(0).cast("long").alias("from_start"), (F.col("n") - 1).alias("to_start"))
-    spans = spans.join(everywhere.select("id1", "id2"), ["id1", "id2"], "left_anti").union(counted.join(everywhere.select("id1", "id2"), ["id1", "id2"], "left_anti")).union(everywhere)
+    spans = _expanded(bins, scale, scale.bin - 1, names)
     placed = contexts.select("id1", "id2", "k1", "k2", "first").join(spans, ["id1", "id2"])
     placed = placed.select("k1", "k2", F.struct((F.col("first") + F.col("from_start")).alias("from"), (F.col("first") + F.col("to_start") + length).alias("to")).alias("span"))
     starts = placed.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))  # no more than the text has bytes
