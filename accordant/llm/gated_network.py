@@ -1,4 +1,7 @@
-"""A gated recurrent network over word classes in numpy: training by truncated backpropagation, scoring in lanes.
+"""A gated recurrent network over word classes, and over words within a class, in numpy: training by truncated backpropagation, scoring in lanes.
+
+The state is read by two softmax outputs: one over classes, and one within the class over its slots, each with learned weights.
+A slot of -1 says that the class has but one word. Without slots, only classes are told.
 
 Documents are laid end to end in lanes of about equal length that advance together. The state of a lane is reset where
 a document starts and otherwise carried on, across the windows of the truncated gradient too, so the
@@ -12,25 +15,31 @@ from collections.abc import Iterator
 
 import numpy as np
 
-NAMES = ("embed", "recur", "bias", "output", "output_bias")
+NAMES = ("embed", "recur", "bias", "output", "output_bias", "inner", "inner_bias")
 
 
-def new_network(classes: int, width: int, frequency: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
+def new_network(classes: int, width: int, frequency: np.ndarray, seed: int = 3, inner_bias: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """inner_bias: logits of the slots of each class to start from."""
     rng = np.random.default_rng(seed)
     shape = {"embed": (classes, 3 * width), "recur": (width, 3 * width), "bias": (3 * width,), "output": (width, classes)}
     net = {k: rng.normal(0, 0.3 if k == "embed" else 0.15, s).astype(np.float32) for k, s in shape.items()}
     net["bias"][:width] = 1.0  # keep most of the state at first
     net["output_bias"] = np.log(np.maximum(frequency, 1e-9)).astype(np.float32)
+    if inner_bias is not None:
+        net["inner"] = np.zeros((classes, width, inner_bias.shape[1]), np.float32)
+        net["inner_bias"] = inner_bias.astype(np.float32)
     return net
 
 
 def flatten(net: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([net[k].ravel() for k in NAMES])
+    return np.concatenate([net[k].ravel() for k in NAMES if k in net])
 
 
 def restore(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for k in NAMES:
+        if k not in like:
+            continue
         out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
         at += like[k].size
     return out
@@ -89,8 +98,20 @@ def _step(net: dict[str, np.ndarray], given: np.ndarray, h: np.ndarray) -> tuple
     return candidate + keep * (h - candidate), keep, reset, candidate, from_state[:, 2 * w :]
 
 
-def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets: np.ndarray, start: int, most_lanes: int = 512, window_rows: int = 16384) -> np.ndarray:
-    """Natural log of the probability of every token's class given its document before it. ``start``: class that stands before a document."""
+def _within_classes(net: dict[str, np.ndarray], state: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(class, rows of it that have a slot, logits of its slots less the largest) for every class that is there."""
+    rows = np.flatnonzero(slots >= 0)
+    rows = rows[np.argsort(classes[rows], kind="stable")]
+    for own in np.split(rows, np.flatnonzero(np.diff(classes[rows])) + 1) if len(rows) else ():
+        k = int(classes[own[0]])
+        logits = state[own] @ net["inner"][k]
+        logits += net["inner_bias"][k]
+        logits -= logits.max(axis=1, keepdims=True)
+        yield k, own, logits
+
+
+def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets: np.ndarray, start: int, most_lanes: int = 512, window_rows: int = 16384, slots: np.ndarray | None = None) -> np.ndarray:
+    """Natural log of the probability of every token's class, with slots also of its slot in the class, given its document before it. ``start``: class that stands before a document."""
     out = np.zeros(len(classes), dtype=np.float32)
     if not len(classes):
         return out
@@ -111,7 +132,12 @@ def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets:
             logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(at)), classes[at]].copy()
         np.exp(logits, out=logits)
-        out[at] = own - np.log(logits.sum(axis=1))
+        own -= np.log(logits.sum(axis=1))
+        if slots is not None:
+            for _, rows_of, inner in _within_classes(net, state, classes[at], slots[at]):
+                chosen = inner[np.arange(len(rows_of)), slots[at[rows_of]]]
+                own[rows_of] += chosen - np.log(np.exp(inner).sum(axis=1))
+        out[at] = own
 
     for t in range(len(place)):
         n = int(alive[t])
@@ -143,7 +169,7 @@ class Trainer:
         self.square = {k: np.zeros_like(v) for k, v in net.items()}
         self.updates = 0
 
-    def learn(self, classes: np.ndarray, offsets: np.ndarray, most_lanes: int = 256) -> float:
+    def learn(self, classes: np.ndarray, offsets: np.ndarray, most_lanes: int = 256, slots: np.ndarray | None = None) -> float:
         """One pass over some documents; returns the mean loss of a token."""
         if not len(classes):
             return 0.0
@@ -155,11 +181,11 @@ class Trainer:
         for low in range(0, len(place), self.length):
             high = min(low + self.length, len(place))
             n = int(alive[low])
-            h, before, got = self._window(place[low:high, :n], fresh[low:high, :n], h[:n], before[:n], classes)
+            h, before, got = self._window(place[low:high, :n], fresh[low:high, :n], h[:n], before[:n], classes, slots)
             loss += got
         return loss / len(classes)
 
-    def _window(self, place: np.ndarray, fresh: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    def _window(self, place: np.ndarray, fresh: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray, slots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
         net, width = self.net, h.shape[1]
         table = net["embed"] + net["bias"]
         trace = []
@@ -187,7 +213,20 @@ class Trainer:
         logits[rows, wanted] -= 1
         logits *= (mask / max(1, mask.sum()))[:, None].astype(np.float32)
         grad = {"output": states.T @ logits, "output_bias": logits.sum(axis=0)}
-        back = (logits @ net["output"].T).reshape(len(place), -1, width)
+        back = logits @ net["output"].T
+        if slots is not None:
+            grad |= {k: np.zeros_like(net[k]) for k in ("inner", "inner_bias")}
+            taken = np.where(mask, slots[np.maximum(place, 0)].ravel(), -1)
+            for k, own, inner in _within_classes(net, states, wanted, taken):
+                np.exp(inner, out=inner)
+                inner /= inner.sum(axis=1, keepdims=True)
+                at = np.arange(len(own)), taken[own]
+                loss -= float(np.log(np.maximum(inner[at], 1e-30)).sum())
+                inner[at] -= 1
+                inner /= np.float32(mask.sum())
+                grad["inner"][k], grad["inner_bias"][k] = states[own].T @ inner, inner.sum(axis=0)
+                back[own] += inner @ net["inner"][k].T
+        back = back.reshape(len(place), -1, width)
         flow = np.zeros_like(h)
         given = np.zeros((len(place), h.shape[0], 3 * width), np.float32)
         recur = np.zeros_like(net["recur"])

@@ -1,10 +1,11 @@
 """Document log-likelihoods by a gated recurrent language model with a class-factored output softmax.
 
 The probability of a word is that of its class, given the whole document before it, times that of the word
-in its class. The classes: a softmax output of a gated recurrent network (``gated_network``), trained by truncated
-backpropagation in numpy, its state carried across windows. Within a class: a softmax whose logits are log(count + 1/2),
-with one more place for all words unseen in training. A class is one of the most frequent words alone, or
-all words with the same last two bytes, or the rest.
+in its class. Both are softmax outputs of a gated recurrent network (``gated_network``), trained by truncated
+backpropagation in numpy, its state carried across windows. A class is one of the most frequent words alone, or
+all words with the same last two bytes, or the rest. Within a class, each of its ``SLOTS - 1`` most frequent words has a slot with learned
+weights, which start at log(count + 1/2); the last slot takes the class's other words, which share it by
+their count + 1/2, with one more place for all words unseen in training.
 
 What is learned covers every training document: the counts of all words (a distributed table), the classes (from those counts)
 and the weights. For the weights the driver warms up on ``WARM_DOCUMENTS`` documents, then every trainer task takes
@@ -13,7 +14,7 @@ distributed sum. The average is what scores; the warm-up weights are only where
 trainers and tokens it is made of.
 
 Counts of the ``LOOKUP`` most frequent words are looked up in memory while scoring; all other words of a document are joined
-to the counts table, so the result is the same for any size of the lookup.
+to the counts table, so the result is the same for any size of the lookup. Words of a class or slot of their own are always looked up.
 
 Words are known by a 64-bit hash of their bytes. Defined results: a null or empty text is the end token alone; every
 input row gives one row; other columns are ignored; without training documents all words are unseen.
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from accordant.llm.gated_network import Trainer, flatten, log_probabilities, new_network, restore
@@ -40,6 +41,8 @@ FREQUENT_CLASSES = 64
 ENDING_CLASSES = 63
 CLASSES = FREQUENT_CLASSES + ENDING_CLASSES + 1
 WIDTH = 16
+#: Slots of a class: its most frequent words, and one for the others.
+SLOTS = 32
 #: Words whose counts a task holds, at most (12 bytes each).
 LOOKUP = 1 << 19
 WARM_DOCUMENTS = 300
@@ -63,6 +66,9 @@ class Vocabulary:
     ending_class: np.ndarray  # class by the last two bytes
     class_total: np.ndarray
     class_words: np.ndarray
+    named: np.ndarray  # sorted codes of the words with a slot
+    named_slot: np.ndarray
+    slot_bias: np.ndarray  # by class and slot
     tables: list[tuple[int, np.ndarray]] = field(default_factory=list)
 
     @property
@@ -102,10 +108,23 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.frequent, code), len(self.frequent) - 1)
         return np.where(self.frequent[at] == code, at, self.ending_class[ending])
 
-    def log_within(self, count: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """log10 of the word's share of its class, less log10(count + 1/2) where the count is unknown (-1)."""
+    def slots(self, code: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Slot of each word in its class ``own``, -1 in a class of one word."""
+        out = np.full(len(code), -1, dtype=np.int64)
+        several = np.flatnonzero(own >= len(self.frequent))
+        out[several] = self.slot_bias.shape[1] - 1
+        if len(self.named):
+            words = code[several]
+            at = np.minimum(np.searchsorted(self.named, words), len(self.named) - 1)
+            hit = self.named[at] == words
+            out[several[hit]] = self.named_slot[at[hit]]
+        return out
+
+    def log_within(self, count: np.ndarray, own: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """log10 of the word's share of its slot, less log10(count + 1/2) where the count is unknown (-1)."""
         above = np.where(count >= 0, np.log10(np.maximum(count, 0) + 0.5), 0.0)
-        return np.where(own < len(self.frequent), 0.0, above - np.log10(self.class_total[own] + 0.5 * (self.class_words[own] + 1)))
+        last = self.slot_bias.shape[1] - 1
+        return np.where(slot == last, above - self.slot_bias[own, last] / np.log(10), 0.0)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -175,7 +194,8 @@ def build_vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
     held = counts.where(level >= least if least is not None else F.lit(False)).select("code", "c").toArrow()
     code, count = held.column("code").to_numpy().view(np.uint64), held.column("c").to_numpy()
     frequent = np.array(sorted(frequent), dtype=np.uint64)
-    by_ending = counts.where(~F.col("code").isin([int(np.int64(np.uint64(x))) for x in frequent.view(np.int64)])).groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most 65536 rows
+    several = counts.where(~F.col("code").isin([int(x) for x in frequent.view(np.int64)]))
+    by_ending = several.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # at most 65536 rows
     ranked = sorted(by_ending, key=lambda r: (-r.c, r.ending))
     room = CLASSES - 1 - len(frequent)
     ending_class = np.full(65536, CLASSES - 1, dtype=np.int64)
@@ -190,27 +210,52 @@ def build_vocabulary(counts: DataFrame, lookup: int = LOOKUP) -> Vocabulary:
     if END_CODE not in {int(r.code) % 2**64 for r in most}:
         times[END_CODE] = next((r.c for r in counts.where(F.col("code") == int(np.array(END_CODE, np.uint64).astype(np.int64))).collect()), 0)
     class_total[: len(frequent)] = [times[x] for x in frequent.tolist()]
+    named, named_slot, slot_bias = _slots(several, ending_class, class_total, class_words)
+    # words of a class or slot of their own are held whatever the room
+    code = np.concatenate([code, frequent, named[0]])
+    count = np.concatenate([count, np.array([times[x] for x in frequent.tolist()], np.int64), named[1]])
+    code, first = np.unique(code, return_index=True)
+    return Vocabulary(int(sums.n), int(sums.v), code, count[first], frequent, ending_class, class_total, class_words, named[0], named_slot, slot_bias)
+
+
+def _slots(several: DataFrame, ending_class: np.ndarray, class_total: np.ndarray, class_words: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """((codes, counts), slots) of the most frequent words of each class of several words, sorted by code, and the logits of all slots by count."""
+    own = [(F.lit(int(e)), F.lit(int(ending_class[e]))) for e in np.flatnonzero(ending_class < CLASSES - 1)]  # an ending for each class but the last
+    class_of = F.lit(CLASSES - 1)
+    if own:
+        class_of = F.coalesce(F.create_map(*[x for pair in own for x in pair])[F.col("ending").cast("int")], class_of)
+    place = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("c"), "code"))  # a task sends no more than the first of each class
+    rows = several.withColumn("class", class_of).withColumn("place", place).where(F.col("place") < SLOTS).select("class", "place", "code", "c").collect()
+    bias = np.full((CLASSES, SLOTS), -1e4)
+    total, words = class_total.copy(), class_words.copy()
+    for r in rows:
+        bias[r["class"], r.place - 1] = np.log(r.c + 0.5)
+        total[r["class"]] -= r.c
+        words[r["class"]] -= 1
+    bias[:, -1] = np.log(total + 0.5 * (words + 1))
+    code = np.array([r.code for r in rows], np.int64).view(np.uint64)
     order = np.argsort(code)
-    return Vocabulary(int(sums.n), int(sums.v), code[order], count[order], frequent, ending_class, class_total, class_words)
+    return (code[order], np.array([r.c for r in rows], np.int64)[order]), np.array([r.place - 1 for r in rows], np.int64)[order], bias
 
 
 def _train(vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trainer, seen = Trainer(net, vocabulary.end_class, rate=0.004), 0
-        held, sizes = [], []
+        held, slots, sizes = [], [], []
 
         def learn() -> None:
-            trainer.learn(np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]))
+            trainer.learn(np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), slots=np.concatenate(slots))
 
         waiting = 0
         for _, _, _, code, ending, edges in _texts(batches):
             held.append(vocabulary.classes(code, ending))
+            slots.append(vocabulary.slots(code, held[-1]))
             sizes.append(np.diff(edges))
             seen += len(code)
             waiting += len(code)
             if waiting >= TOKENS_AT_ONCE:
                 learn()
-                held, sizes, waiting = [], [], 0
+                held, slots, sizes, waiting = [], [], [], 0
         if held:
             learn()
         if seen:
@@ -224,19 +269,20 @@ def train(training: DataFrame, vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     """Weights learned from all training documents."""
     texts = training.select("doc_id", "text")
     frequency = (vocabulary.class_total + 0.5) / (vocabulary.class_total + 0.5).sum()
-    net = new_network(CLASSES, WIDTH, frequency)
+    net = new_network(CLASSES, WIDTH, frequency, inner_bias=vocabulary.slot_bias)
     sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCUMENTS).select("text").toPandas()["text"].tolist()
     if not sample:
         return net
-    held, sizes = [], []
+    held, slots, sizes = [], [], []
     for _, _, data, offsets in text_chunks(pa.array(sample, pa.string())):
         code, ending, edges = _tokens(data, offsets)
         held.append(vocabulary.classes(code, ending))
+        slots.append(vocabulary.slots(code, held[-1]))
         sizes.append(np.diff(edges))
     classes, edges = np.concatenate(held), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
     warm = Trainer(net, vocabulary.end_class)
     for _ in range(3):
-        warm.learn(classes, edges, most_lanes=32)
+        warm.learn(classes, edges, most_lanes=32, slots=np.concatenate(slots))
     shares = training.select("text")
     shares = shares.coalesce(max(1, -(-shares.rdd.getNumPartitions() // SHARES_PER_TRAINER)))
     parts = shares.mapInArrow(_train(vocabulary, warm.net), "weights array<double>")
@@ -257,7 +303,7 @@ def _score(vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> Callable[[Iter
             edges = np.concatenate([[0], np.cumsum(sizes)])
             classes = np.concatenate([h[1] for h in held])
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            chance = log_probabilities(net, classes, edges, vocabulary.end_class).astype(np.float64) / np.log(10)
+            chance = log_probabilities(net, classes, edges, vocabulary.end_class, slots=np.concatenate([h[8] for h in held])).astype(np.float64) / np.log(10)
             total = lambda x: np.bincount(doc, x, len(sizes))
             within, base, known = (np.concatenate([h[k] for h in held]) for k in (2, 5, 6))
             rare = np.concatenate([h[3] for h in held])
@@ -278,10 +324,11 @@ def _score(vocabulary: Vocabulary, net: dict[str, np.ndarray]) -> Callable[[Iter
         for batch, at, to, code, ending, edges in _texts(batches):
             count = vocabulary.look_up(code)
             own = vocabulary.classes(code, ending)
+            slot = vocabulary.slots(code, own)
             unknown = count < 0
             base = np.where(unknown, 0.0, np.log10(np.maximum(count, 0) + 0.5)) - floor
             ids = batch.column(batch.schema.get_field_index("doc_id")).slice(at, to - at)
-            held.append((ids, own, vocabulary.log_within(count, own), code[unknown], np.diff(edges), base, (count > 0).astype(np.float64), unknown))
+            held.append((ids, own, vocabulary.log_within(count, own, slot), code[unknown], np.diff(edges), base, (count > 0).astype(np.float64), unknown, slot))
             waiting += len(code)
             if waiting >= TOKENS_AT_ONCE:
                 yield tell()
