@@ -908,7 +908,7 @@ def dash_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     union all select 'c_nationkey', 'not_null' from (select count(*) as n, count(c_nationkey) as k from c) where n = k
     union all select 'c_mktsegment', 'accepted_values' from (select count(distinct c_mktsegment) as d from c) where d between 1 and 8""")
 def contract_sql_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The SQL tests that a contract inferred from the customers suggests. Ids count as unique while a sketch of them is exact, up to 65,536."""
+    """The SQL tests that a contract inferred from the customers suggests."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), "c_name", "c_mktsegment", "c_nationkey")
     contract = profile.infer_contract(customers, "customers")
     rows = [(c.name, test) for c in contract.clauses for test, _ in sql_tests(c, contract.profiled_rows)]  # a few a column
