@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 
 #: White space for which a cut before it might not be one for the tokenizer's pattern.
 _RARE_BLANK = "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -‏    　﻿]"
+#: Pieces encoded as one text; more at once take longer each.
+JOINED = 500
 #: Distinct pieces that a process remembers; beyond that it starts anew.
 REMEMBERED = 300_000
 #: Bytes of text encoded at once; a single longer text is encoded alone.
@@ -80,30 +82,35 @@ class Encoder:
         """Gives up what is remembered; a task does so at its end, for its process may go on with other work."""
         self.after_space: dict[str, int] = {}
         self.at_start: dict[str, int] = {}
-        self.spaced, self.first = _Table(), _Table()
+        self.table = _Table()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _number(self, pieces: list[str], space: str) -> np.ndarray:
-        """Numbers of the pieces, each after ``space``; new ones are encoded.
+        """Numbers of the pieces, each after ``space``; new ones are encoded."""
+        known = self.after_space if space else self.at_start
+        new = list(dict.fromkeys(x for x in pieces if x not in known))
+        if new:
+            self._learn(new, space, known)
+        return np.fromiter(map(known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+
+    def _learn(self, new: list[str], space: str, known: dict[str, int]) -> None:
+        """Encodes new pieces.
 
         Pieces after a space are encoded as one text, and the bytes that ids stand for tell where each ends; others by themselves."""
-        known = self.after_space if space else self.at_start
-        before = len(known)
-        number = np.fromiter((known.setdefault(x, len(known)) for x in pieces), dtype=np.int64, count=len(pieces))
-        new = list(itertools.islice(known, before, None)) if len(known) > before else []
-        if not new:
-            pass
-        elif space:
-            joined = self._ids([" " + " ".join(new[k : k + 5000]) for k in range(0, len(new), 5000)])
+        if space:
+            joined = self._ids([" " + " ".join(new[k : k + JOINED]) for k in range(0, len(new), JOINED)])
             ids = np.concatenate([np.array(x, dtype=np.uint32) for x in joined])
             ends = np.cumsum(np.fromiter(map(len, map(str.encode, new)), dtype=np.int64, count=len(new)) + 1)
-            self.spaced.add(ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0))
+            self._add(new, known, ids, np.diff(np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1, prepend=0))
         else:
             each = self._ids(new)
-            self.first.add(np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint32), np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
-        return number
+            self._add(new, known, np.fromiter(itertools.chain.from_iterable(each), dtype=np.uint32), np.fromiter(map(len, each), dtype=np.int64, count=len(each)))
+
+    def _add(self, new: list[str], known: dict[str, int], flat: np.ndarray, size: np.ndarray) -> None:
+        known.update(zip(new, range(len(self.table.size), len(self.table.size) + len(new)), strict=True))
+        self.table.add(flat, size)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of every text; null is an empty text."""
@@ -121,15 +128,9 @@ class Encoder:
         edges = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         at = coded.indices.to_numpy()
-        is_first = np.zeros(len(at), dtype=bool)
-        is_first[edges[:-1]] = True
-        ids, size = self.spaced.gather(self._number(coded.dictionary.to_pylist(), " ")[at[~is_first]])
-        heads, head_size = self.first.gather(self._number(words.flatten().take(pa.array(edges[:-1])).to_pylist(), ""))  # no space before them
-        each = np.empty(len(at), dtype=np.int64)
-        each[is_first], each[~is_first] = head_size, size
-        all_ids = np.empty(len(ids) + len(heads), dtype=np.uint32)
-        of_heads = np.repeat(is_first, each)
-        all_ids[of_heads], all_ids[~of_heads] = heads, ids
+        number = self._number(coded.dictionary.to_pylist(), " ")[at]
+        number[edges[:-1]] = self._number(words.flatten().take(pa.array(edges[:-1])).to_pylist(), "")  # no space before them
+        all_ids, each = self.table.gather(number)
         text_edges = np.concatenate([[0], np.cumsum(each)])[edges]
         for k, i in enumerate(cut):
             out[i] = all_ids[text_edges[k] : text_edges[k + 1]]
