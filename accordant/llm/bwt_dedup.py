@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from accordant.llm.bwt_intervals import repeated_windows
 from accordant.llm.repeat_windows import BYTES, WORDS, Runs, Scale, deal_into_bins, find_runs, sums
-from accordant.llm.shared import find_words, text_chunks, text_keys, written
+from accordant.llm.shared import Tables, find_words, text_chunks, text_keys
 
 LENGTH = 400
 #: Words of a passage whose repeats are told beside those of strings.
@@ -222,10 +222,10 @@ def _halved(bins: DataFrame, flank: int, unit: int) -> DataFrame:
     return by_left.union(by_right)
 
 
-def _expanded(bins: DataFrame, scale: Scale, flank: int, names: tuple[str, ...]) -> DataFrame:
+def _expanded(tables: Tables, bins: DataFrame, scale: Scale, flank: int, names: tuple[str, ...]) -> DataFrame:
     """Spans of starts of bins that occur elsewhere too. Cores with more than ``GROUP`` different flanks are made longer, again and again, until none has so many."""
     cores = bins.groupBy("high", "low").agg(F.count("*").alias("different"), F.min("m").alias("fewest"))
-    cores = written(cores.where("different > 1 and fewest = 1").select("high", "low", "different"), "mixed-cores")
+    cores = tables.write(cores.where("different > 1 and fewest = 1").select("high", "low", "different"), "mixed-cores")
     mixed = bins.join(cores.where(F.col("different") <= GROUP).drop("different"), ["high", "low"], "left_semi")
     gathered = mixed.repartition("high", "low").sortWithinPartitions("high", "low")
     spans = gathered.mapInArrow(partial(_expand, scale=scale, depth=flank + 1), _SPANS)
@@ -236,9 +236,9 @@ def _expanded(bins: DataFrame, scale: Scale, flank: int, names: tuple[str, ...])
         return spans
     most = bins.join(large.drop("different"), ["high", "low"], "left_semi").withColumn("from_start", F.lit(0).cast("long"))
     parts = _halved(most, flank, scale.unit).withColumnsRenamed({"id1": "own1", "id2": "own2"})
-    parts = written(parts.withColumns({"id1": F.xxhash64(*names), "id2": F.xxhash64(F.lit(43), *names)}), "longer-cores")
-    again = written(parts.groupBy(*names, "id1", "id2", "n").agg(F.sum("m").alias("m")), "different-longer-cores")
-    found = _expanded(again, scale, flank - (flank + 1) // 2, names).withColumnRenamed("from_start", "first")
+    parts = tables.write(parts.withColumns({"id1": F.xxhash64(*names), "id2": F.xxhash64(F.lit(43), *names)}), "longer-cores")
+    again = tables.write(parts.groupBy(*names, "id1", "id2", "n").agg(F.sum("m").alias("m")), "different-longer-cores")
+    found = _expanded(tables, again, scale, flank - (flank + 1) // 2, names).withColumnRenamed("from_start", "first")
     placed = parts.select("own1", "own2", "id1", "id2", "from_start").join(found, ["id1", "id2"])
     return spans.union(placed.select(F.col("own1").alias("id1"), F.col("own2").alias("id2"), (F.col("from_start") + F.col("first")).alias("from_start"), (F.col("from_start") + F.col("to_start")).alias("to_start")))
 
@@ -259,9 +259,11 @@ class Filter:
         return (self.bits[(place >> np.uint64(5)).astype(np.int64)] >> (place & np.uint64(31)).astype(np.uint32)) & np.uint32(1) > 0
 
 
-def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False) -> DataFrame:
+def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = False, tables: Tables | None = None) -> DataFrame:
     """verdicts(k1, k2, whole, spans): texts with repeats; spans are intervals [from, to) of bytes that go, unless all do. k1 and k2 name the text.
-    With words, length and spans are in words, and whole tells of a text that several rows have, be it long enough or not."""
+    With words, length and spans are in words, and whole tells of a text that several rows have, be it long enough or not.
+    tables: what writes the result, which stays until it is dropped there; what steps write goes with the step that reads it last."""
+    tables, steps = tables or Tables(documents.sparkSession), Tables(documents.sparkSession)
     scale = WORDS if words else BYTES
     source = documents.select(*text_keys("text"), F.coalesce("text", F.lit("")).alias("text"))
     long_enough = source.where(F.octet_length("text") >= (2 * length - 1 if words else length))
@@ -270,23 +272,26 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, words: bool = Fal
     anchors = long_enough.mapInArrow(_anchors(length, scale), "code long, k1 long, k2 long, c long")
     anchors = anchors.repartition("code").groupBy("code", "k1", "k2").agg(F.max("c").alias("c"))  # one shuffle serves both that follow
     several = anchors.groupBy("code").agg(F.sum("c").alias("times")).where("times > 1")
-    needed = written(anchors.join(several, "code").groupBy("k1", "k2").agg(F.collect_list("code").alias("codes")), "anchors")
+    needed = steps.write(anchors.join(several, "code").groupBy("k1", "k2").agg(F.collect_list("code").alias("codes")), "anchors")
 
     found = source.mapInArrow(_needed_texts(Filter(needed)), "k1 long, k2 long, text string")
     found = found.join(needed, ["k1", "k2"]).dropDuplicates(["k1", "k2"])
     contexts = found.mapInArrow(_contexts(length, scale), "high long, low long, left binary, right binary, k1 long, k2 long, first long, n long")
     names = ("high", "low", "left", "right")
     contexts = contexts.withColumns({"id1": F.xxhash64(*names), "id2": F.xxhash64(F.lit(43), *names)})
-    contexts = written(contexts, "bins")
+    contexts = steps.write(contexts, "bins")
+    steps.drop("anchors")
 
     bins = contexts.groupBy(*names, "id1", "id2", "n").agg(F.count("*").alias("m"))
-    bins = written(bins, "different-bins")
-    spans = _expanded(bins, scale, scale.bin - 1, names)
+    bins = steps.write(bins, "different-bins")
+    spans = _expanded(steps, bins, scale, scale.bin - 1, names)
     placed = contexts.select("id1", "id2", "k1", "k2", "first").join(spans, ["id1", "id2"])
     placed = placed.select("k1", "k2", F.struct((F.col("first") + F.col("from_start")).alias("from"), (F.col("first") + F.col("to_start") + length).alias("to")).alias("span"))
     starts = placed.groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))  # no more than the text has bytes
     verdicts = starts.join(whole.withColumn("whole", F.lit(True)), ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "spans")
-    return written(verdicts, "repeats")
+    out = tables.write(verdicts, "repeats")
+    steps.drop()
+    return out
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -380,11 +385,14 @@ def removal_digests(documents: DataFrame, length: int = LENGTH, words: int | Non
 
 def _both_verdicts(documents: DataFrame, length: int, words: int | None) -> DataFrame:
     """(k1, k2, whole, spans, whole_too, passages): what goes by bytes, and what by words."""
-    by_bytes = repeated_spans(documents, length)
+    tables = Tables(documents.sparkSession)
+    by_bytes = repeated_spans(documents, length, tables=tables)
     if words is None:
         return by_bytes.withColumns({"whole_too": F.lit(False), "passages": F.lit(None).cast(by_bytes.schema["spans"].dataType)})
-    by_words = repeated_spans(documents, words, words=True).withColumnsRenamed({"whole": "whole_too", "spans": "passages"})
-    return written(by_bytes.join(by_words, ["k1", "k2"], "full"), "all-repeats")
+    by_words = repeated_spans(documents, words, words=True, tables=tables).withColumnsRenamed({"whole": "whole_too", "spans": "passages"})
+    out = Tables(documents.sparkSession).write(by_bytes.join(by_words, ["k1", "k2"], "full"), "all-repeats")
+    tables.drop()
+    return out
 
 
 def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
