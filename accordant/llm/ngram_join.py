@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.llm.components import connected_components
-from accordant.llm.shared import Tables, find_words, mix, text_chunks, text_keys, word_windows, written
+from accordant.llm.shared import ROW_GROUP, Tables, find_words, mix, text_chunks, text_keys, word_windows, written
 
 #: An n-gram is frequent from more list entries than this on.
 RARE = 64
@@ -228,7 +228,7 @@ def _may_link(size: Column, percent: int, suffixes: tuple[str, str] = ("_x", "_y
 def _checked(tables: Tables, members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the pairs(a, b) that link, by their whole sets."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    whole = tables.write(members.select(F.col("row").alias("id"), "own").join(wanted, "id", "left_semi"), "whole-sets")
+    whole = tables.write(members.select(F.col("row").alias("id"), "own").join(wanted, "id", "left_semi"), "whole-sets", ROW_GROUP)
     both = pairs.select("a", "b").join(whole.select(F.col("id").alias("a"), F.col("own").alias("left_set")), "a").join(whole.select(F.col("id").alias("b"), F.col("own").alias("right_set")), "b")
     links = tables.write(both.mapInArrow(partial(_linked, percent=percent), "a long, b long"), "links")
     tables.drop("whole-sets")
@@ -280,7 +280,7 @@ def _members_and_edges(tables: Tables, documents: DataFrame, n: int, percent: in
     components and have others of these in their place."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *text_keys("text"))
     schema = "doc_id long, k1 long, k2 long, set_key binary, name long, n long, " + ", ".join(f"{b} long" for b in SKETCHES) + ", wide array<long>, own binary"
-    members = tables.write(docs.mapInArrow(partial(_write_sets, n=n), schema).withColumn("row", F.monotonically_increasing_id()), "sets")
+    members = tables.write(docs.mapInArrow(partial(_write_sets, n=n), schema).withColumn("row", F.monotonically_increasing_id()), "sets", ROW_GROUP)
     sets = members.where("n > 0")
     named = tables.write(sets.groupBy("set_key", "name", "n").agg(F.min("row").alias("id"), F.min("doc_id").alias("rep")), "different-sets")
 

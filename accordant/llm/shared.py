@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -18,8 +19,10 @@ WORD_BREAKS = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 #: Bytes of text handled at once; a single longer text is handled alone.
 CHUNK_BYTES = 1 << 18
 
-#: Rows that go to Python at once.
+#: Rows that go to Python, or are read from a file, at once.
 BATCH_ROWS = 1000
+#: Bytes of a row group where rows are long: a task that writes or reads such a table holds a whole one, in pieces of the heap and in buffers outside it.
+ROW_GROUP = 4 << 20
 
 IS_BREAK = np.zeros(256, dtype=bool)
 IS_BREAK[list(WORD_BREAKS)] = True
@@ -159,14 +162,31 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lets Python have at most ``BATCH_ROWS`` rows at once in this session, as texts may be long, unless the user has set another number than Spark's own."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(setting) == "10000":
-        spark.conf.set(setting, str(BATCH_ROWS))
-
-
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    """Lets Python have, and readers of files hold, at most ``BATCH_ROWS`` rows at once in this session, as texts may be long, unless the user has set
+    another number than Spark's own."""
+    for setting, usual in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"), ("spark.sql.parquet.columnarReaderBatchSize", "4096")):
+        if spark.conf.get(setting) == usual:
+            spark.conf.set(setting, str(BATCH_ROWS))
+
+
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile drops its shuffle files at its end, and doesn't leave them until the driver collects its garbage."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def _write(df: DataFrame, path: str, row_group: int | None = None) -> DataFrame:
+    with _shuffles_dropped(df.sparkSession):
+        (df.write if row_group is None else df.write.option("parquet.block.size", row_group)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -181,10 +201,11 @@ class Tables:
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+        """row_group: bytes of a row group, Spark's own number if it isn't told."""
         path = new_folder(self.spark, name)
         self.paths.setdefault(name, []).append(path)
-        return _write(df, path)
+        return _write(df, path, row_group)
 
     def drop(self, *names: str) -> None:
         """Drops the tables of these names, or all of them."""
