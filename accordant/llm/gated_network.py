@@ -98,16 +98,52 @@ def _step(net: dict[str, np.ndarray], given: np.ndarray, h: np.ndarray) -> tuple
     return candidate + keep * (h - candidate), keep, reset, candidate, from_state[:, 2 * w :]
 
 
+def _by_class(classes: np.ndarray) -> np.ndarray:
+    """Their order, in which equal ones stay as they are; numpy sorts 16 bits by counting."""
+    return np.argsort(classes.astype(np.uint16) if classes.max(initial=0) < 1 << 16 else classes, kind="stable")
+
+
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exponentials of the logits, and their sums, stay well within the range of a float, so that the largest logit needs no care.
+
+    States lie between -1 and 1, so a logit is no farther from its bias than the sum of its weights.
+    """
+    reach = float(np.abs(weights).sum(axis=-2).max())
+    most = bias.max(axis=-1)
+    return reach + float(most.max()) < 60 and float(most.min()) - reach > -60
+
+
+def _with_one(state: np.ndarray) -> np.ndarray:
+    """The states with a one at their end, which meets the bias below the weights: one product gives logits, or the gradients of both."""
+    return np.concatenate([state, np.ones((len(state), 1), state.dtype)], axis=1)
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _logits(state: np.ndarray, weights: np.ndarray, bounded: bool) -> np.ndarray:
+    """Logits of states with a one, less the largest of each row unless they are bounded."""
+    out = state @ weights
+    if not bounded:
+        out -= out.max(axis=1, keepdims=True)
+    return out
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
 def _within_classes(net: dict[str, np.ndarray], state: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(class, rows of it that have a slot, logits of its slots less the largest) for every class that is there."""
+    """(class, rows of it that have a slot, logits of its slots, less the largest unless they are bounded) for every class that is there. state: with a one."""
+    bounded, weights = _bounded(net["inner"], net["inner_bias"]), _with_bias(net["inner"], net["inner_bias"])
     rows = np.flatnonzero(slots >= 0)
-    rows = rows[np.argsort(classes[rows], kind="stable")]
-    for own in np.split(rows, np.flatnonzero(np.diff(classes[rows])) + 1) if len(rows) else ():
-        k = int(classes[own[0]])
-        logits = state[own] @ net["inner"][k]
-        logits += net["inner_bias"][k]
-        logits -= logits.max(axis=1, keepdims=True)
-        yield k, own, logits
+    rows = rows[_by_class(classes[rows])]
+    sorted_classes = classes[rows]
+    edges = [0, *(np.flatnonzero(np.diff(sorted_classes)) + 1).tolist(), len(rows)] if len(rows) else []
+    for low, high in zip(edges, edges[1:], strict=False):
+        k, own = int(sorted_classes[low]), rows[low:high]
+        yield k, own, _logits(state[own], weights[k], bounded)
 
 
 def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets: np.ndarray, start: int, most_lanes: int = 512, window_rows: int = 16384, slots: np.ndarray | None = None) -> np.ndarray:
@@ -121,22 +157,18 @@ def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets:
     h = np.zeros((place.shape[1], width), np.float32)
     before = np.full(place.shape[1], start)
     held, where, rows = [], [], 0
-    # states lie between -1 and 1, so that the largest logit is known and mostly needs no care
-    bounded = float(np.abs(net["output"]).sum(axis=0).max() + np.abs(net["output_bias"]).max()) < 60
+    bounded, output = _bounded(net["output"], net["output_bias"]), _with_bias(net["output"], net["output_bias"])
 
     def settle() -> None:
-        state, at = np.concatenate(held), np.concatenate(where)
-        logits = state @ net["output"]
-        logits += net["output_bias"]
-        if not bounded:
-            logits -= logits.max(axis=1, keepdims=True)
+        state, at = _with_one(np.concatenate(held)), np.concatenate(where)
+        logits = _logits(state, output, bounded)
         own = logits[np.arange(len(at)), classes[at]].copy()
         np.exp(logits, out=logits)
-        own -= np.log(logits.sum(axis=1))
+        own -= np.log(_row_sums(logits))
         if slots is not None:
             for _, rows_of, inner in _within_classes(net, state, classes[at], slots[at]):
                 chosen = inner[np.arange(len(rows_of)), slots[at[rows_of]]]
-                own[rows_of] += chosen - np.log(np.exp(inner).sum(axis=1))
+                own[rows_of] += chosen - np.log(_row_sums(np.exp(inner, out=inner)))
         out[at] = own
 
     for t in range(len(place)):
@@ -203,28 +235,30 @@ class Trainer:
             states = np.concatenate([x[3] + x[1] * (x[0] - x[3]) for x in trace])
         mask = (place >= 0).ravel()
         wanted = classes[np.maximum(place, 0)].ravel()
-        logits = states @ net["output"] + net["output_bias"]
-        logits -= logits.max(axis=1, keepdims=True)
+        states = _with_one(states)
+        logits = _logits(states, _with_bias(net["output"], net["output_bias"]), _bounded(net["output"], net["output_bias"]))
         np.exp(logits, out=logits)
-        total = logits.sum(axis=1)
+        total = _row_sums(logits)
         rows = np.arange(len(wanted))
         loss = float(-(np.log(logits[rows, wanted] / total) * mask).sum())
-        logits /= total[:, None]
-        logits[rows, wanted] -= 1
-        logits *= (mask / max(1, mask.sum()))[:, None].astype(np.float32)
-        grad = {"output": states.T @ logits, "output_bias": logits.sum(axis=0)}
+        share = (mask / max(1, mask.sum())).astype(np.float32)
+        logits *= (share / total)[:, None]
+        logits[rows, wanted] -= share
+        both = states.T @ logits
+        grad = {"output": both[:-1], "output_bias": both[-1]}
         back = logits @ net["output"].T
         if slots is not None:
             grad |= {k: np.zeros_like(net[k]) for k in ("inner", "inner_bias")}
             taken = np.where(mask, slots[np.maximum(place, 0)].ravel(), -1)
             for k, own, inner in _within_classes(net, states, wanted, taken):
                 np.exp(inner, out=inner)
-                inner /= inner.sum(axis=1, keepdims=True)
+                inner /= _row_sums(inner)[:, None]
                 at = np.arange(len(own)), taken[own]
                 loss -= float(np.log(np.maximum(inner[at], 1e-30)).sum())
                 inner[at] -= 1
                 inner /= np.float32(mask.sum())
-                grad["inner"][k], grad["inner_bias"][k] = states[own].T @ inner, inner.sum(axis=0)
+                both = states[own].T @ inner
+                grad["inner"][k], grad["inner_bias"][k] = both[:-1], both[-1]
                 back[own] += inner @ net["inner"][k].T
         back = back.reshape(len(place), -1, width)
         flow = np.zeros_like(h)
@@ -243,15 +277,10 @@ class Trainer:
             flow[fresh[t]] = 0
         flat = given.reshape(-1, 3 * width)
         ids = np.concatenate([x[5] for x in trace])
-        hot = np.zeros((len(net["embed"]), len(ids)), np.float32) if len(ids) * len(net["embed"]) <= 1 << 21 else None
-        if hot is not None:
-            hot[ids, np.arange(len(ids))] = 1
-            grad["embed"] = hot @ flat
-        else:
-            order = np.argsort(ids, kind="stable")
-            values, starts = np.unique(ids[order], return_index=True)
-            grad["embed"] = np.zeros_like(net["embed"])
-            grad["embed"][values] = np.add.reduceat(flat[order], starts)
+        order = _by_class(ids)
+        values, starts = np.unique(ids[order], return_index=True)
+        grad["embed"] = np.zeros_like(net["embed"])
+        grad["embed"][values] = np.add.reduceat(flat[order], starts)
         grad["bias"], grad["recur"] = flat.sum(axis=0), recur
         self._update(grad)
         return h, before, loss
