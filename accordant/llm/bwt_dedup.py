@@ -85,7 +85,7 @@ def _anchors(length: int, scale: Scale) -> Callable[[Iterator[pa.RecordBatch]],
                 told.clear()
             keys, texts = keys[new], _column(batch, "text").filter(pa.array(new))
             for at, _, data, offsets in _symbols(texts, scale):
-                runs = find_runs(data, offsets, length, sums(data, 0), scale.gram)
+                runs = find_runs(data, offsets, length, sums(data, 0), scale.gram(length))
                 order = np.lexsort((runs.code, runs.doc))
                 code, doc = runs.code[order], runs.doc[order]
                 first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
@@ -122,7 +122,7 @@ def _contexts(length: int, scale: Scale) -> Callable[[Iterator[pa.RecordBatch]],
             k1, k2, codes = _column(batch, "k1").to_numpy(), _column(batch, "k2").to_numpy(), _column(batch, "codes")
             for at, _, data, offsets in _symbols(_column(batch, "text"), scale):
                 total = sums(data, 0)
-                runs = find_runs(data, offsets, length, total, scale.gram)
+                runs = find_runs(data, offsets, length, total, scale.gram(length))
                 wanted = np.zeros(len(runs.doc), dtype=bool)
                 edges = np.searchsorted(runs.doc, np.arange(len(offsets)))
                 for i in range(len(offsets) - 1):
@@ -226,9 +226,9 @@ def _expanded(tables: Tables, bins: DataFrame, scale: Scale, flank: int, names:
     """Spans of starts of bins that occur elsewhere too. Cores with more than ``GROUP`` different flanks are made longer, again and again, until none has so many."""
     cores = bins.groupBy("high", "low").agg(F.count("*").alias("different"), F.min("m").alias("fewest"))
     cores = tables.write(cores.where("different > 1 and fewest = 1").select("high", "low", "different"), "mixed-cores")
-    mixed = bins.join(cores.where(F.col("different") <= GROUP).drop("different"), ["high", "low"], "left_semi")
-    gathered = mixed.repartition("high", "low").sortWithinPartitions("high", "low")
-    spans = gathered.mapInArrow(partial(_expand, scale=scale, depth=flank + 1), _SPANS)
+    # bins are dealt by core before the join, so that one shuffle of them serves the join and the tasks that gather
+    mixed = bins.repartition("high", "low").join(cores.where(F.col("different") <= GROUP).drop("different"), ["high", "low"], "left_semi")
+    spans = mixed.sortWithinPartitions("high", "low").mapInArrow(partial(_expand, scale=scale, depth=flank + 1), _SPANS)
     everywhere = bins.where("m > 1").select("id1", "id2", F.lit(0).cast("long").alias("from_start"), (F.col("n") - 1).alias("to_start"))
     spans = spans.join(everywhere.select("id1", "id2"), ["id1", "id2"], "left_anti").union(everywhere)
     large = cores.where(F.col("different") > GROUP)

@@ -16,12 +16,16 @@ from accordant.llm.shared import mix, powers
 
 
 class Scale(NamedTuple):
-    """Bytes of a symbol, symbols of a gram and starts of a bin."""
+    """Bytes of a symbol, symbols of a gram at least and starts of a bin."""
 
     unit: int
-    gram: int
+    least: int
     bin: int
 
+    def gram(self, length: int) -> int:
+        """Symbols of a gram: a quarter of a string, for the shorter a gram, the more often strings share it that share nothing else."""
+        return max(self.least, length // 4)
+
 
 #: Texts as bytes, and as 64-bit hashes of their words.
 BYTES, WORDS = Scale(1, 32, 64), Scale(8, 4, 8)
