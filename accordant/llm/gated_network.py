@@ -88,14 +88,24 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _step(net: dict[str, np.ndarray], given: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """New state from the gates' inputs and the state before; also gates and candidate, for the gradient."""
-    w = h.shape[1]
-    from_state = h @ net["recur"]
-    gates = _sigmoid(given[:, : 2 * w] + from_state[:, : 2 * w])
-    keep, reset = gates[:, :w], gates[:, w:]
-    candidate = np.tanh(given[:, 2 * w :] + reset * from_state[:, 2 * w :])
-    return candidate + keep * (h - candidate), keep, reset, candidate, from_state[:, 2 * w :]
+def _by_gate(net: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs by gate and class, and recurrent weights by gate, each gate's in one piece, so that no product or sum of a step is over strips of 16 numbers."""
+    width = net["recur"].shape[0]
+    split = lambda x: np.ascontiguousarray(x.reshape(len(x), 3, width).transpose(1, 0, 2))
+    return split(net["embed"] + net["bias"]), split(net["recur"])
+
+
+def _step(given: np.ndarray, recur: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """New state from the gates' inputs, by gate, and the state before; also gates and candidate, for the gradient."""
+    from_state = np.matmul(h, recur)
+    keep, reset = _sigmoid(given[:2] + from_state[:2])
+    candidate = reset * from_state[2]
+    candidate += given[2]
+    np.tanh(candidate, out=candidate)
+    new = h - candidate
+    new *= keep
+    new += candidate
+    return new, keep, reset, candidate, from_state[2]
 
 
 def _by_class(classes: np.ndarray) -> np.ndarray:
@@ -153,7 +163,7 @@ def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets:
         return out
     place, fresh, alive = _grid(classes, offsets, most_lanes)
     width = net["recur"].shape[0]
-    table = net["embed"] + net["bias"]
+    table, recur = _by_gate(net)
     h = np.zeros((place.shape[1], width), np.float32)
     before = np.full(place.shape[1], start)
     held, where, rows = [], [], 0
@@ -177,7 +187,7 @@ def log_probabilities(net: dict[str, np.ndarray], classes: np.ndarray, offsets:
         if new.any():
             h = np.where(new[:, None], np.float32(0), h)
             before = np.where(new, start, before)
-        h = _step(net, table[before], h)[0]
+        h = _step(table[:, before], recur, h)[0]
         at = place[t, :n]
         before = classes[at]
         held.append(h)
@@ -219,14 +229,14 @@ class Trainer:
 
     def _window(self, place: np.ndarray, fresh: np.ndarray, h: np.ndarray, before: np.ndarray, classes: np.ndarray, slots: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, float]:
         net, width = self.net, h.shape[1]
-        table = net["embed"] + net["bias"]
+        table, recur = _by_gate(net)
         trace = []
         for t in range(len(place)):
             new = fresh[t]
             if new.any():
                 h = np.where(new[:, None], np.float32(0), h)
                 before = np.where(new, self.start, before)
-            after, keep, reset, candidate, pulled = _step(net, table[before], h)
+            after, keep, reset, candidate, pulled = _step(table[:, before], recur, h)
             trace.append((h, keep, reset, candidate, pulled, before))
             h = after
             before = np.where(place[t] >= 0, classes[place[t]], self.start)
@@ -262,20 +272,26 @@ class Trainer:
                 back[own] += inner @ net["inner"][k].T
         back = back.reshape(len(place), -1, width)
         flow = np.zeros_like(h)
-        given = np.zeros((len(place), h.shape[0], 3 * width), np.float32)
-        recur = np.zeros_like(net["recur"])
+        # what the gradient of a state is multiplied by on its way to each gate, for all steps at once
+        old, keep, reset, candidate, pulled = (np.stack([x[k] for x in trace]) for k in range(5))
+        to_keep = (old - candidate) * keep * (1 - keep)
+        to_candidate = (1 - keep) * (1 - candidate * candidate)
+        to_pulled = to_candidate * reset
+        to_reset = to_pulled * (1 - reset) * pulled
+        back_recur = np.ascontiguousarray(net["recur"].T)
+        into = np.empty((len(place), h.shape[0], 3 * width), np.float32)
+        down = np.empty_like(back)
         for t in range(len(place) - 1, -1, -1):
-            old, keep, reset, candidate, pulled, _ = trace[t]
-            d = flow + back[t]
-            d_candidate = d * (1 - keep) * (1 - candidate * candidate)
-            d_keep = d * (old - candidate) * keep * (1 - keep)
-            d_reset = d_candidate * pulled * reset * (1 - reset)
-            given[t, :, :width], given[t, :, width : 2 * width], given[t, :, 2 * width :] = d_keep, d_reset, d_candidate
-            into = np.concatenate([d_keep, d_reset, d_candidate * reset], axis=1)
-            recur += old.T @ into
-            flow = d * keep + into @ net["recur"].T
-            flow[fresh[t]] = 0
-        flat = given.reshape(-1, 3 * width)
+            d = np.add(flow, back[t], out=down[t])
+            for k, factor in enumerate((to_keep, to_reset, to_pulled)):
+                np.multiply(d, factor[t], out=into[t, :, k * width : (k + 1) * width])
+            flow = d * keep[t]
+            flow += into[t] @ back_recur
+            if fresh[t].any():
+                flow[fresh[t]] = 0
+        flat = into.reshape(-1, 3 * width)
+        recur = old.reshape(-1, width).T @ flat
+        np.multiply(down, to_candidate, out=into[:, :, 2 * width :])  # the input of the candidate isn't reset
         ids = np.concatenate([x[5] for x in trace])
         order = _by_class(ids)
         values, starts = np.unique(ids[order], return_index=True)
